@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import url_reputation
+from lakeloom.llm import secret_scan, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scans": secret_scan.op1_secret_scans,
         "op9_url_filters": url_reputation.op9_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_secret_scans": secret_scan.SQL,
+    }
