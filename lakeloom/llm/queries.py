@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import secret_scan, url_reputation
+from lakeloom.llm import license_scan, secret_scan, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
+        "op2_license_scans": license_scan.op2_license_scans,
         "op9_url_filters": url_reputation.op9_url_filters,
     }
 
@@ -19,4 +20,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scans": secret_scan.SQL,
+        "op2_license_scans": license_scan.SQL,
     }
