@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import license_scan, secret_scan, url_reputation
+from lakeloom.llm import decontaminate, license_scan, secret_scan, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
         "op2_license_scans": license_scan.op2_license_scans,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_url_filters": url_reputation.op9_url_filters,
     }
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scans": secret_scan.SQL,
         "op2_license_scans": license_scan.SQL,
+        "op6_decontaminate": decontaminate.SQL,
     }
