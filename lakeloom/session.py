@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,20 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "lakeloom", **co
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return it as read from there.
-
-    The folder is the one that `spark.checkpoint.dir` names. Only where no folder is
-    set (a local session, tests) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names; only where none is set (a local session, tests), in a temporary one."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
-    return df.checkpoint(eager=True)
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder, as Parquet, and return it as read from there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
