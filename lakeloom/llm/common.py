@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,27 @@ def let(value: Column, body) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+_MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """The set of runs of `width` words as sorted 64-bit hashes; fewer words are one run, none is the empty set."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    size = min(width, n)
+    total = np.full(n - size + 1, np.uint64(size), np.uint64)
+    for i in range(size):
+        total += mixed(hashes[i : n - size + 1 + i] * _PLACES[i % 5] + np.uint64(i))
+    return np.unique(mixed(total))

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, license_scan, secret_scan, url_reputation
+from lakeloom.llm import decontaminate, license_scan, near_dedup, secret_scan, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
         "op2_license_scans": license_scan.op2_license_scans,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op9_url_filters": url_reputation.op9_url_filters,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scans": secret_scan.SQL,
         "op2_license_scans": license_scan.SQL,
         "op6_decontaminate": decontaminate.SQL,
+        "op10_near_dedup": near_dedup.SQL,
     }
