@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, license_scan, near_dedup, secret_scan, toxicity, url_reputation
+from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, secret_scan, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scans": license_scan.op2_license_scans,
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_url_filters": url_reputation.op9_url_filters,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
