@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, secret_scan, toxicity, url_reputation
+from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, secret_scan, suffix_dedup, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scans": secret_scan.op1_secret_scans,
         "op2_license_scans": license_scan.op2_license_scans,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_url_filters": url_reputation.op9_url_filters,
