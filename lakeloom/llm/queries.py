@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, secret_scan, suffix_dedup, toxicity, url_reputation
+from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, secret_scan, suffix_dedup, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_order_minhash": order_minhash.op7_order_minhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_url_filters": url_reputation.op9_url_filters,
         "op10_near_dedup": near_dedup.op10_near_dedup,
