@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, secret_scan, suffix_dedup, toxicity, url_reputation
+from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_reputation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scans": license_scan.op2_license_scans,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_quality": quality.op5_quality,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_order_minhash": order_minhash.op7_order_minhash,
         "op8_byte_bpe": bpe.op8_byte_bpe,
