@@ -144,11 +144,10 @@ class Model:
             low, high = (mid, high) if sum(c * math.exp(min(mid * s, 60)) for s, c in scored.items()) < total else (low, mid)
         self.rate = low if any(s > 0 for s in scored) else 1.0
         clean = [(n, max((s for _, _, s in found), default=0.0)) for y, n, found in maxima if y == 0 and n]
-        shifts = [math.exp(self.rate * s) / n for n, s in clean if s > 0]
         # of n words, exp(-K n exp(-rate s)) have no segment above s: K by the method of maximum likelihood
         none = sum(1 for _, s in clean if s <= 0)
         weights = [n * math.exp(-self.rate * s) for n, s in clean]
-        self.k = max(1e-9, (len(shifts) + 1) / (sum(weights) + 1)) if len(clean) > none else 1 / (1 + sum(n for n, _ in clean))
+        self.k = max(1e-9, (len(clean) - none + 1) / (sum(weights) + 1)) if len(clean) > none else 1 / (1 + sum(n for n, _ in clean))
         x = np.array([math.log1p(self.surprise(n, found)) for _, n, found in maxima])
         y = np.array([t for t, _, _ in maxima], float)
         a, b = 0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
