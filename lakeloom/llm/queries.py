@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_reputation
 
 
@@ -21,11 +22,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_url_filters": url_reputation.op9_url_filters,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    piped = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return piped | {
         "op1_secret_scans": secret_scan.SQL,
         "op2_license_scans": license_scan.SQL,
         "op6_decontaminate": decontaminate.SQL,

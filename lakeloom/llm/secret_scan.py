@@ -189,8 +189,8 @@ def scan(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, id_col: str = "
 
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with each secret in its text replaced by a mark; overlapping finds become one. A null text stays null."""
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), *[c for c in {id_col, text_col}])
-    rows = keyed(whole, id_col, text_col, "__row")
+    kept = [F.col(c).alias(f"__c{k}") for k, c in enumerate(docs.columns)]
+    rows = keyed(docs, id_col, text_col, *kept)
     found = _searched(rows, keyed(docs, id_col, text_col), rules)
     spans = F.array_sort(F.concat(F.array().cast(_SPANS), *[F.col(f"__spans.s{k}") for k in range(len(rules))]))
 
@@ -202,8 +202,9 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, mark: str = "
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     clean = F.aggregate(F.col("__sorted"), start, step, lambda acc: F.concat(acc["text"], F.substring(F.col(TEXT), acc["at"] + 1, F.length(F.col(TEXT)))))
     done = found.withColumn("__sorted", F.explode(F.array(spans)))
-    new = F.when(F.col(f"__row.{text_col}").isNull(), F.lit(None).cast("string")).when(F.size("__sorted") == 0, F.col(TEXT)).otherwise(clean)
-    return done.select(*[new.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns])
+    old = F.col(f"__c{docs.columns.index(text_col)}")
+    new = F.when(old.isNull() | (F.size("__sorted") == 0), old).otherwise(clean)
+    return done.select(*[new.alias(c) if c == text_col else F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
