@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.operators import filters, reconcile
 from lakeloom.plans import reports
 
-FLAGSHIP = "daily_report"
-MODULES = (reports,)
+FLAGSHIP = "reconcile_diff"
+MODULES = (reports, filters, reconcile)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
