@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.operators import filters, reconcile
+from lakeloom.operators import filters, names, reconcile, transform
 from lakeloom.plans import reports
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile)
+MODULES = (reports, filters, reconcile, names, transform)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
