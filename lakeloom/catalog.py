@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.operators import filters, names, reconcile, transform
-from lakeloom.plans import reports
+from lakeloom.plans import ledger, reports, scoring, trends
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, transform)
+MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
