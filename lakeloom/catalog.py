@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.operators import filters, names, reconcile, transform
 from lakeloom.plans import ledger, reports, scoring, trends
+from lakeloom.sources import readers
+from lakeloom.streaming import alerts
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger)
+MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
