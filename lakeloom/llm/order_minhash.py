@@ -16,8 +16,8 @@ for texts of one repeated word. Nothing is exploded.
 
 The next document (descending id) is found without one global sort: ids are cut into ranges
 at approximate quantiles (their number, `RANGES`, is fixed or follows the rows), a window within
-each range hands over the following row, and the last row of a range takes the first one of
-the next range that has any. The text is shuffled once.
+each range hands over the following row; the first row of the next range that has any stands
+at its end. The text is shuffled once.
 
 Defined cases: null and empty texts have no tokens and an empty fingerprint; two empty
 fingerprints are alike (1.0), an empty and a filled one are not (0.0); equal ids are ordered by
@@ -128,18 +128,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     above = lambda i: _search(bounds, i, len(cuts))
     number = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.lit(len(cuts)) - above(F.col("id"))).cast("int")
     ranged = rows.withColumn("range", number)
-    order = (F.col("id").desc_nulls_last(), F.col("hash"))
-    inside = Window.partitionBy("range").orderBy(*order)
     # The first row of each range that has rows; few, but their texts may be long, so they are joined, not collected.
     key = F.struct(F.coalesce(-F.col("id"), F.lit(0)).alias("k"), "hash")
-    heads = cut_lineage(ranged.groupBy("range").agg(F.min_by("text", key).alias("head")))
+    heads = cut_lineage(ranged.groupBy("range").agg(F.min_by("text", key).alias("text")))
     present = sorted(r["range"] for r in heads.select("range").collect())
-    follows = dict(zip(present, [*present[1:], *present[:1]], strict=True))
-    before = docs.sparkSession.createDataFrame([(b, a) for a, b in follows.items()] or [], "range int, of int")
-    heads = heads.join(F.broadcast(before), "range").select(F.col("of").alias("range"), F.struct("head").alias("head"))
-    led = ranged.select("id", "text", "hash", "range", F.lead(F.struct("text")).over(inside).alias("after"))
-    ends = led.filter("after is null").join(heads, "range").select("id", "text", F.col("head.head").alias("next_text"))
-    return led.filter("after is not null").select("id", "text", F.col("after.text").alias("next_text")).unionByName(ends)
+    follows = zip(present, [*present[1:], *present[:1]], strict=True)
+    before = docs.sparkSession.createDataFrame([(b, a) for a, b in follows] or [], "range int, of int")
+    # They end the range before theirs, so that every row has a following one, and go then.
+    ends = heads.join(F.broadcast(before), "range").select(F.lit(None).cast("long").alias("id"), "text", F.lit(0).cast("long").alias("hash"), F.col("of").alias("range"), F.lit(True).alias("end"))
+    every = ranged.withColumn("end", F.lit(False)).unionByName(ends)
+    inside = Window.partitionBy("range").orderBy("end", F.col("id").desc_nulls_last(), "hash")
+    led = every.withColumn("next_text", F.lead("text").over(inside))
+    return led.filter(~F.col("end")).select("id", "text", "next_text")
 
 
 def _search(bounds: Column, value: Column, n: int) -> Column:
