@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.functions import samples
 from lakeloom.operators import filters, names, reconcile, transform
-from lakeloom.plans import ledger, reports, scoring, trends
+from lakeloom.plans import ledger, monitor, reports, scoring, trends
 from lakeloom.sources import readers
 from lakeloom.streaming import alerts
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts)
+MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts, monitor, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

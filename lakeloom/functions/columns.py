@@ -59,7 +59,7 @@ def normalize_field_name(c: Column) -> Column:
 
 def split_pipes(c: Column) -> Column:
     """Parts between `|`, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def natural_key(*columns: Column) -> Column:
