@@ -173,11 +173,11 @@ def search(df: DataFrame, kinds: Sequence[str], start: str, stop: str, needle: s
 
 
 TODAY = dt.date(1999, 6, 15)
-_KEY = ("source", "base_at", "item_ref", "warehouse_code", "lot_code", "quantity")
+_KEY = ("source", "CAST(extract(YEAR FROM base_at) AS BIGINT) AS base_year", "item_ref", "warehouse_code", "lot_code", "quantity")
 
 
 def _query(view_name: str, tree, columns):
-    return lambda s, d: apply_filter(view(s, d, view_name), tree, TODAY).select(*columns)
+    return lambda s, d: apply_filter(view(s, d, view_name), tree, TODAY).selectExpr(*columns)
 
 
 def _sql(view_name: str, where: str, columns) -> str:
@@ -208,7 +208,7 @@ QUERIES = {
     **{n: _query(v, t, ("sku_id", "code", "name")) for n, (v, t, _) in _TEXTS.items()},
     "filter_json_attribute": filter_json_attribute,
     "filter_preview": lambda s, d: preview(view(s, d, "snapshot"), _CASES["filter_nested_or"][1], TODAY),
-    "two_source_filter": lambda s, d: two_sources(view(s, d, "snapshot"), "erp", of_rows([("lot_code", "EQ", ("A",))]), "wms", of_rows([("quantity", "GT", (45,))]), TODAY).select(*_KEY),
+    "two_source_filter": lambda s, d: two_sources(view(s, d, "snapshot"), "erp", of_rows([("lot_code", "EQ", ("A",))]), "wms", of_rows([("quantity", "GT", (45,))]), TODAY).selectExpr(*_KEY),
     "audit_search_page": lambda s, d: search(view(s, d, "alert"), ("error", "purchase"), "2024-01-05", "2024-01-20", "-1", "alert_key", 1).select("event_id", "alert_key"),
 }
 

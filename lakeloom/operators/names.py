@@ -34,7 +34,7 @@ def source_overlap(names: DataFrame, normal) -> DataFrame:
 def balanced_sample(names: DataFrame, per_source: int = 6) -> DataFrame:
     """The first names of each source."""
     w = Window.partitionBy("source").orderBy("raw_name")
-    return names.select("source", "raw_name").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_source)
+    return names.select("source", "raw_name").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_source).withColumn("n", F.col("n").cast("bigint"))
 
 
 def scored_pairs(names: DataFrame, left: str, right: str) -> DataFrame:

@@ -118,6 +118,6 @@ SQL = {
     "eligible_channels": """WITH t AS (SELECT p_partkey AS channel_id, CASE WHEN p_size > 3 THEN p_partkey * 11 END AS subscribers, CASE WHEN p_size % 2 = 0 THEN 'KR' WHEN p_size % 5 = 0 THEN 'US' END AS country, CASE WHEN p_partkey % 3 = 0 THEN '캠핑장 이야기 ' || substring(p_name, 1, 3) ELSE p_name END AS title, p_partkey % 3 = 0 AS hangul FROM part)
         SELECT channel_id, title FROM t WHERE subscribers >= 5000 AND (country = 'KR' OR hangul)""",
     "rule_order": "SELECT n_name AS name, row_number() OVER (ORDER BY CASE n_name WHEN 'NATION_7' THEN -2 WHEN 'NATION_3' THEN -1 ELSE n_nationkey END) * 10 AS sort_order FROM nation",
-    "merged_totals": f"{with_views('channel')} SELECT channel_id, CASE WHEN channel_id % 2 = 0 THEN greatest(0.0, least(30.0, channel_id - 10.0)) END AS points, 40.0 + CASE WHEN channel_id % 2 = 0 THEN greatest(0.0, least(30.0, channel_id - 10.0)) ELSE 0.0 END AS total FROM channel",
+    "merged_totals": f"{with_views('channel')} SELECT channel_id, CAST(CASE WHEN channel_id % 2 = 0 THEN greatest(0.0, least(30.0, channel_id - 10.0)) END AS DOUBLE) AS points, CAST(40.0 + CASE WHEN channel_id % 2 = 0 THEN greatest(0.0, least(30.0, channel_id - 10.0)) ELSE 0.0 END AS DOUBLE) AS total FROM channel",
     "retention_purge": f"{with_views('order_head')} SELECT order_no, channel FROM order_head WHERE ordered_at >= TIMESTAMP '2000-06-01'",
 }
