@@ -8,13 +8,23 @@ densification). `ROWS` consecutive bins are a band; nodes that agree on a band s
 bucket. With 36 bands of 4, two sets of similarity 0.75 miss each other in all bands with a
 chance of about one in a million.
 
-Candidate edges are stars: every member of a bucket is paired with the bucket's least node
-alone, so that a bucket of m nodes brings m - 1 pairs. They are confirmed on whole sets, the
-likeliest edge of each node first, and edges whose ends are already in one component are not
-looked at again, as they cannot change the result. Stars alone could lose a link between two
-members that are not linked to their centre, so members of one bucket that are still in
-different components are compared last. A large group of copies is one component by then;
-only what lies beside it makes pairs.
+Candidate edges are stars: every member of a bucket is paired with the bucket's centre alone,
+the node that meets most others in all its buckets, so that a bucket of m nodes brings m - 1
+pairs. They are confirmed on whole sets, the likeliest edge of each node first, and edges
+whose ends are already in one component are not looked at again, as they cannot change the
+result.
+
+Stars alone could lose a link between two members that are in different components then.
+At least one of them, J, is not linked to the centre C, and this bounds from below how much both
+members' differences from the centre must have in common: with q = (1 - s) / (1 + s), d for the
+size of a difference from C and n for sizes of sets, a link of I and J needs
+t = (d(I) + d(J) - q (n(I) + n(J))) / 2 common elements, which is more than
+(d(I) + q (n(C) - n(I))) / 2 and at least (d(J) - q (n(C) + n(J))) / (1 + q). So both
+differences, in one order, must share an element near their beginnings (prefix filter), with t
+elements left in both from there on (positional filter), and enough of them near their
+beginnings to make t with all that comes later. The order puts last what a sample
+of the centre's members has most often; any order gives the same links. Copies with edits of
+their own share next to nothing but what comes last, however large their group.
 
 Spark. Texts are shuffled once, and only those with a candidate edge go on (compressed, as a
 table in the shared folder). Sets, buckets and edges are joined on their keys; the only
@@ -43,6 +53,8 @@ from lakeloom.session import cut_lineage
 
 BINS, ROWS, WORDS = 144, 4, 5
 PERCENT = 75
+#: About so many members of a star tell which elements most of them have.
+SAMPLE = 24
 
 _ORDERS = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
 
@@ -115,10 +127,9 @@ def _contents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are similar enough."""
-    side = lambda c: contents.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("packed").alias(f"t{c}"))
     able = lambda x: x.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     sized = able(pairs.join(contents.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(contents.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")).select("a", "b")
-    both = sized.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+    both = _with_contents(sized, contents).select("a", "b", "ta", "tb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -138,6 +149,58 @@ def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirm, "a long, b long")
 
 
+def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the compressed texts ta and tb."""
+    side = lambda c: contents.select(F.col("node").alias(c), F.col("packed").alias(f"t{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star, in different components, that may be linked."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    named = stars.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", (~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).alias("out"), F.coalesce("rb", "b").alias("root"))
+    several = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("a")
+    members = _with_contents(named.join(several, "a").select("a", "b", "out", "root"), contents).select("a", "b", "out", "root", "ta", "tb")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        known, center = None, np.empty(0, np.uint64)
+        for batch in batches:
+            rows = []
+            for ta, tb in zip(batch.column(4), batch.column(5), strict=True):
+                ta, tb = ta.as_buffer().to_pybytes(), tb.as_buffer().to_pybytes()
+                if ta != known:
+                    known, center = ta, shingles(unpack.decompress(ta).lower().split(), WORDS)
+                own = shingles(unpack.decompress(tb).lower().split(), WORDS)
+                rows.append((len(center), len(own), np.setxor1d(own, center, assume_unique=True).astype(np.int64)))
+            nc, n, difference = zip(*rows, strict=True) if rows else ((),) * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(nc, pa.int64()), pa.array(n, pa.int64()), pa.array(difference, pa.list_(pa.int64()))], names=["center", "node", "out", "root", "nc", "n", "difference"])
+
+    found = cut_lineage(members.mapInArrow(differ, "center long, node long, out boolean, root long, nc long, n long, difference array<long>"))
+    sizes = found.groupBy("center").agg(F.count(F.lit(1)).alias("size"))
+    share = F.pmod(F.xxhash64("center", "node"), F.lit(1 << 20)) / float(1 << 20)
+    sampled = found.join(sizes, "center").filter(share * F.col("size") < SAMPLE).select("center", F.explode("difference").alias("token"))
+    often = sampled.groupBy("center", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    last = often.groupBy("center").agg(F.transform(F.sort_array(F.collect_list(F.struct("times", "token"))), lambda x: x["token"]).alias("last"))
+    none = F.array().cast("array<long>")
+    ordered = found.join(last, "center", "left").withColumn("last", F.coalesce("last", none))
+    ordered = ordered.select("center", "node", "out", "root", "nc", "n", F.concat(F.array_except("difference", "last"), F.array_intersect("last", "difference")).alias("difference"))
+    d, more, less = F.size("difference"), 100 + percent, 100 - percent
+    needs_i = F.floor((more * d + less * (F.col("nc") - F.col("n"))) / (2 * more))
+    needs_j = F.ceil((more * d - less * (F.col("nc") + F.col("n"))) / 200)
+    front = lambda needs: F.posexplode(F.slice("difference", F.lit(1), F.greatest(needs, F.lit(0)).cast("int"))).alias("at", "token")
+    named = lambda x: [F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), d.alias(f"d{x}")]
+    inside = ordered.select("center", front(d - needs_i), *named("i"), F.greatest(needs_i, F.lit(0)).alias("li")).withColumnRenamed("at", "pi")
+    outside = ordered.filter("out").select("center", front(d - needs_j + 1), *named("j"), F.greatest(needs_j - 1, F.lit(0)).alias("lj")).withColumnRenamed("at", "pj")
+    able = 100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")
+    wanted = more * (F.col("di") + F.col("dj")) - less * (F.col("ni") + F.col("nj"))  # 2 * more * t
+    left = F.least(F.col("di") - F.col("pi"), F.col("dj") - F.col("pj"))
+    met = inside.join(outside, ["center", "token"]).filter((F.col("ri") != F.col("rj")) & able & (wanted <= 2 * more * left))
+    counted = met.groupBy("center", "i", "j", wanted.alias("wanted"), F.greatest("li", "lj").alias("later")).agg(F.count(F.lit(1)).alias("shared"))
+    met = counted.filter(F.col("wanted") <= 2 * more * (F.col("shared") + F.col("later")))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of all nodes in `edges` (a, b), root being the least node reachable.
 
@@ -175,9 +238,13 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     # Null ids come first in Spark's order of structs; the least id of a component is taken from real ids only.
     nodes = cut_lineage(members.filter("node is not null").groupBy("node").agg(first, F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     keys = nodes.select("node", F.explode("bands").alias("band"))
-    centers = keys.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("band", "center")
-    buckets = cut_lineage(keys.join(centers, "band"))
-    stars = cut_lineage(buckets.filter("node <> center").groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = cut_lineage(keys.join(shared, "band"))
+    weights = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = cut_lineage(buckets.join(weights, "node").select("band", "node", "weight"))
+    centers = weighed.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("best")).select("band", F.col("best.node").alias("center"))
+    met = weighed.join(centers, "band").filter("node <> center")
+    stars = cut_lineage(met.groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times")))
     wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     contents = _contents(rows, nodes.select("node", "n", "first").join(wanted, "node", "left_semi"))
     best = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -186,13 +253,7 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
     edges = cut_lineage(edges.union(_linked(rest, contents, percent)))
     roots = cut_lineage(connected(edges))
-    placed = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed_buckets = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    sides = placed.join(mixed_buckets, "band").join(nodes.select("node", "n"), "node")
-    left, right = (sides.select("band", F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    able = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    across = left.join(right, "band").filter((F.col("ra") < F.col("rb")) & able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    across = _beside(stars, roots, contents, percent)
     edges = cut_lineage(edges.union(_linked(across, contents, percent)))
     roots = connected(edges)
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -205,8 +266,8 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 def keep_first(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with only the least id of each group of near-duplicates."""
     found = components(docs, percent, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_semi")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(text) == found["__hash"]), "left_semi")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
