@@ -21,6 +21,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carr
     return docs.select(F.col(id_col).cast("long").alias(ID), text.alias(TEXT), F.xxhash64(text).alias(HASH), *carry)
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` under names by position, which no column that an operator adds can clash with, and the new names."""
+    names = [f"__k{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def same_row(left: DataFrame, right: DataFrame, id_: str, hash_: str) -> Column:
     """Join condition on the row key; null ids match null ids."""
     return left[ID].eqNullSafe(right[id_]) & (left[HASH] == right[hash_])

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.llm.common import shielded
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 HITS, ITEMS, COUNT = "__hits", "__items", "__words"
@@ -184,8 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     A cut leaves one space. An `n_chars` column is made to fit the new text.
     """
-    found = match(docs, benchmark, window, text_col).filter(F.size(HITS) <= max_coverage * F.greatest(COUNT, F.lit(1)))
-    schema = docs.schema
+    plain, names = shielded(docs)
+    found = match(plain, benchmark, window, names[text_col]).filter(F.size(HITS) <= max_coverage * F.greatest(COUNT, F.lit(1)))
     at = docs.columns.index(text_col)
 
     def cut(text: str, hits: list[int]) -> str:
@@ -208,8 +210,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3])
 
-    done = found.mapInArrow(cleaned, T.StructType(list(schema.fields)))
-    return done.withColumn("n_chars", F.length(text_col).cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    done = found.mapInArrow(cleaned, T.StructType(list(plain.schema.fields))).toDF(*docs.columns)
+    return done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

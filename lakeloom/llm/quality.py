@@ -38,13 +38,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.llm.common import shielded
 from lakeloom.llm.toxicity import held_out
 
 FEATURES = 1 << 16
 ROUNDS = 2
-SURE = 0.97
+SURE = 0.9
 SAMPLE = 40_000
 LIMIT = 0.5
+SCORE = "__score"
 
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"\n", *(bytes([c]) for c in b"!#$%&*|.,?:;-_/<>()@")]
 _KIND_OF = np.full(256, len(_KINDS), np.int64)
@@ -215,25 +217,30 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `__score`, the probability of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    whole = docs.select(*_inputs(docs, id_col, text_col), *docs.columns)
+    plain, names = shielded(docs)
+    columns = plain.columns
+    whole = docs.select(*_inputs(docs, id_col, text_col), *[F.col(c).alias(k) for c, k in names.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             values = [0.5 if m is None else m.probability(m.text.total(t), m.meta.total(d)) for t, d in _features(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[5:], pa.array(values, pa.float64())], names=[*batch.schema.names[5:], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[5:], pa.array(values, pa.float64())], names=[*columns, "__score"])
 
-    return whole.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    scored = whole.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return scored.toDF(*docs.columns, SCORE)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """`docs` without those whose score is below `limit`."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, model).filter(F.col("__score") >= limit).select(*docs.columns)
+    scored = score(docs, model)
+    plain = scored.toDF(*shielded(docs)[0].columns, SCORE)
+    return plain.filter(F.col(SCORE) >= limit).drop(SCORE).toDF(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
     found = score(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= LIMIT).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= LIMIT).cast("int").alias("predicted"))

@@ -39,6 +39,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.llm.common import shielded
+from lakeloom.session import cut_lineage
+
 #: Bound of labelled rows that the classifier is fitted on, and of tokens it keeps.
 SAMPLE = 40_000
 MAX_TOKENS = 50_000
@@ -211,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
 
     # One small row for each sampled document: its word count and the few scores above the default.
     scored, maxima = Counter(), []
-    for r in texts.mapInArrow(describe, "y int, n long, segments array<double>, scores array<double>, counts array<long>").toLocalIterator():
+    described = cut_lineage(texts.mapInArrow(describe, "y int, n long, segments array<double>, scores array<double>, counts array<long>"))
+    for r in described.toLocalIterator():
         maxima.append((r["y"], r["n"], [(0, 0, s) for s in r["segments"]]))
         if not r["y"]:
             scored.update(dict(zip(r["scores"], r["counts"], strict=True)))
@@ -246,7 +250,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
     """`docs` without those that score `limit` or more."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")))
-    return score(docs, model).filter(F.col("__score") < limit).select(*docs.columns)
+    plain, names = shielded(docs)
+    return score(plain, model, names["text"]).filter(F.col("__score") < limit).select(*plain.columns).toDF(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
