@@ -10,10 +10,19 @@ from lakeloom.functions.columns import days_left, in_quiet_hours, to_kst
 from lakeloom.sources.domain import view, with_views
 
 
-def running_balance(movements: DataFrame) -> DataFrame:
-    """Stock after each movement of a SKU, and whether a sale took more than there was."""
-    w = Window.partitionBy("sku_id").orderBy("created_at", "movement_id", "delta").rowsBetween(Window.unboundedPreceding, 0)
-    return movements.withColumn("quantity_after", F.sum("delta").over(w)).withColumn("oversold", (F.col("reason") == "SALE") & (F.col("quantity_after") < 0))
+def running_balance(movements: DataFrame, step: str = "month") -> DataFrame:
+    """Stock after each movement of a SKU, and whether a sale took more than there was.
+
+    Sums run within a SKU's calendar steps; each step starts from the sum of those before, which
+    comes from one row for each step. So a SKU with very many movements is spread over its steps.
+    """
+    parts = movements.withColumn("part", F.date_trunc(step, "created_at"))
+    sums = parts.groupBy("sku_id", "part").agg(F.sum("delta").alias("moved"))
+    before = Window.partitionBy("sku_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("sku_id", "part", F.coalesce(F.sum("moved").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("sku_id", "part").orderBy("created_at", "movement_id", "delta").rowsBetween(Window.unboundedPreceding, 0)
+    running = parts.withColumn("inside", F.sum("delta").over(inside)).join(starts, ["sku_id", "part"])
+    return running.withColumn("quantity_after", F.col("start") + F.col("inside")).drop("part", "inside", "start").withColumn("oversold", (F.col("reason") == "SALE") & (F.col("quantity_after") < 0))
 
 
 def inconsistent(movements: DataFrame, skus: DataFrame) -> DataFrame:
