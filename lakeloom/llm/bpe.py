@@ -9,9 +9,9 @@ A word crosses the network once for each group that holds it, however often it s
 so the most frequent words are no hot keys; a group's numbers stay compact. Decoding joins
 ids with the table of tokens' bytes, which the vocabulary's size bounds (about 50,000 rows).
 
-The numbered groups are written once, as a table in the shared folder, because two jobs read
-them: a lost executor then can't make them disagree. Memory: a group, or the words of one
-shuffle partition.
+A group's name holds a hash of its documents' numbers. If an executor is lost and the rows of a
+partition come back in another order (which a table's rows don't), groups no longer fit together;
+that is noticed and fails the job. Memory: a group, or the words of one shuffle partition.
 
 Defined cases: a null text is an empty text; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; an empty table gives an empty result; columns other than the
@@ -23,6 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+import struct
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,13 +35,14 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.session import cut_lineage
-
 GROUP_CHARS = 12_000_000
+SHORT = 100
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -52,6 +55,23 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: of all adjacent parts, those whose union has the least rank are joined, the leftmost first."""
     if (whole := ranks.get(word)) is not None:
         return [whole]
+    if len(word) > SHORT:
+        return _merge_long(word, ranks)
+    none, get = 1 << 60, ranks.get
+    cuts = list(range(len(word) + 1))
+    costs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while costs and (best := min(costs)) != none:
+        i = costs.index(best)
+        del cuts[i + 1], costs[i]
+        if i < len(costs):
+            costs[i] = get(word[cuts[i] : cuts[i + 2]], none)
+        if i:
+            costs[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap, in n log n steps."""
     n = len(word)
     end = list(range(1, n + 1))  # of the part that starts here; 0 where none does
     before = list(range(-1, n - 1))
@@ -72,92 +92,160 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
 
+def splitter(pattern: str = public_tokenizers.PATTERN):
+    """A function from text to its pre-tokens. ASCII texts take an equal pattern of the faster module."""
+    whole = regex.compile(pattern)
+    if pattern != public_tokenizers.PATTERN:
+        return whole.findall
+    space = r"[\t-\r ]"
+    ascii_ = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|{space}+(?![^\t-\r ])|{space}+")
+    return lambda text: (ascii_ if text.isascii() else whole).findall(text)
+
+
+def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
+    """Arrays of whole numbers, each as planes of bytes, and a tail, compressed together."""
+    parts = [struct.pack("<I", len(arrays))]
+    for a in arrays:
+        width = a.dtype.itemsize
+        parts += [struct.pack("<cI", a.dtype.char.encode(), len(a)), np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, tail]))
+
+
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    (n,), at, arrays = struct.unpack_from("<I", raw), 4, []
+    for _ in range(n):
+        char, size = struct.unpack_from("<cI", raw, at)
+        kind = np.dtype(char.decode())
+        at += 5
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        arrays.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * kind.itemsize
+    return arrays, raw[at:]
+
+
+_GROUPED = "gid long, bucket int, stream boolean, payload binary"
+
+
 def _numbered(docs: DataFrame, buckets: int, pattern: str) -> DataFrame:
-    """From rows (id, text): for each document (group, id, numbers), for each group and bucket (group, bucket, numbers, words)."""
+    """From rows (id, text): for each group one row of its documents' numbers (stream) and one for each bucket of its words.
+
+    A group's words are numbered by how often they stand in it. Words that stand there once come
+    last, in order of place, and the documents just say 0 for the next one of them.
+    """
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
-        ids, numbers, size, first = [], [], 0, None
+        split = splitter(pattern)
+        ids, numbers, size, done = [], [], 0, 0
         words: defaultdict[str, int] = defaultdict(count().__next__)
 
-        def taken() -> Iterator[pa.RecordBatch]:
-            key = xxhash.xxh3_64_intdigest(f"{first} {len(ids)} {len(words)} {size}".encode()) - 2**63
-            dealt: list[tuple[list[int], list[str]]] = [([], []) for _ in range(buckets)]
-            for word, k in words.items():
-                local, own = dealt[xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % buckets]
+        def taken() -> pa.RecordBatch:
+            whole = np.concatenate([np.empty(0, np.uint32), *numbers])
+            times = np.bincount(whole, minlength=len(words))
+            often, once = np.flatnonzero(times > 1), np.flatnonzero(times == 1)
+            often = often[np.argsort(-times[often], kind="stable")]
+            said = np.zeros(len(words), np.uint32)
+            said[often] = np.arange(1, len(often) + 1)
+            listed = list(words)
+            dealt: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(buckets)]
+            for k, w in enumerate(np.concatenate((often, once)).tolist()):
+                raw = listed[w].encode("utf-8", "surrogatepass")
+                local, own = dealt[xxhash.xxh3_64_intdigest(raw) % buckets]
                 local.append(k)
-                own.append(word)
-            rows = [(b, x, y) for b, (x, y) in enumerate(dealt) if x]
-            n = len(ids) + len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([*[None] * len(ids), *(r[0] for r in rows)], pa.int32()), pa.array([*ids, *[None] * len(rows)], pa.int64()), pa.array([*numbers, *(r[1] for r in rows)], pa.list_(pa.int32())), pa.array([*[None] * len(ids), *(r[2] for r in rows)], pa.list_(pa.string()))], names=["gid", "bucket", "id", "numbers", "words"])
+                own.append(raw)
+            rows = [(b, False, _pack(np.diff(np.array(x, np.uint32), prepend=np.uint32(0)), np.fromiter(map(len, y), np.uint32, len(y)), tail=b"".join(y))) for b, (x, y) in enumerate(dealt) if x]
+            known = np.array([x is not None for x in ids], np.uint8)
+            stream = _pack(np.array([x or 0 for x in ids], np.int64), known, np.fromiter(map(len, numbers), np.uint32, len(numbers)), said[whole], np.array([len(often), len(once)], np.uint32))
+            key = xxhash.xxh3_64_intdigest(b"%d %d " % (TaskContext.get().partitionId(), done) + stream)
+            rows.append((key % buckets, True, stream))
+            return pa.RecordBatch.from_arrays([pa.array([key - 2**63] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["gid", "bucket", "stream", "payload"])
 
         for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first = (id_, text[:50]) if first is None else first
-                found = split.findall(text) if len(text) < GROUP_CHARS else (m.group() for m in split.finditer(text))
-                numbers.append(np.frombuffer(array("i", map(words.__getitem__, found)), np.int32))
+            for id_, text in zip(batch.column(0), batch.column(1), strict=True):
+                id_, text = id_.as_py(), text.as_py()
+                numbers.append(np.frombuffer(array("I", map(words.__getitem__, split(text))), np.uint32))
                 ids.append(id_)
                 size += len(text)
                 if size >= GROUP_CHARS:
-                    yield from taken()
-                    ids, numbers, size, first = [], [], 0, None
+                    yield taken()
+                    ids, numbers, size, done = [], [], 0, done + 1
                     words = defaultdict(count().__next__)
         if ids:
-            yield from taken()
+            yield taken()
 
-    return docs.mapInArrow(group, "gid long, bucket int, id long, numbers array<int>, words array<string>")
+    return docs.mapInArrow(group, _GROUPED)
 
 
-def _merged(words: DataFrame, ranks) -> DataFrame:
-    """Ids of every word of the groups: (group, numbers, sizes, ids), each distinct word merged once."""
+def _merged(rows: DataFrame, ranks) -> DataFrame:
+    """The groups' words as ids, each distinct word merged once; documents' numbers pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known = ranks.value, {}
         for batch in batches:
-            sizes, ids = [], []
-            for own in batch.column(2).to_pylist():
+            payloads = []
+            for stream, payload in zip(batch.column(2), batch.column(3), strict=True):
+                if stream.as_py():
+                    payloads.append(payload.as_py())
+                    continue
+                (local, sizes), text = _unpack(payload.as_py())
+                stops = np.cumsum(sizes, dtype=np.int64)
                 found = []
-                for w in own:
+                for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
+                    w = text[a:b]
                     if (x := known.get(w)) is None:
-                        x = known[w] = array("i", merge(w.encode("utf-8", "surrogatepass"), table))
+                        x = known[w] = array("I", merge(w, table))
                     found.append(x)
-                sizes.append(list(map(len, found)))
-                ids.append(np.frombuffer(b"".join(found), np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], names=["gid", "numbers", "sizes", "ids"])
-
-    return words.mapInArrow(run, "gid long, numbers array<int>, sizes array<int>, ids array<int>")
-
+                payloads.append(_pack(local, np.fromiter(map(len, found), np.uint32, len(found)), np.frombuffer(b"".join(found), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(payloads, pa.binary())], names=["gid", "stream", "payload"])
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int32), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]])
+    return rows.mapInArrow(run, "gid long, stream boolean, payload binary")
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of `docs`: its id and `ids`, the token ids of its text."""
+def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, text_col: str, schema: str, make) -> DataFrame:
+    """`make` of the ids (null ids kept) and the token ids of each group's documents: numbers of ids, and all ids one after the other."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    numbered = cut_lineage(_numbered(rows, buckets, pattern))
-    words = numbered.filter("bucket is not null").repartition(buckets, "bucket").select("gid", "numbers", "words")
-    merged = _merged(words, ranks)
-
-    def assemble(key: tuple, documents: pa.Table, found: pa.Table) -> pa.Table:
-        local, sizes, ids = _flat(found["numbers"]), _flat(found["sizes"]).astype(np.int64), _flat(found["ids"])
+    merged = _merged(_numbered(rows, buckets, pattern).repartition(buckets, "bucket"), ranks)
+
+    def assemble(table: pa.Table) -> pa.Table:
+        payloads = {True: [], False: []}
+        for stream, payload in zip(table["stream"], table["payload"], strict=True):
+            payloads[stream.as_py()].append(payload)
+        parts = [_unpack(p.as_py())[0] for p in payloads[False]]
+        none = [np.empty(0, np.uint32)]
+        local = np.concatenate([*none, *(np.cumsum(p[0], dtype=np.int64) for p in parts)]).astype(np.int64)
+        sizes = np.concatenate([*none, *(p[1] for p in parts)]).astype(np.int64)
+        ids = np.concatenate([*none, *(p[2] for p in parts)]).astype(np.int32)
+        del parts
+        if len(payloads[True]) != 1:
+            raise RuntimeError("the documents changed between two attempts of a task; write them to a table first")
+        (own, known, counts, numbers, words), _ = _unpack(payloads[True][0].as_py())
+        if len(local) != words.sum():
+            raise RuntimeError("the documents changed between two attempts of a task; write them to a table first")
         start, size = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
         start[local], size[local] = np.cumsum(sizes) - sizes, sizes
-        out = []
-        for numbers in documents["numbers"]:
-            mine = numbers.values.to_numpy(zero_copy_only=False)
-            lengths = size[mine]
-            stops = np.cumsum(lengths)
-            places = np.arange(stops[-1] if len(stops) else 0) + np.repeat(start[mine] - (stops - lengths), lengths)
-            out.append(ids[places])
-        return pa.table({"id": documents["id"], "ids": pa.array(out, pa.list_(pa.int32()))})
+        numbers = numbers.astype(np.int64) - 1
+        numbers[numbers < 0] = int(words[0]) + np.arange(int(words[1]))
+        lengths = size[numbers]
+        stops = np.cumsum(lengths)
+        places = np.repeat(start[numbers] - (stops - lengths), lengths)
+        places += np.arange(len(places))
+        offsets = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        keys = pa.array([k if ok else None for k, ok in zip(own.tolist(), known.tolist(), strict=True)], pa.int64())
+        return make(keys, offsets, ids[places])
+
+    return merged.groupBy("gid").applyInArrow(assemble, schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each of `docs`: its id and `ids`, the token ids of its text."""
+
+    def make(keys: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> pa.Table:
+        return pa.table({"id": keys, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
 
-    documents = numbered.filter("bucket is null").select("gid", "id", "numbers")
-    joined = documents.groupBy("gid").cogroup(merged.groupBy("gid")).applyInArrow(assemble, "id long, ids array<int>")
-    return joined.withColumnRenamed("id", id_col)
+    return _assembled(docs, path, pattern, id_col, text_col, "id long, ids array<int>", make).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -169,24 +257,32 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value.__getitem__
         for batch in batches:
-            values = [b"".join(map(token, x)) if x is not None else None for x in batch.column(at).to_pylist()]
+            values = [b"".join(map(token, x.as_py())) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of encoded documents."""
-    decoded = decode(encoded)
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each of `docs`: id, n_tokens, ids_sha256 and decoded_sha256.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1).to_pylist()
-            of = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, lists), pa.int64()), pa.array([of(",".join(map(str, x)).encode()) for x in lists]), pa.array([of(x) for x in batch.column(2).to_pylist()])], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+    Ids are decoded through the token-byte table where the groups are put together, so that they need not travel.
+    """
+    ranks = load_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast({rank: (token, b"%d," % rank) for token, rank in ranks.items()})
+
+    def make(keys: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> pa.Table:
+        table, rows = shared.value, []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            found = list(map(table.__getitem__, ids[a:b].tolist()))
+            decimal, decoded = hashlib.sha256(b"".join([d for _, d in found])[:-1]), hashlib.sha256(b"".join([t for t, _ in found]))
+            rows.append((b - a, decimal.hexdigest(), decoded.hexdigest()))
+        n, first, second = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"id": keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
 
-    return decoded.select(id_col, "ids", "decoded").mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = _assembled(docs, path, public_tokenizers.PATTERN, id_col, text_col, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return found.withColumnRenamed("id", id_col)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

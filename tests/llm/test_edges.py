@@ -31,7 +31,7 @@ OPERATORS = {
     "quality": lambda d, spark: quality.keep_good(d, spark.createDataFrame([(3, 1, 0), (5, 0, 1), (None, 1, 1), (4, None, None)], LABELS)),
     "decontaminate": lambda d, spark: decontaminate.decontaminate(d, spark.createDataFrame([("x", "jumps over the lazy dog and runs away from all of"), (None, None), ("y", "")], BENCH)),
     "order_minhash": lambda d, spark: order_minhash.compare_edited(d),
-    "bpe": lambda d, spark: bpe.digests(bpe.encode(d)),
+    "bpe": lambda d, spark: bpe.digests(d),
     "near_dedup": lambda d, spark: near_dedup.keep_first(d),
 }
 DROPS = {"toxicity", "quality", "decontaminate", "near_dedup"}

@@ -239,3 +239,10 @@ def test_pipeline_stage_by_stage(spark, sf_dir, texts):
     assert ids(kept) == {i for i, c in exact_components({i: texts[i] for i in set(texts) - toxic}).items() if i == c}
     result = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(result) <= ids(kept) and len(result) > 0.9 * len(ids(kept))
+
+
+def test_encode_and_decode_round_trip(spark):
+    texts = {1: "Hello  world's\n\n end", 2: "", 3: "éß 的 x" * 50, None: "null id"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert got == texts
