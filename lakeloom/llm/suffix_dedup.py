@@ -6,7 +6,7 @@ document of smaller id or earlier in the same one.
 Windows. Every window of `LENGTH` bytes has an anchor: the leftmost of its `GRAM`-byte
 strings of least hash. Equal windows have equal anchors at equal places, so windows are
 compared only where anchors are equal. Consecutive windows with one anchor form a context (at
-most 176 bytes). A task takes documents in blocks of about 8 MB and sends one of each
+most 176 bytes). A task takes documents in blocks of some MB and sends one of each
 block's equal contexts to the bucket of its anchor; all others repeat it for sure, so that
 copies of a passage cost a bucket one context for each block. In a bucket, contexts with equal
 content repeat the first of them; only anchors with several different contexts need more: the
@@ -22,7 +22,7 @@ bytes are one class, and all but the first of a class are marked.
 Skew. Anchors with so many different contexts that they make a 200,000th of all (a passage
 in very many documents, each time in other words) are found beforehand by a count; there
 are at most 200,000 of these, which tasks get by broadcast, and their windows go to buckets one by
-one, by the hash of the whole window. Buckets hold some 400,000 contexts at any input size.
+one, by the hash of the whole window. Buckets hold some 250,000 contexts at any input size.
 
 Spark. Texts are shuffled once, to meet their marks. Blocks may differ between attempts of a
 task without a change of the result.
@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,9 @@ from lakeloom.llm.common import mixed
 from lakeloom.session import cut_lineage
 
 LENGTH, GRAM = 100, 24
-BLOCK = 1 << 23
-BUCKET = 400_000
+BLOCK = 1 << 20
+GATHERED = 8
+BUCKET = 250_000
 HOT_SHARE = 200_000
 HOT_LEAST = 2_000
 INDEX_SYMBOLS = 2_000_000
@@ -63,20 +65,25 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = np.uint64(BLOCK * 2 - 1)
 
 
+@cache
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _first_powers(base: int, n: int) -> np.ndarray:
+    return _powers(base, -(-n // (1 << 18)) << 18)[:n]
+
+
 class Hashes:
     """Hashes of any substrings of a byte array."""
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, max(n, 1))[:n], dtype=np.uint64, out=self.sums[1:])
-        self.inverse = _powers(_INVERSE, n + 1)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _first_powers(_BASE, max(n, 1))[:n], dtype=np.uint64, out=self.sums[1:])
+        self.inverse = _first_powers(_INVERSE, n + 1)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
@@ -174,8 +181,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int,
         return keys, np.frombuffer(b"".join(held[k] for k in keys), np.uint8), np.array([len(held[k]) for k in keys], np.int64)
 
     for batch in batches:
-        for id_, hash_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
+        for id_, hash_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = text.as_buffer().to_pybytes()
             for at in range(0, max(len(raw) - LENGTH + 1, 0), BLOCK // 2):
                 part = raw[at : at + BLOCK // 2 + LENGTH - 1]
                 held[(_NO_ID if id_ is None else id_, hash_, at)] = part
@@ -200,24 +207,39 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
-_MARKS = "id long, hash long, ranges binary"
-
-
-def _marks(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """One row for each document: its marked byte ranges, joined where they touch."""
-    if not len(ids):
-        return []
+def _joined(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Marked byte ranges as rows (id, hash, start, stop), joined where they touch."""
     order = np.lexsort((start, hashes, ids))
     ids, hashes, start, stop = ids[order], hashes[order], start[order], stop[order]
     new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))
     group = np.cumsum(new) - 1
     reach = np.maximum.accumulate(stop + group * np.int64(2**32)) - group * np.int64(2**32)
-    apart = np.concatenate(([True], new[1:] | (start[1:] > reach[:-1])))
-    head = np.flatnonzero(apart)
+    head = np.flatnonzero(np.concatenate(([True], new[1:] | (start[1:] > reach[:-1]))))
     tail = np.concatenate((head[1:], [len(ids)])) - 1
-    pairs = np.stack((start[head], reach[tail]), axis=1).astype(np.int32)
-    cuts = np.flatnonzero(new[head])
-    return [(int(ids[head[c]]), int(hashes[head[c]]), pairs[c:e].tobytes()) for c, e in zip(cuts, [*cuts[1:], len(head)], strict=True)]
+    return np.stack((ids[head], hashes[head], start[head], reach[tail]), axis=1)
+
+
+def _target(ids: np.ndarray, hashes: np.ndarray, targets: int) -> np.ndarray:
+    """Where a document and its marks meet."""
+    return (mixed(ids.astype(np.uint64) + mixed(hashes.astype(np.uint64))) % np.uint64(targets)).astype(np.int64)
+
+
+def _packed_marks(found: list[tuple[np.ndarray, ...]], targets: int) -> list[tuple[int, bytes]]:
+    """One row for each target: marks, compressed."""
+    columns = [np.concatenate([np.asarray(f[k], np.int64) for f in found]) for k in range(4)] if found else [np.empty(0, np.int64)]
+    if not len(columns[0]):
+        return []
+    rows = _joined(*columns)
+    target = _target(rows[:, 0], rows[:, 1], targets)
+    order = np.argsort(target, kind="stable")
+    pack = zstandard.ZstdCompressor(level=3)
+    return [(int(target[part[0]]), pack.compress(rows[part].T.tobytes())) for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1)]
+
+
+def _unpacked_marks(blobs: list[bytes]) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(unpack.decompress(b), np.int64).reshape(4, -1) for b in blobs]
+    return np.concatenate(parts, axis=1) if parts else np.empty((4, 0), np.int64)
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -227,8 +249,9 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 _FIELDS = (("id", np.int64), ("hash", np.int64), ("at", np.int32), ("count", np.uint8), ("before", np.uint8))
-_SENT = "bucket int, id long, hash long, ranges binary, windows binary, fields binary, content binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("hash", pa.int64()), ("ranges", pa.binary()), ("windows", pa.binary()), ("fields", pa.binary()), ("content", pa.binary())])
+_SENT = "bucket int, target int, marks binary, windows binary, fields binary, content binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("target", pa.int32()), *((c, pa.binary()) for c in ("marks", "windows", "fields", "content"))])
+_MARKS = "target int, marks binary"
 
 
 def _place(keys: list[tuple[int, int, int]], lengths: np.ndarray, doc: np.ndarray, window: np.ndarray):
@@ -236,38 +259,64 @@ def _place(keys: list[tuple[int, int, int]], lengths: np.ndarray, doc: np.ndarra
     return table[doc, 0], table[doc, 1], window - (np.cumsum(lengths) - lengths)[doc] + table[doc, 2]
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Contexts of several blocks in order of place, their bytes one after the other, and windows (hash, id, hash of the text, place) of hot anchors.
+
+    Without `hot`, only hashes.
+    """
+    gathered: list[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]] = []
+
+    def taken():
+        at = {k: np.concatenate([g[0][k] for g in gathered]) for k in gathered[0][0]}
+        data, windows = (np.concatenate([g[k] for g in gathered]) for k in (1, 2))
+        size = at["count"] + LENGTH - 1
+        start = np.cumsum(size) - size
+        order = np.lexsort((at["at"], at["hash"], at["id"]))
+        return {k: v[order] for k, v in at.items()} | {"start": start[order]}, data, windows
+
+    for keys, data, lengths in _blocks(batches):
+        hashes = Hashes(data)
+        doc, window, count, place, gram = anchors(data, lengths, hashes)
+        ids, texts, at = _place(keys, lengths, doc, window)
+        content = hashes.of(window, window + count + LENGTH - 1) ^ mixed((place - window).astype(np.uint64))
+        fields = {"id": ids, "hash": texts, "at": at, "count": count, "before": place - window, "gram": gram, "content": content}
+        none = np.empty(0, np.uint8), np.empty((0, 4), np.int64)
+        if hot is None:
+            gathered.append((fields, *none))
+        else:
+            crowded = np.isin(gram, hot)
+            one = _ragged(window[crowded], count[crowded])
+            wid, wtext, wat = _place(keys, lengths, np.repeat(doc[crowded], count[crowded]), one)
+            windows = np.stack((hashes.of(one, one + LENGTH).astype(np.int64), wid, wtext, wat), axis=1)
+            rest = ~crowded
+            gathered.append(({k: v[rest] for k, v in fields.items()}, data[_ragged(window[rest], count[rest] + LENGTH - 1)], windows))
+        del hashes, data
+        if len(gathered) == GATHERED:
+            yield taken()
+            gathered.clear()
+    if gathered:
+        yield taken()
+
+
 def _dealt(rows: DataFrame, buckets: int, hot) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for keys, data, lengths in _blocks(batches):
-            hashes = Hashes(data)
-            doc, window, count, place, gram = anchors(data, lengths, hashes)
-            ids, texts, at = _place(keys, lengths, doc, window)
-            content = hashes.of(window, window + count + LENGTH - 1) ^ mixed((place - window).astype(np.uint64))
-            fresh = _first_of(gram, content)
-            out = [(hash((i, h)) % buckets, i, h, r, None, None, None) for i, h, r in _marks(ids[~fresh], texts[~fresh], at[~fresh], (at + count + LENGTH - 1)[~fresh])]
-            crowded = np.isin(gram, hot.value) & fresh
-            one = _ragged(window[crowded], count[crowded])
-            if len(one):
-                owner = np.repeat(doc[crowded], count[crowded])
-                whole = hashes.of(one, one + LENGTH)
-                wid, wtext, wat = _place(keys, lengths, owner, one)
-                record = np.stack((whole.astype(np.int64), wid, wtext, wat), axis=1)
-                target = (whole % np.uint64(buckets)).astype(np.int64)
+        for at, data, windows in _contexts(batches, hot.value):
+            fresh = _first_of(at["gram"], at["content"])
+            known = [at[k][~fresh] for k in ("id", "hash", "at")]
+            out = [(t, t, m, None, None, None) for t, m in _packed_marks([(*known, known[2] + at["count"][~fresh] + LENGTH - 1)], buckets)]
+            if len(windows):
+                target = (windows[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
-                cuts = np.flatnonzero(np.diff(target[order])) + 1
-                for part in np.split(order, cuts):
-                    out.append((int(target[part[0]]), None, None, None, pack.compress(record[part].tobytes()), None, None))
-            rest = np.flatnonzero(fresh & ~crowded)
-            if len(rest):
-                target = (mixed(gram[rest]) % np.uint64(buckets)).astype(np.int64)
-                rest = rest[np.argsort(target, kind="stable")]
-                target = np.sort(target, kind="stable")
-                for part in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(target)) + 1):
-                    own = rest[part]
-                    values = (ids[own], texts[own], at[own], count[own], (place - window)[own])
-                    fields = b"".join(v.astype(t).tobytes() for v, (_, t) in zip(values, _FIELDS, strict=True))
-                    out.append((int(target[part[0]]), None, None, None, None, pack.compress(fields), pack.compress(data[_ragged(window[own], count[own] + LENGTH - 1)].tobytes())))
+                for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1):
+                    out.append((int(target[part[0]]), None, None, pack.compress(windows[part].T.tobytes()), None, None))
+            rest = np.flatnonzero(fresh)
+            target = (mixed(at["gram"][rest]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(target, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(rest) else []:
+                own = rest[part]
+                fields = b"".join(at[name][own].astype(kind).tobytes() for name, kind in _FIELDS)
+                out.append((int(target[part[0]]), None, None, None, pack.compress(fields), pack.compress(data[_ragged(at["start"][own], at["count"][own] + LENGTH - 1)].tobytes())))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000], strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW)
 
@@ -313,18 +362,42 @@ def _several(at: dict[str, np.ndarray], chosen: np.ndarray, contents: list[bytes
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(contents[b]), np.uint8)
             mine = blob[own] == b
             text[_ragged((stops - size)[mine], size[mine])] = data[_ragged(row[own][mine], size[mine])]
-        start = stops - size + np.arange(len(own))  # with a separator after each
-        first = RunIndex(text, size).first_equal(LENGTH)
-        places = _ragged(start, at["count"][own])
+        starts = stops - size
+        hashes = Hashes(text)
+        window = _ragged(starts, at["count"][own])
+        owner = np.repeat(np.arange(len(own)), at["count"][own])
+        whole = hashes.of(window, window + LENGTH)
+        order = np.argsort(whole, kind="stable")
+        equal = whole[order][1:] == whole[order][:-1]
+        shared = np.zeros(len(window), bool)
+        shared[order[1:][equal]] = True
+        shared[order[:-1][equal]] = True
+        # Pieces: runs of windows that stand in several contexts. Only one of equal pieces goes into the index.
+        head = np.flatnonzero(shared & np.concatenate(([True], ~shared[:-1] | (owner[1:] != owner[:-1]))))
+        if not len(head):
+            continue
+        tail = np.flatnonzero(shared & np.concatenate((~shared[1:] | (owner[1:] != owner[:-1]), [True])))
+        begin, end = window[head], window[tail] + LENGTH
+        name = hashes.of(begin, end) ^ mixed((end - begin).astype(np.uint64))
+        fresh = _first_of(name)
+        place = owner[head]
+        offset = at["at"][own][place] + begin - starts[place]
+        ids, texts = at["id"][own][place], at["hash"][own][place]
+        yield ids[~fresh], texts[~fresh], offset[~fresh], (offset + end - begin)[~fresh]
+        begin, length = begin[fresh], (end - begin)[fresh]
+        ids, texts, offset = ids[fresh], texts[fresh], offset[fresh]
+        first = RunIndex(text[_ragged(begin, length)], length).first_equal(LENGTH)
+        put = np.cumsum(length) - length + np.arange(len(length))  # with a separator after each
+        places = _ragged(put, length - LENGTH + 1)
         again = first[places] < places
-        owner = np.repeat(own, at["count"][own])[again]
-        begin = at["at"][owner] + (places - np.repeat(start, at["count"][own]))[again]
-        yield at["id"][owner], at["hash"][owner], begin, begin + LENGTH
+        piece = np.repeat(np.arange(len(length)), length - LENGTH + 1)[again]
+        at_byte = offset[piece] + places[again] - put[piece]
+        yield ids[piece], texts[piece], at_byte, at_byte + LENGTH
 
 
-def _resolve(table: pa.Table) -> pa.Table:
+def _resolve(table: pa.Table, targets: int) -> pa.Table:
     """One bucket: marks that blocks sent along, then those among its contexts and windows."""
-    out = [(i, h, r) for i, h, r in zip(table["id"].to_pylist(), table["hash"].to_pylist(), table["ranges"].to_pylist(), strict=True) if r is not None]
+    out = [x for x in zip(table["target"].to_pylist(), table["marks"].to_pylist(), strict=True) if x[1] is not None]
     blobs = [x for x in zip(table["fields"].to_pylist(), table["content"].to_pylist(), strict=True) if x[0] is not None]
     found: list[tuple[np.ndarray, ...]] = []
     if blobs:
@@ -347,28 +420,24 @@ def _resolve(table: pa.Table) -> pa.Table:
         shared[:-1] |= lone[1:] == lone[:-1]
         if shared.any():
             found += _several(at, order[head][shared], contents, blob, row)
-    records = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(-1, 4) for x in table["windows"].to_pylist() if x is not None]
+    records = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64).reshape(4, -1).T for x in table["windows"].to_pylist() if x is not None]
     if records:
         r = np.concatenate(records)
         r = r[np.lexsort((r[:, 3], r[:, 2], r[:, 1], r[:, 0]))]
         leader = np.maximum.accumulate(np.where(np.concatenate(([True], r[1:, 0] != r[:-1, 0])), np.arange(len(r)), 0))
         r = r[(r[:, 1:] != r[leader, 1:]).any(axis=1)]
         found.append((r[:, 1], r[:, 2], r[:, 3], r[:, 3] + LENGTH))
-    if found:
-        out += _marks(*(np.concatenate([f[k] for f in found]) for k in range(4)))
-    columns = list(zip(*out, strict=True)) or [[]] * 3
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["id", "hash", "ranges"])
+    out += _packed_marks(found, targets)
+    return pa.table([pa.array([t for t, _ in out], pa.int32()), pa.array([m for _, m in out], pa.binary())], names=["target", "marks"])
 
 
 def _crowded(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Anchors of very many different contexts (sorted hashes, at most HOT_SHARE), and the number of all contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, lengths in _blocks(batches):
-            hashes = Hashes(data)
-            _, window, count, place, gram = anchors(data, lengths, hashes)
-            fresh = _first_of(gram, hashes.of(window, window + count + LENGTH - 1) ^ mixed((place - window).astype(np.uint64)))
-            value, times = np.unique(gram[fresh], return_counts=True)
+        for at, _, _ in _contexts(batches, None):
+            fresh = _first_of(at["gram"], at["content"])
+            value, times = np.unique(at["gram"][fresh], return_counts=True)
             many = times > 1
             total = int(fresh.sum())
             yield pa.RecordBatch.from_arrays([pa.array([None, *value[many].astype(np.int64).tolist()], pa.int64()), pa.array([total, *times[many].tolist()], pa.int64())], names=["gram", "times"])
@@ -379,64 +448,78 @@ def _crowded(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.sort(np.array([r["gram"] for r in hot], np.int64).astype(np.uint64)), total
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, hash of the text, list of ranges) of documents with bytes to remove; ranges are pairs of int32."""
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Marks of all documents, packed by target, and the number of targets."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     spark = docs.sparkSession
     hot, total = _crowded(rows)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
     sent = _dealt(rows, buckets, spark.sparkContext.broadcast(hot))
-    marks = sent.groupBy("bucket").applyInArrow(_resolve, _MARKS)
-    known = F.when(F.col("id") != _NO_ID, F.col("id")).alias("id")
-    return marks.select(known, "hash", "ranges").groupBy("id", "hash").agg(F.collect_list("ranges").alias("ranges"))
+    return sent.groupBy("bucket").applyInArrow(lambda table: _resolve(table, buckets), _MARKS), buckets
 
 
-def kept_bytes(raw: bytes, ranges: list[bytes] | None) -> tuple[bytes, int, int]:
+def kept_bytes(raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
     """What stays of a text, how many bytes go, and in how many runs."""
-    if not ranges:
+    if not len(start):
         return raw, 0, 0
-    pairs = np.frombuffer(b"".join(ranges), np.int32).reshape(-1, 2)
     edges = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(edges, pairs[:, 0], 1)
-    np.add.at(edges, pairs[:, 1], -1)
+    np.add.at(edges, start, 1)
+    np.add.at(edges, stop, -1)
     gone = np.cumsum(edges[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _with_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("ranges").alias("__ranges"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left").drop("__id", "__hash")
-
+def _cut(docs: DataFrame, id_col: str, text_col: str, keep: list[str], made: str, make) -> DataFrame:
+    """`keep` columns of `docs`, and those `made` of each text, what stays of it, removed bytes and runs.
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with repeats cut out of their texts; bytes left over from a cut character become U+FFFD. A null text stays null."""
-    both = _with_ranges(docs, id_col, text_col)
-    at = docs.columns.index(text_col)
+    Documents go to their target with their text compressed, and meet its marks there.
+    """
+    marks, targets = repeats(docs, id_col, text_col)
+    carried = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__hash"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(keep)])
+    extra = list(carried.schema.fields[3:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = [t if not r else kept_bytes(t.encode("utf-8", "surrogatepass"), r)[0].decode("utf-8", "replace") for t, r in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            ids, hashes = batch.column(0), batch.column(1)
+            target = _target(ids.fill_null(_NO_ID).to_numpy(), hashes.to_numpy(), targets)
+            texts = [packer.compress(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), ids, hashes, pa.array(texts, pa.binary()), *batch.columns[3:]], names=["target", "id", "hash", "packed", *batch.schema.names[3:]])
+
+    fields = [*T._parse_datatype_string("target int, id long, hash long, packed binary").fields, *extra]
+    packed = carried.mapInArrow(pack, T.StructType(fields))
+    new = T._parse_datatype_string(made).fields
+
+    def cut(key: tuple, rows: pa.Table, found: pa.Table) -> pa.Table:
+        ids, hashes, start, stop = _unpacked_marks(found["marks"].to_pylist())
+        order = np.lexsort((hashes, ids))
+        ids, hashes, start, stop = ids[order], hashes[order], start[order], stop[order]
+        heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])))) if len(ids) else np.empty(0, np.int64)
+        where = {(int(ids[a]), int(hashes[a])): (int(a), int(b)) for a, b in zip(heads, [*heads[1:], len(ids)], strict=False)}
+        unpack = zstandard.ZstdDecompressor()
+        out = []
+        for i, h, p in zip(rows["id"].to_pylist(), rows["hash"].to_pylist(), rows["packed"], strict=True):
+            raw = unpack.decompress(p.as_py()) if p.is_valid else b""
+            a, b = where.get((_NO_ID if i is None else i, h), (0, 0))
+            out.append(make(p.is_valid, raw, *kept_bytes(raw, start[a:b], stop[a:b])))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.table([*(rows[f"__c{k}"] for k in range(len(keep))), *columns], names=names)
+
+    kinds = [{"bigint": pa.int64(), "string": pa.string()}[f.dataType.simpleString()] for f in new]
+    names = [f.name for f in (*extra, *new)]
+    both = packed.groupBy("target").cogroup(marks.groupBy("target")).applyInArrow(cut, T.StructType([*extra, *new]))
+    return both.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(keep)], *[f.name for f in new])
+
 
-    return both.mapInArrow(run, T.StructType(list(docs.schema.fields)))
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with repeats cut out of their texts; bytes left over from a cut character become U+FFFD. A null text stays null."""
+    others = [c for c in docs.columns if c != text_col]
+    done = _cut(docs, id_col, text_col, others, "__new string", lambda known, raw, kept, removed, runs: (kept.decode("utf-8", "replace") if known else None,))
+    return done.select(*[F.col("__new").alias(c) if c == text_col else c for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                kept, removed, runs = kept_bytes(raw, ranges)
-                out.append((len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
-            n = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n[:3]), pa.array(n[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _with_ranges(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cut(docs, "doc_id", "text", ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda known, raw, kept, removed, runs: (len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
