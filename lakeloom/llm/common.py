@@ -64,3 +64,23 @@ def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
     for i in range(size):
         total += mixed(hashes[i : n - size + 1 + i] * _PLACES[i % 5] + np.uint64(i))
     return np.unique(mixed(total))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Coefficients of a logistic fit with an intercept (last): damped Newton steps on scaled columns, so that separable classes do no harm."""
+    x = x.reshape(len(y), -1)
+    middle, spread = x.mean(axis=0), np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1.0)
+    z = np.column_stack(((x - middle) / spread, np.ones(len(y))))
+    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
+    loss = lambda b: np.logaddexp(0, z @ b).sum() - y @ (z @ b) + b @ penalty @ b / 2
+    beta = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ beta)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return np.append(beta[:-1] / spread, beta[-1] - (beta[:-1] * middle / spread).sum())

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import shielded
+from lakeloom.llm.common import logistic, shielded
 from lakeloom.llm.toxicity import held_out
 
 FEATURES = 1 << 16
@@ -111,18 +111,6 @@ class View:
         return max(-30.0, min(30.0, self.slope * total + self.offset))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Coefficients of a logistic fit with an intercept (last), by Newton steps."""
-    x = np.column_stack((x, np.ones(len(y))))
-    beta = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        beta = beta + np.clip(np.linalg.solve((x * w[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta), -3, 3)
-    return beta
-
-
 @dataclass
 class Model:
     text: View
@@ -189,7 +177,7 @@ def _calibrated(text: View, meta: View, labelled: DataFrame) -> Model:
 
     found = labelled.mapInArrow(run, "y int, t double, m double").toPandas()
     y, t, m = (found[c].to_numpy(np.float64) for c in ("y", "t", "m"))
-    (text.slope, text.offset), (meta.slope, meta.offset) = logistic(t, y), logistic(m, y)
+    (text.slope, text.offset), (meta.slope, meta.offset) = (map(float, logistic(v, y)) for v in (t, m))
     z = np.column_stack(([text.logit(v) for v in t], [meta.logit(v) for v in m]))
     return Model(text, meta, logistic(z, y))
 

@@ -5,7 +5,9 @@ Model. A token's score is the log-odds of its rate among toxic against other lab
 prior: pseudo counts in proportion to the token's share of all labelled texts. A word's tokens are itself and its
 stems (its first 3 to 8 letters). Scores are shrunk by their own standard error, so that
 rare tokens say little, and the model keeps at most `MAX_TOKENS` tokens whose scores stay
-positive; a word scores as the best of its tokens, or a small negative default.
+positive; a word scores as the best of its tokens, or a small negative default. A short stem
+can look toxic only because a toxic word begins with it, so tokens are counted again, each
+word for its best token alone. Near copies among the labelled texts count once.
 
 Search. All maximal segments of a text's score sequence with a positive sum are found in
 linear time (Ruzzo and Tompa). A text's statistic is how surprising its best segments are
@@ -17,8 +19,8 @@ text's significant segments are aggregated by Fisher's method into one number, w
 logistic curve fitted on labelled texts turns into a probability.
 
 Spark. The classifier is fitted on at most `SAMPLE` labelled rows, those with the smallest
-hashes of their ids; with that bound the labels are broadcast, so texts are never shuffled;
-token counts are combined on the map side. Every document is scored in one pass, whole.
+hashes of their ids; with that bound the labels are broadcast, and only the texts of the sample
+are shuffled; token counts are combined on the map side. Every document is scored in one pass, whole.
 
 Defined cases: null and empty texts get the score of a text without segments; documents
 with contradicting labels count as toxic; labels other than 0 and 1 are ignored; without
@@ -39,12 +41,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import shielded
+from lakeloom.llm.common import logistic, mixed, shielded, shingles
 from lakeloom.session import cut_lineage
 
 #: Bound of labelled rows that the classifier is fitted on, and of tokens it keeps.
 SAMPLE = 40_000
 MAX_TOKENS = 50_000
+#: How often tokens are counted again with each word credited to its best token.
+CREDITED = 2
 STEMS = (3, 4, 5, 6, 7, 8)
 CACHED = 300_000
 DEFAULT = -0.25
@@ -84,6 +88,29 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
+def tokens_of(word: str) -> list[str]:
+    """A word and its stems."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)]
+
+
+def _distinct(texts: DataFrame) -> DataFrame:
+    """Of rows (y, text) one of each group of near copies: rows with an equal MinHash of three-word runs, for each of three hashes in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for text in batch.column(1).to_pylist():
+                found = shingles([w.encode("utf-8", "surrogatepass") for w in words_of(text)], 3)
+                keys.append([int(mixed(found ^ np.uint64(k)).min()) - 2**63 if len(found) else 0 for k in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["y", "text", "keys"])
+
+    rows = texts.mapInArrow(run, "y int, text string, keys array<long>")
+    for k in range(3):
+        one = F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text", "keys")).alias("r")
+        rows = rows.groupBy(F.col("keys")[k].alias("key")).agg(one).select("r.y", "r.text", "r.keys")
+    return cut_lineage(rows.select("y", "text"))
+
+
 def sample_labels(labels: DataFrame, label_col: str, training: Column, limit: int = SAMPLE) -> DataFrame:
     """At most `limit` labelled rows (doc_id, y), the same ones every time."""
     known = labels.filter(training & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -91,9 +118,12 @@ def sample_labels(labels: DataFrame, label_col: str, training: Column, limit: in
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def token_scores(counts: list[tuple[str, int, int]], n1: int, n0: int, prior: float = 10.0, errors: float = 2.5) -> dict[str, float]:
-    """Shrunk log-odds by token from rows (token, toxic texts with it, other texts with it), of n1 toxic and n0 other texts."""
-    found = []
+def token_scores(counts: list[tuple[str, int, int]], n1: int, n0: int, errors: float = 2.5) -> dict[str, float]:
+    """Shrunk log-odds by token from rows (token, toxic texts with it, other texts with it), of n1 toxic and n0 other texts.
+
+    The prior counts as a twentieth of the texts.
+    """
+    found, prior = [], max(10.0, (n1 + n0) / 20)
     for token, k1, k0 in counts:
         a = prior * (k1 + k0) / (n1 + n0)
         odds = lambda k, n: math.log((k + a) / (n + prior - k - a))
@@ -121,7 +151,7 @@ class Model:
         for w in words:
             s = cache.get(w)
             if s is None:
-                s = cache[w] = max([get(w, DEFAULT), *(get(f"{w[:k]}*", DEFAULT) for k in STEMS if len(w) > k)])
+                s = cache[w] = max(get(t, DEFAULT) for t in tokens_of(w))
             out.append(s)
         return out
 
@@ -153,52 +183,55 @@ class Model:
         self.k = max(1e-9, (len(clean) - none + 1) / (sum(weights) + 1)) if len(clean) > none else 1 / (1 + sum(n for n, _ in clean))
         x = np.array([math.log1p(self.surprise(n, found)) for _, n, found in maxima])
         y = np.array([t for t, _, _ in maxima], float)
-        a, b = 0.0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-        for _ in range(50):  # Newton steps of a logistic fit with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w = p * (1 - p) + 1e-9
-            g = np.array([((y - p) * x).sum() - 1e-2 * a, (y - p).sum()])
-            h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]])
-            step = np.clip(np.linalg.solve(h, g), -2, 2)
-            a, b = a + step[0], b + step[1]
-        self.slope, self.offset = float(a), float(b)
+        self.slope, self.offset = map(float, logistic(x, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows for which `training` (a condition on the labels' doc_id) holds."""
     sample = sample_labels(labels, label_col, F.lit(True) if training is None else training).withColumnRenamed("doc_id", "__id")
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("y", "__text")
-
+    texts = _distinct(texts)
     names = ["token", "k1", "k0"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, list[int]] = {"": [0, 0]}
-
-        def taken() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*n.values(), strict=True))], names=names)
-
-        for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(words_of(text))
-                for t in (words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k} | {""}):
-                    row = n.get(t)
-                    if row is None:
-                        row = n[t] = [0, 0]
-                    row[1 - y] += 1
-            if len(n) > 200_000:
-                yield taken()
-                n = {"": [0, 0]}
-        yield taken()
-
-    counts = texts.mapInArrow(count, "token string, k1 long, k0 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    totals = counts.filter(F.col("token") == "").select("k1", "k0").collect()
-    n1, n0 = (int(totals[0][0]), int(totals[0][1])) if totals else (0, 0)
-    if not n1 or not n0:
-        return Model({})
-    # No more tokens come back than the model can use: those that are most frequent in toxic texts against others.
-    better = counts.filter((F.col("token") != "") & (F.col("k1") >= 3) & (F.col("k1") * n0 > F.col("k0") * n1))
-    rows = better.orderBy(F.desc(F.col("k1") / (F.col("k1") + F.col("k0") + 5)), "token").limit(2 * MAX_TOKENS).collect()
-    model = Model(token_scores([tuple(r) for r in rows], n1, n0))
+    def counted(known: dict[str, float] | None) -> DataFrame:
+        """Texts with each token, by label; with known scores a word counts for its best token alone."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n: dict[str, list[int]] = {"": [0, 0]}
+
+            def taken() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*n.values(), strict=True))], names=names)
+
+            for batch in batches:
+                for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    tokens = {""}
+                    for word in set(words_of(text)):
+                        own = tokens_of(word)
+                        tokens.update(own if known is None else [best] if (best := max(own, key=lambda t: known.get(t, 0.0))) in known else ())
+                    for t in tokens:
+                        row = n.get(t)
+                        if row is None:
+                            row = n[t] = [0, 0]
+                        row[1 - y] += 1
+                if len(n) > 200_000:
+                    yield taken()
+                    n = {"": [0, 0]}
+            yield taken()
+
+        return texts.mapInArrow(count, "token string, k1 long, k0 long").groupBy("token").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+    known = None
+    for _ in range(1 + CREDITED):
+        counts = cut_lineage(counted(known))
+        totals = counts.filter(F.col("token") == "").select("k1", "k0").collect()
+        n1, n0 = (int(totals[0][0]), int(totals[0][1])) if totals else (0, 0)
+        if not n1 or not n0:
+            return Model({})
+        # No more tokens come back than the model can use: those that are most frequent in toxic texts against others.
+        better = counts.filter((F.col("token") != "") & (F.col("k1") >= 3) & (F.col("k1") * n0 > F.col("k0") * n1))
+        rows = better.orderBy(F.desc(F.col("k1") / (F.col("k1") + F.col("k0") + 5)), "token").limit(2 * MAX_TOKENS).collect()
+        known = token_scores([tuple(r) for r in rows], n1, n0)
+    model = Model(known)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
