@@ -27,7 +27,7 @@ def as_of(snapshots: DataFrame, before: Column) -> DataFrame:
     """Rows of each source's latest snapshot not after a time."""
     seen = snapshots.filter(F.col("base_at") <= before)
     last = seen.groupBy("source").agg(F.max("base_at").alias("base_at"))
-    return seen.join(F.broadcast(last.limit(10_000)), ["source", "base_at"])
+    return seen.join(last, ["source", "base_at"])
 
 
 def unit_sums(snapshots: DataFrame, members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import default_if_empty, natural_key, normalize_field_name, number_strip, replace_code, strip_text, typed
@@ -137,7 +137,9 @@ def previews(rows: DataFrame, number: str, most: int = 3) -> DataFrame:
     fields = [c for c in rows.columns if c != number]
     tall = rows.select(number, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields])).alias("x")).select(number, "x.*")
     first = tall.filter(F.trim("value") != "").groupBy("field", "value").agg(F.min(number).alias("at"))
-    listed = first.groupBy("field").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "value"))), 1, most).alias("x"))
+    # The row number lets Spark keep so many rows of a field on the map side.
+    few = first.withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy("at", "value"))).filter(F.col("n") <= most)
+    listed = few.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
     return listed.select("field", F.array_join(F.transform("x", lambda v: v["value"]), "|").alias("samples"))
 
 
@@ -170,8 +172,8 @@ def suggestions(fields: DataFrame, targets: DataFrame) -> DataFrame:
     name = normalize_field_name(F.col("field"))
     named = fields.withColumn("name", name)
     by_alias = named.join(alias, F.col("name") == normalize_field_name(F.col("alias"))).select("field", "target", F.lit(100).alias("points"))
-    by_part = named.join(F.broadcast(targets.limit(1000)), F.contains("name", normalize_field_name(F.col("target")))).select("field", "target", F.lit(60).alias("points"))
-    by_kind = named.join(F.broadcast(targets.limit(1000)), named["kind"] == targets["kind"]).select("field", "target", F.lit(40).alias("points"))
+    by_part = named.join(targets, F.contains("name", normalize_field_name(F.col("target")))).select("field", "target", F.lit(60).alias("points"))
+    by_kind = named.join(targets, named["kind"] == targets["kind"]).select("field", "target", F.lit(40).alias("points"))
     scores = by_alias.distinct().unionByName(by_part).unionByName(by_kind).groupBy("field", "target").agg(F.sum("points").alias("score")).filter("score >= 80")
     best = scores.groupBy("field").agg(F.max_by(F.struct("target", "score"), F.struct("score", "target")).alias("b")).select("field", "b.*")
     return best.groupBy("target").agg(F.max_by(F.struct("field", "score"), F.struct("score", "field")).alias("b")).select("target", "b.*")

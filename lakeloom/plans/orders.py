@@ -56,11 +56,10 @@ def eligible(channels: DataFrame, least: int = 5000, share: float = 0.3) -> Data
 
 
 def reorder(rules: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Rules in a wanted order, those not named behind in their old order; places are tens."""
+    """Rules in a wanted order, those not named behind in their old order; places are tens. The list is one that people keep by hand, so it is one group."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col("name")), F.lit(0))
-    known = rules.limit(10_000)  # a list that people keep by hand
     w = Window.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(F.lit(2**31)), "sort_order", "name")
-    return known.withColumn("sort_order", F.row_number().over(w) * 10)
+    return rules.withColumn("sort_order", F.row_number().over(w) * 10)
 
 
 def merge_totals(scores: DataFrame, reviews: DataFrame, most: float = 30.0) -> DataFrame:

@@ -144,8 +144,8 @@ def cost_per_view(m: DataFrame, rubric: Rubric = Rubric()) -> DataFrame:
 
 
 def campaign_scores(m: DataFrame, campaigns: DataFrame, rubric: Rubric = Rubric()) -> DataFrame:
-    """Totals of all channels in all campaigns: the campaigns are a short list (at most 1,000) inside each channel's row."""
-    listed = campaigns.limit(1000).agg(F.collect_list(F.struct("campaign", "reach_min", "reach_max", "subscriber_min")).alias("c"))
+    """Totals of all channels in all campaigns: the campaigns are a short list inside each channel's row."""
+    listed = campaigns.agg(F.collect_list(F.struct("campaign", "reach_min", "reach_max", "subscriber_min")).alias("c"))
     both = m.withColumn("k", F.lit(1)).join(F.broadcast(listed.withColumn("k", F.lit(1))), "k").drop("k").select(*m.columns, F.explode("c").alias("c")).select(*m.columns, "c.*")
     reach = reach_points(F.col("median_views"), F.col("reach_min"), F.col("reach_max"), rubric.reach)
     fits = F.col("subscribers") >= F.col("subscriber_min")
