@@ -41,8 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 6_000_000
+CHUNK_TOKENS = 300_000
 SHORT = 100
+LEVEL = 9
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -108,7 +110,7 @@ def _pack(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     for a in arrays:
         width = a.dtype.itemsize
         parts += [struct.pack("<cI", a.dtype.char.encode(), len(a)), np.ascontiguousarray(a).view(np.uint8).reshape(-1, width).T.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, tail]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*parts, tail]))
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -226,15 +228,24 @@ def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, tex
             raise RuntimeError("the documents changed between two attempts of a task; write them to a table first")
         start, size = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
         start[local], size[local] = np.cumsum(sizes) - sizes, sizes
-        numbers = numbers.astype(np.int64) - 1
-        numbers[numbers < 0] = int(words[0]) + np.arange(int(words[1]))
-        lengths = size[numbers]
-        stops = np.cumsum(lengths)
-        places = np.repeat(start[numbers] - (stops - lengths), lengths)
-        places += np.arange(len(places))
-        offsets = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        nexts = np.flatnonzero(numbers == 0)
+        numbers = numbers - np.uint32(1)
+        numbers[nexts] = words[0] + np.arange(len(nexts), dtype=np.uint32)
         keys = pa.array([k if ok else None for k, ok in zip(own.tolist(), known.tolist(), strict=True)], pa.int64())
-        return make(keys, offsets, ids[places])
+        ends = np.cumsum(counts, dtype=np.int64)
+        made, first = [], 0
+        while first < len(ends):  # some documents at a time
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + CHUNK_TOKENS, "right")))
+            mine = numbers[done : int(ends[last - 1])]
+            lengths = size[mine]
+            stops = np.cumsum(lengths)
+            places = np.repeat(start[mine] - (stops - lengths), lengths)
+            places += np.arange(len(places))
+            offsets = np.concatenate(([0], stops))[np.concatenate(([0], ends[first:last] - done))]
+            made.append(make(keys[first:last], offsets, ids[places]))
+            first = last
+        return pa.concat_tables(made)
 
     return merged.groupBy("gid").applyInArrow(assemble, schema)
 
