@@ -50,7 +50,7 @@ MAX_TOKENS = 50_000
 #: How often tokens are counted again with each word credited to its best token.
 CREDITED = 2
 STEMS = (3, 4, 5, 6, 7, 8)
-CACHED = 300_000
+CACHED = 60_000
 DEFAULT = -0.25
 LIMIT = 0.7
 
@@ -99,7 +99,8 @@ def _distinct(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for text in batch.column(1).to_pylist():
+            for cell in batch.column(1):
+                text = cell.as_py()
                 found = shingles([w.encode("utf-8", "surrogatepass") for w in words_of(text)], 3)
                 keys.append([int(mixed(found ^ np.uint64(k)).min()) - 2**63 if len(found) else 0 for k in (1, 2, 3)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["y", "text", "keys"])
@@ -203,9 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
                 return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in zip(*n.values(), strict=True))], names=names)
 
             for batch in batches:
-                for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     tokens = {""}
-                    for word in set(words_of(text)):
+                    for word in set(words_of(text.as_py())):
                         own = tokens_of(word)
                         tokens.update(own if known is None else [best] if (best := max(own, key=lambda t: known.get(t, 0.0))) in known else ())
                     for t in tokens:
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
                         if row is None:
                             row = n[t] = [0, 0]
                         row[1 - y] += 1
-                if len(n) > 200_000:
+                if len(n) > 60_000:
                     yield taken()
                     n = {"": [0, 0]}
             yield taken()
@@ -236,8 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = words_of(text.as_py())
                 scores = model.scores(words)
                 found = segments(scores)
                 n = Counter(scores)
@@ -269,8 +270,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             values, passages = [], []
-            for text in batch.column(at).to_pylist():
-                n, found = m.find(text)
+            for text in batch.column(at):
+                n, found = m.find(text.as_py())
                 values.append(m.probability(m.surprise(n, found)))
                 limit = math.log(m.k * max(n, 1) / 0.05) / m.rate
                 passages.append([{"first": a, "end": b, "sum": s} for a, b, s in found if s > limit])
