@@ -20,9 +20,9 @@ members' differences from the centre must have in common: with q = (1 - s) / (1
 size of a difference from C and n for sizes of sets, a link of I and J needs
 t = (d(I) + d(J) - q (n(I) + n(J))) / 2 common elements, which is more than
 (d(I) + q (n(C) - n(I))) / 2 and at least (d(J) - q (n(C) + n(J))) / (1 + q). So both
-differences, in one order, must share an element near their beginnings (prefix filter), with t
-elements left in both from there on (positional filter), and enough of them near their
-beginnings to make t with all that comes later. The order puts last what a sample
+differences, in one order, must share an element near their beginnings (prefix filter), the
+first of these with t elements left in both from there on (positional filter), and enough of
+them near their beginnings to make t with all that comes later. The order puts last what a sample
 of the centre's members has most often; any order gives the same links. Copies with edits of
 their own share next to nothing but what comes last, however large their group.
 
@@ -195,9 +195,10 @@ def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: in
     able = 100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")
     wanted = more * (F.col("di") + F.col("dj")) - less * (F.col("ni") + F.col("nj"))  # 2 * more * t
     left = F.least(F.col("di") - F.col("pi"), F.col("dj") - F.col("pj"))
-    met = inside.join(outside, ["center", "token"]).filter((F.col("ri") != F.col("rj")) & able & (wanted <= 2 * more * left))
-    counted = met.groupBy("center", "i", "j", wanted.alias("wanted"), F.greatest("li", "lj").alias("later")).agg(F.count(F.lit(1)).alias("shared"))
-    met = counted.filter(F.col("wanted") <= 2 * more * (F.col("shared") + F.col("later")))
+    met = inside.join(outside, ["center", "token"]).filter((F.col("ri") != F.col("rj")) & able)
+    # Most is left in both at a pair's first shared element; elements after it count however little is left there.
+    counted = met.groupBy("center", "i", "j", wanted.alias("wanted"), F.greatest("li", "lj").alias("later")).agg(F.count(F.lit(1)).alias("shared"), F.max(left).alias("left"))
+    met = counted.filter(F.col("wanted") <= 2 * more * F.least(F.col("left"), F.col("shared") + F.col("later")))
     return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
