@@ -195,16 +195,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int,
         yield taken()
 
 
-def _first_of(*keys: np.ndarray) -> np.ndarray:
-    """Whether a row is the first with its keys."""
+def _leader(*keys: np.ndarray) -> np.ndarray:
+    """For each row the first row with its keys."""
     order = np.lexsort(keys[::-1])
     change = np.zeros(len(order), bool)
     change[:1] = True
     for k in keys:
         change[1:] |= k[order[1:]] != k[order[:-1]]
-    first = np.zeros(len(order), bool)
-    first[order[change]] = True
-    return first
+    leader = np.empty(len(order), np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))]
+    return leader
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row is the first with its keys."""
+    return _leader(*keys) == np.arange(len(keys[0]))
 
 
 def _joined(ids: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -302,9 +307,11 @@ def _dealt(rows: DataFrame, buckets: int, hot) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for at, data, windows in _contexts(batches, hot.value):
-            fresh = _first_of(at["gram"], at["content"])
-            known = [at[k][~fresh] for k in ("id", "hash", "at")]
-            out = [(t, t, m, None, None, None) for t, m in _packed_marks([(*known, known[2] + at["count"][~fresh] + LENGTH - 1)], buckets)]
+            leader = _leader(at["gram"], at["content"])
+            fresh = leader == np.arange(len(leader))
+            again = np.logical_or.reduce([at[k] != at[k][leader] for k in ("id", "hash", "at")])  # equal places are the same row of the table again
+            known = [at[k][again] for k in ("id", "hash", "at")]
+            out = [(t, t, m, None, None, None) for t, m in _packed_marks([(*known, known[2] + at["count"][again] + LENGTH - 1)], buckets)]
             if len(windows):
                 target = (windows[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(target, kind="stable")
