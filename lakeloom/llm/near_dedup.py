@@ -18,16 +18,21 @@ Stars alone could lose a link between two members that are in different componen
 At least one of them, J, is not linked to the centre C, and this bounds from below how much both
 members' differences from the centre must have in common: with q = (1 - s) / (1 + s), d for the
 size of a difference from C and n for sizes of sets, a link of I and J needs
-t = (d(I) + d(J) - q (n(I) + n(J))) / 2 common elements, which is more than
-(d(I) + q (n(C) - n(I))) / 2 and at least (d(J) - q (n(C) + n(J))) / (1 + q). So both
-differences, in one order, must share an element near their beginnings (prefix filter), the
-first of these with t elements left in both from there on (positional filter), and enough of
-them near their beginnings to make t with all that comes later. The order puts last what a sample
-of the centre's members has most often; any order gives the same links. Copies with edits of
-their own share next to nothing but what comes last, however large their group.
+t = (d(I) + d(J) - q (n(I) + n(J))) / 2 common elements. This is more than
+(d(I) + q (n(C) - n(I))) / 2, at least (d(J) - q (n(C) + n(J))) / (1 + q), and, as linked sets
+are about as far from any third, at least d - n (1 - s) / s for either. A difference is what a
+member lost of the centre and what it has new. Two members have no more lost elements in common
+than the fewer of theirs, so they must share a new one unless both keep (n(I) + n(J)) / (1 + 1/s)
+elements of the centre; these pairs alone are looked for by lost elements. Either kind is
+ordered by how many members of the star have an element, the rarest first, and the members must share
+one near their beginnings (prefix filter), the first of these with enough left in both from there
+on (positional filter), and enough of them near their beginnings to make t with all that comes
+later. Copies with edits of their own share no new elements, however large their group. A pair
+of members that also are in the star which their centre is a member of is looked at there alone,
+where what the centre itself has new or lost is no difference.
 
 Spark. Texts are shuffled once, and only those with a candidate edge go on (compressed, as a
-table in the shared folder). Sets, buckets and edges are joined on their keys; the only
+table in the shared folder). A centre's pairs are dealt out in parts of `PART`. Sets, buckets and edges are joined on their keys; the only
 things that come to the driver are counts. Components grow by large-star and small-star
 steps on an edge table, each written to the shared folder, so a lost executor costs a step.
 
@@ -53,8 +58,8 @@ from lakeloom.session import cut_lineage
 
 BINS, ROWS, WORDS = 144, 4, 5
 PERCENT = 75
-#: About so many members of a star tell which elements most of them have.
-SAMPLE = 24
+#: Pairs of one centre that are compared in one place.
+PART = 500
 
 _ORDERS = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
 
@@ -150,56 +155,94 @@ def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with the compressed texts ta and tb."""
+    """Pairs (a, b, ...) with the compressed texts ta and tb. A centre `a` of very many pairs is dealt out in parts of `PART` pairs."""
     side = lambda c: contents.select(F.col("node").alias(c), F.col("packed").alias(f"t{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a")
+    parts = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PART).alias("last"))
+    centers = side("a").join(parts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("last") + 1)).drop("last")
+    return dealt.join(side("b"), "b").join(centers, ["a", "part"])
 
 
-def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one star, in different components, that may be linked."""
+def _differences(stars: DataFrame, roots: DataFrame, contents: DataFrame) -> DataFrame:
+    """Members of the stars whose members are in several components: what they lack of their centre (`lost`) and have besides (`new`).
+
+    `out` says that a member is in another component than its centre, `home` that it also is in the
+    largest star which its centre is a member of: pairs of such members are looked at there. (A centre outweighs
+    its members, so that homes don't go round in circles.)
+    """
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     named = stars.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", (~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).alias("out"), F.coalesce("rb", "b").alias("root"))
-    several = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("a")
-    members = _with_contents(named.join(several, "a").select("a", "b", "out", "root"), contents).select("a", "b", "out", "root", "ta", "tb")
+    sizes = stars.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    homes = stars.join(sizes, "a").groupBy(F.col("b").alias("c")).agg(F.max(F.struct("size", "a")).alias("best")).select(F.col("c").alias("a"), F.col("best.a").alias("at"))
+    at_home = named.join(homes, "a").join(stars.select(F.col("a").alias("at"), "b"), ["at", "b"]).select("a", "b", F.lit(True).alias("home"))
+    named = named.join(at_home, ["a", "b"], "left").withColumn("home", F.coalesce("home", F.lit(False)))
+    several = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("home").alias("home")).filter("low <> high and not home").select("a")
+    members = _with_contents(named.join(several, "a").select("a", "b", "out", "home", "root"), contents).select("a", "b", "out", "home", "root", "ta", "tb")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         known, center = None, np.empty(0, np.uint64)
         for batch in batches:
             rows = []
-            for ta, tb in zip(batch.column(4), batch.column(5), strict=True):
+            for ta, tb in zip(batch.column(5), batch.column(6), strict=True):
                 ta, tb = ta.as_buffer().to_pybytes(), tb.as_buffer().to_pybytes()
                 if ta != known:
                     known, center = ta, shingles(unpack.decompress(ta).lower().split(), WORDS)
                 own = shingles(unpack.decompress(tb).lower().split(), WORDS)
-                rows.append((len(center), len(own), np.setxor1d(own, center, assume_unique=True).astype(np.int64)))
-            nc, n, difference = zip(*rows, strict=True) if rows else ((),) * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(nc, pa.int64()), pa.array(n, pa.int64()), pa.array(difference, pa.list_(pa.int64()))], names=["center", "node", "out", "root", "nc", "n", "difference"])
-
-    found = cut_lineage(members.mapInArrow(differ, "center long, node long, out boolean, root long, nc long, n long, difference array<long>"))
-    sizes = found.groupBy("center").agg(F.count(F.lit(1)).alias("size"))
-    share = F.pmod(F.xxhash64("center", "node"), F.lit(1 << 20)) / float(1 << 20)
-    sampled = found.join(sizes, "center").filter(share * F.col("size") < SAMPLE).select("center", F.explode("difference").alias("token"))
-    often = sampled.groupBy("center", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    last = often.groupBy("center").agg(F.transform(F.sort_array(F.collect_list(F.struct("times", "token"))), lambda x: x["token"]).alias("last"))
-    none = F.array().cast("array<long>")
-    ordered = found.join(last, "center", "left").withColumn("last", F.coalesce("last", none))
-    ordered = ordered.select("center", "node", "out", "root", "nc", "n", F.concat(F.array_except("difference", "last"), F.array_intersect("last", "difference")).alias("difference"))
-    d, more, less = F.size("difference"), 100 + percent, 100 - percent
-    needs_i = F.floor((more * d + less * (F.col("nc") - F.col("n"))) / (2 * more))
-    needs_j = F.ceil((more * d - less * (F.col("nc") + F.col("n"))) / 200)
-    front = lambda needs: F.posexplode(F.slice("difference", F.lit(1), F.greatest(needs, F.lit(0)).cast("int"))).alias("at", "token")
-    named = lambda x: [F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), d.alias(f"d{x}")]
-    inside = ordered.select("center", front(d - needs_i), *named("i"), F.greatest(needs_i, F.lit(0)).alias("li")).withColumnRenamed("at", "pi")
-    outside = ordered.filter("out").select("center", front(d - needs_j + 1), *named("j"), F.greatest(needs_j - 1, F.lit(0)).alias("lj")).withColumnRenamed("at", "pj")
-    able = 100 * F.least("ni", "nj") >= percent * F.greatest("ni", "nj")
-    wanted = more * (F.col("di") + F.col("dj")) - less * (F.col("ni") + F.col("nj"))  # 2 * more * t
-    left = F.least(F.col("di") - F.col("pi"), F.col("dj") - F.col("pj"))
-    met = inside.join(outside, ["center", "token"]).filter((F.col("ri") != F.col("rj")) & able)
-    # Most is left in both at a pair's first shared element; elements after it count however little is left there.
-    counted = met.groupBy("center", "i", "j", wanted.alias("wanted"), F.greatest("li", "lj").alias("later")).agg(F.count(F.lit(1)).alias("shared"), F.max(left).alias("left"))
-    met = counted.filter(F.col("wanted") <= 2 * more * F.least(F.col("left"), F.col("shared") + F.col("later")))
-    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+                lost, new = (np.setdiff1d(x, y, assume_unique=True).astype(np.int64) for x, y in ((center, own), (own, center)))
+                rows.append((len(center), len(own), lost, new))
+            nc, n, lost, new = zip(*rows, strict=True) if rows else ((),) * 4
+            kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, t) for c, t in zip((nc, n, lost, new), kinds, strict=True))], names=["center", "node", "out", "home", "root", "nc", "n", "lost", "new"])
+
+    return members.mapInArrow(differ, "center long, node long, out boolean, home boolean, root long, nc long, n long, lost array<long>, new array<long>")
+
+
+def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star, in different components, that may be linked."""
+    found = cut_lineage(_differences(stars, roots, contents))
+    kind = lambda new: F.transform("new" if new else "lost", lambda t: F.struct(F.lit(new).alias("new"), t.alias("token")))
+    row = ["center", "node", "out", "home", "root", "nc", "n", "lost", "new"]
+    tokens = found.select(*row[:7], F.size("lost").alias("lost"), F.size("new").alias("new"), F.explode(F.concat(kind(True), kind(False))).alias("t"))
+    tokens = tokens.select(*row, F.col("t.new").alias("is_new"), F.col("t.token").alias("token"))
+    often = tokens.groupBy("center", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # What only one member has stands first in the order and meets nothing; the rest follows by how many members have it.
+    shared = F.transform(F.sort_array(F.collect_list(F.struct("times", "token"))), lambda x: x["token"]).alias("shared")
+    ordered = cut_lineage(tokens.join(often, ["center", "token"]).groupBy(*row, "is_new").agg(shared))
+    d, more, less = F.col("lost") + F.col("new"), 100 + percent, 100 - percent
+    near = F.ceil((percent * d - less * F.col("n")) / percent)  # two linked members are about as far from the centre
+    least = {
+        "i": F.greatest(F.lit(1), near, F.floor((more * d + less * (F.col("nc") - F.col("n"))) / (2 * more)) + 1),
+        "j": F.greatest(F.lit(1), near, F.ceil((more * d - less * (F.col("nc") + F.col("n"))) / 200)),
+    }
+
+    def side(x: str, new: bool) -> DataFrame:
+        """Elements near the beginning: all but the last `needed - 1` of a member's new or lost ones."""
+        needed, size = (F.greatest(F.lit(1), least[x] - F.col("lost")), F.col("new")) if new else (least[x], F.col("lost"))
+        mine = ordered.filter(F.col("is_new") == new)
+        mine = mine.filter("out") if x == "j" else mine
+        alone = size - F.size("shared")
+        front = F.slice("shared", F.lit(1), F.greatest(size - needed + 1 - alone, F.lit(0)).cast("int"))
+        named = [F.col(c).alias(f"{c}_{x}") for c in ("node", "home", "root", "n", "lost", "new")]
+        mine = mine.select("center", *named, (needed - 1).alias(f"later_{x}"), (size - alone).alias(f"left_{x}"), F.posexplode(front).alias("at", "token"))
+        return mine.withColumn(f"left_{x}", F.col(f"left_{x}") - F.col("at")).drop("at")
+
+    both = lambda f, c: f(*[F.col(f"{c}_{x}") for x in "ij"])
+    total = F.col("n_i") + F.col("n_j")
+    able = (F.col("root_i") != F.col("root_j")) & ~(F.col("home_i") & F.col("home_j")) & (100 * both(F.least, "n") >= percent * both(F.greatest, "n"))
+    wanted = more * (F.col("lost_i") + F.col("new_i") + F.col("lost_j") + F.col("new_j")) - less * total  # 2 * more * t
+    pairs = []
+    for new in (True, False):
+        # Members that share nothing new have no more in common than what either keeps of the centre.
+        kept = F.least(F.col("n_i") - F.col("new_i"), F.col("n_j") - F.col("new_j"))
+        may = able if new else able & (more * kept >= percent * total)
+        met = side("i", new).join(side("j", new), ["center", "token"]).filter(may)
+        # Most is left in both at a pair's first shared element; elements after it count however little is left there.
+        counted = met.groupBy("center", "node_i", "node_j", wanted.alias("wanted"), (both(F.least, "lost") if new else F.lit(0)).alias("besides"), both(F.greatest, "later").alias("later"))
+        counted = counted.agg(F.count(F.lit(1)).alias("both"), F.max(both(F.least, "left")).alias("left"))
+        pairs.append(counted.filter(F.col("wanted") <= 2 * more * (F.col("besides") + F.least(F.col("left"), F.col("both") + F.col("later")))))
+    met = pairs[0].unionByName(pairs[1])
+    return met.select(both(F.least, "node").alias("a"), both(F.greatest, "node").alias("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
