@@ -26,11 +26,20 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "lakeloom", **co
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound what goes to Python at once to `size`, as texts differ much in length; only where the deployment has set no bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, size)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that `spark.checkpoint.dir` names; only where none is set (a local session, tests), in a temporary one."""
+    """A new path in the folder that `spark.checkpoint.dir` names; where none is set, in a temporary one, for a local session alone."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
     return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
