@@ -1,7 +1,9 @@
 """Document fingerprints by Order MinHash, as DataFrame operations.
 
-A text's tokens are its runs of up to 8 characters other than white space; its k-mers are
-the runs of `K` tokens (all tokens of a shorter text are one). Each k-mer carries its
+A text's tokens are its words, runs without white space, of up to 16 characters; longer runs
+(text of scripts without spaces, encoded data) give a token for each character, so that no token
+depends on where its run begins. K-mers are the runs of `K` tokens (all tokens of a shorter text are
+one). Each k-mer carries its
 occurrence number, so that repeats count. One hash of (k-mer, occurrence) deals it to one of
 `BINS` bins and ranks it there; a bin keeps its `LENGTH` k-mers of least rank, puts them back
 into their order in the text and hashes that tuple. The fingerprint holds the filled bins with
@@ -17,7 +19,7 @@ for texts of one repeated word. Nothing is exploded.
 The next document (descending id) is found without one global sort: ids are cut into ranges
 at approximate quantiles (their number, `RANGES`, is fixed or follows the rows), a window within
 each range hands over the following row; the first row of the next range that has any stands
-at its end. The text is shuffled once.
+at its end. The text is shuffled once; each text's fingerprint is made once, and handed over with it.
 
 Defined cases: null and empty texts have no tokens and an empty fingerprint; two empty
 fingerprints are alike (1.0), an empty and a filled one are not (0.0); equal ids are ordered by
@@ -38,6 +40,7 @@ K, BINS, LENGTH = 3, 64, 2
 RANGE_ROWS = 4_000
 MOST_RANGES = 20_000
 
+_SOLID = r"[^\x20\x09-\x0D]"
 _POSITION_BITS = 30
 _POSITION = (1 << _POSITION_BITS) - 1
 _BIN_SHIFT = 64 - 6
@@ -52,7 +55,7 @@ def _packed(hash_: Column, position: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?<!{_SOLID}){_SOLID}{{1,16}}+(?!{_SOLID})|{_SOLID}"), F.lit(0))
 
 
 def kmers(text: Column) -> Column:
@@ -116,7 +119,7 @@ def written(fingerprint_: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows id, text, next_text: the text of the next row by descending id, the first row's for the last."""
+    """Rows id, text, next_text: the text of the next row by descending id, the first row's for the last. Each text comes with its fingerprint."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     total = docs.count()
@@ -136,10 +139,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     before = docs.sparkSession.createDataFrame([(b, a) for a, b in follows] or [], "range int, of int")
     # They end the range before theirs, so that every row has a following one, and go then.
     ends = heads.join(F.broadcast(before), "range").select(F.lit(None).cast("long").alias("id"), "text", F.lit(0).cast("long").alias("hash"), F.col("of").alias("range"), F.lit(True).alias("end"))
-    every = ranged.withColumn("end", F.lit(False)).unionByName(ends)
+    every = ranged.withColumn("end", F.lit(False)).unionByName(ends).repartition("range")
+    printed = every.select("*", F.explode(F.array(fingerprint(F.col("text")))).alias("print"))
     inside = Window.partitionBy("range").orderBy("end", F.col("id").desc_nulls_last(), "hash")
-    led = every.withColumn("next_text", F.lead("text").over(inside))
-    return led.filter(~F.col("end")).select("id", "text", "next_text")
+    led = printed.withColumns({f"next_{c}": F.lead(c).over(inside) for c in ("text", "print")})
+    return led.filter(~F.col("end")).select("id", "text", "print", "next_text", "next_print")
 
 
 def _search(bounds: Column, value: Column, n: int) -> Column:
@@ -154,8 +158,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.length("text")
     part = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
-    named = both.select("id", F.length("text").cast("long").alias("n_chars"), F.explode(F.array(F.struct("text", edited.alias("edited"), "next_text"))).alias("t"))
-    prints = F.struct(fingerprint(F.col("t.text")).alias("own"), fingerprint(F.col("t.edited")).alias("edited"), fingerprint(F.col("t.next_text")).alias("next"), F.sha2("t.edited", 256).alias("sha"))
+    named = both.select("id", F.length("text").cast("long").alias("n_chars"), "print", "next_print", F.explode(F.array(edited)).alias("edited"))
+    prints = F.struct(F.col("print").alias("own"), fingerprint(F.col("edited")).alias("edited"), F.col("next_print").alias("next"), F.sha2("edited", 256).alias("sha"))
     found = named.select("id", "n_chars", F.explode(F.array(prints)).alias("f"))
     return found.select(F.col("id").alias(id_col), "n_chars", F.col("f.sha").alias("edited_sha256"), written(F.col("f.own")).alias("fingerprint"), written(F.col("f.edited")).alias("edited_fingerprint"), likeness(F.col("f.own"), F.col("f.edited")).alias("near_edited"), likeness(F.col("f.own"), F.col("f.next")).alias("near_next"))
 

@@ -32,7 +32,7 @@ def long_(x: int) -> bytes:
 
 
 def fingerprint(text: str) -> list[int]:
-    tokens = re.findall(r"[^ \t-\r]{1,8}", text)
+    tokens = [t for word in re.findall(r"[^ \t-\r]+", text) for t in ([word] if len(word) <= 16 else word)]
     if not tokens:
         return []
     at = lambda i: tokens[i].encode() if i < len(tokens) else None
