@@ -7,7 +7,8 @@ stems (its first 3 to 8 letters). Scores are shrunk by their own standard error,
 rare tokens say little, and the model keeps at most `MAX_TOKENS` tokens whose scores stay
 positive; a word scores as the best of its tokens, or a small negative default. A short stem
 can look toxic only because a toxic word begins with it, so tokens are counted again, each
-word for its best token alone. Near copies among the labelled texts count once.
+word for its best token alone. Near copies (similarity of 0.8 or more, same
+label) among the labelled texts count once.
 
 Search. All maximal segments of a text's score sequence with a positive sum are found in
 linear time (Ruzzo and Tompa). A text's statistic is how surprising its best segments are
@@ -18,8 +19,8 @@ non-toxic score distribution, K is fitted on non-toxic texts; the expected numbe
 text's significant segments are aggregated by Fisher's method into one number, which a
 logistic curve fitted on labelled texts turns into a probability.
 
-Spark. The classifier is fitted on at most `SAMPLE` labelled rows, those with the smallest
-hashes of their ids; with that bound the labels are broadcast, and only the texts of the sample
+Spark. The classifier is fitted on at most `SAMPLE` labelled rows, those whose ids' hashes are
+below a bound; with that bound the labels are broadcast, and only the texts of the sample
 are shuffled; token counts are combined on the map side. Every document is scored in one pass, whole.
 
 Defined cases: null and empty texts get the score of a text without segments; documents
@@ -37,16 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.common import logistic, mixed, shielded, shingles
-from lakeloom.session import cut_lineage
+from lakeloom.session import cut_lineage, small_batches
 
 #: Bound of labelled rows that the classifier is fitted on, and of tokens it keeps.
 SAMPLE = 40_000
 MAX_TOKENS = 50_000
+#: Labelled texts of one label whose three-word runs are so similar count once.
+COPIES = 0.8
 #: How often tokens are counted again with each word credited to its best token.
 CREDITED = 2
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -94,29 +97,40 @@ def tokens_of(word: str) -> list[str]:
 
 
 def _distinct(texts: DataFrame) -> DataFrame:
-    """Of rows (y, text) one of each group of near copies: rows with an equal MinHash of three-word runs, for each of three hashes in turn."""
+    """Of rows (y, text) one of each group of near copies with the same label.
+
+    Rows that agree on a pair of MinHashes of their three-word runs meet; those whose whole sets
+    are `COPIES` similar or more to the meeting's first row go. Four pairs in turn; all other rows stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys, sets = [], []
             for cell in batch.column(1):
-                text = cell.as_py()
-                found = shingles([w.encode("utf-8", "surrogatepass") for w in words_of(text)], 3)
-                keys.append([int(mixed(found ^ np.uint64(k)).min()) - 2**63 if len(found) else 0 for k in (1, 2, 3)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["y", "text", "keys"])
-
-    rows = texts.mapInArrow(run, "y int, text string, keys array<long>")
-    for k in range(3):
-        one = F.min(F.struct(F.xxhash64("text").alias("h"), "y", "text", "keys")).alias("r")
-        rows = rows.groupBy(F.col("keys")[k].alias("key")).agg(one).select("r.y", "r.text", "r.keys")
+                found = shingles([w.encode("utf-8", "surrogatepass") for w in words_of(cell.as_py())], 3)
+                least = np.array([mixed(found ^ np.uint64(k)).min() if len(found) else 0 for k in range(1, 9)], np.uint64)
+                keys.append(mixed(least[::2] * np.uint64(3) + mixed(least[1::2])).astype(np.int64))
+                sets.append(found.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["y", "text", "keys", "found"])
+
+    rows = texts.withColumn("text", F.coalesce("text", F.lit(""))).distinct().mapInArrow(run, "y int, text string, keys array<long>, found array<long>").withColumn("h", F.xxhash64("text"))
+    for k in range(4):
+        met = Window.partitionBy("y", F.col("keys")[k]).orderBy("h", "text")
+        rows = rows.select("*", F.row_number().over(met).alias("place"), F.first("found").over(met).alias("first"))
+        both = F.size(F.array_intersect("found", "first"))
+        rows = rows.filter((F.col("place") == 1) | (both < COPIES * (F.size("found") + F.size("first") - both))).drop("place", "first")
     return cut_lineage(rows.select("y", "text"))
 
 
 def sample_labels(labels: DataFrame, label_col: str, training: Column, limit: int = SAMPLE) -> DataFrame:
-    """At most `limit` labelled rows (doc_id, y), the same ones every time."""
+    """At most `limit` labelled rows (doc_id, y), the same ones every time: all, or those whose ids' hashes are below a bound that leaves about so many."""
     known = labels.filter(training & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     one = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    total = one.count()
+    if total <= limit:
+        return one
+    share = (limit - 5 * math.sqrt(limit)) / total
+    return one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def token_scores(counts: list[tuple[str, int, int]], n1: int, n0: int, errors: float = 2.5) -> dict[str, float]:
@@ -189,8 +203,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows for which `training` (a condition on the labels' doc_id) holds."""
+    small_batches(docs.sparkSession)
     sample = sample_labels(labels, label_col, F.lit(True) if training is None else training).withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("y", "__text")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("y", F.col("__text").alias("text"))
     texts = _distinct(texts)
     names = ["token", "k1", "k0"]
 
