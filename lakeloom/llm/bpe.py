@@ -9,9 +9,9 @@ A word crosses the network once for each group that holds it, however often it s
 so the most frequent words are no hot keys; a group's numbers stay compact. Decoding joins
 ids with the table of tokens' bytes, which the vocabulary's size bounds (about 50,000 rows).
 
-A group's name holds a hash of its documents' numbers. If an executor is lost and the rows of a
-partition come back in another order (which a table's rows don't), groups no longer fit together;
-that is noticed and fails the job. Memory: a group, or the words of one shuffle partition.
+Groups are made of a stored table's rows, whose order is the same at each attempt of a task; documents
+that are not just read from a table are written to one first. So a lost executor costs its tasks
+alone. Memory: a group, and `CACHED` words where words are merged.
 
 Defined cases: a null text is an empty text; an empty text has no ids and decodes to no bytes;
 repeated rows are encoded alike; an empty table gives an empty result; columns other than the
@@ -41,8 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.session import cut_lineage, small_batches
+
 GROUP_CHARS = 6_000_000
 CHUNK_TOKENS = 300_000
+CACHED = 200_000
 SHORT = 100
 LEVEL = 9
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -182,7 +185,7 @@ def _merged(rows: DataFrame, ranks) -> DataFrame:
     """The groups' words as ids, each distinct word merged once; documents' numbers pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = ranks.value, {}
+        table, known = ranks.value, {}  # words merged lately
         for batch in batches:
             payloads = []
             for stream, payload in zip(batch.column(2), batch.column(3), strict=True):
@@ -195,6 +198,8 @@ def _merged(rows: DataFrame, ranks) -> DataFrame:
                 for a, b in zip((stops - sizes).tolist(), stops.tolist(), strict=True):
                     w = text[a:b]
                     if (x := known.get(w)) is None:
+                        if len(known) >= CACHED:
+                            known.clear()
                         x = known[w] = array("I", merge(w, table))
                     found.append(x)
                 payloads.append(_pack(local, np.fromiter(map(len, found), np.uint32, len(found)), np.frombuffer(b"".join(found), np.uint32)))
@@ -203,13 +208,16 @@ def _merged(rows: DataFrame, ranks) -> DataFrame:
     return rows.mapInArrow(run, "gid long, stream boolean, payload binary")
 
 
-def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, text_col: str, schema: str, make) -> DataFrame:
+def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, text_col: str, schema: str, make, stored: bool) -> DataFrame:
     """`make` of the ids (null ids kept) and the token ids of each group's documents: numbers of ids, and all ids one after the other."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    merged = _merged(_numbered(rows, buckets, pattern).repartition(buckets, "bucket"), ranks)
+    if not stored:
+        rows = cut_lineage(rows)
+    merged = _merged(_numbered(rows, buckets, pattern).repartitionById(buckets, F.col("bucket")), ranks)
 
     def assemble(table: pa.Table) -> pa.Table:
         payloads = {True: [], False: []}
@@ -221,11 +229,8 @@ def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, tex
         sizes = np.concatenate([*none, *(p[1] for p in parts)]).astype(np.int64)
         ids = np.concatenate([*none, *(p[2] for p in parts)]).astype(np.int32)
         del parts
-        if len(payloads[True]) != 1:
-            raise RuntimeError("the documents changed between two attempts of a task; write them to a table first")
         (own, known, counts, numbers, words), _ = _unpack(payloads[True][0].as_py())
-        if len(local) != words.sum():
-            raise RuntimeError("the documents changed between two attempts of a task; write them to a table first")
+        assert len(payloads[True]) == 1 and len(local) == words.sum(), "`stored` was given for documents whose order changes"
         start, size = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
         start[local], size[local] = np.cumsum(sizes) - sizes, sizes
         nexts = np.flatnonzero(numbers == 0)
@@ -250,13 +255,13 @@ def _assembled(docs: DataFrame, path: str | None, pattern: str, id_col: str, tex
     return merged.groupBy("gid").applyInArrow(assemble, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each of `docs`: its id and `ids`, the token ids of its text."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """One row for each of `docs`: its id and `ids`, the token ids of its text. `stored` as for `digests`."""
 
     def make(keys: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> pa.Table:
         return pa.table({"id": keys, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))})
 
-    return _assembled(docs, path, pattern, id_col, text_col, "id long, ids array<int>", make).withColumnRenamed("id", id_col)
+    return _assembled(docs, path, pattern, id_col, text_col, "id long, ids array<int>", make, stored).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -274,10 +279,11 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """One row for each of `docs`: id, n_tokens, ids_sha256 and decoded_sha256.
 
     Ids are decoded through the token-byte table where the groups are put together, so that they need not travel.
+    `stored` says that `docs` is just a table's rows, which come in the same order at each attempt; all else is written to a table first.
     """
     ranks = load_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast({rank: (token, b"%d," % rank) for token, rank in ranks.items()})
@@ -291,9 +297,9 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         n, first, second = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"id": keys, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
 
-    found = _assembled(docs, path, public_tokenizers.PATTERN, id_col, text_col, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    found = _assembled(docs, path, public_tokenizers.PATTERN, id_col, text_col, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, stored)
     return found.withColumnRenamed("id", id_col)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)

@@ -176,6 +176,15 @@ def test_small_ranges_change_nothing(spark):
     assert pairs(3) == pairs(1000)
 
 
+def test_fingerprints_without_spaces(spark):
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    rows = spark.createDataFrame([(text, "\u4e00" + text, text[:1500] + "\u4e00" + text[1500:])], "a string, b string, c string")
+    prints = rows.select(*[order_minhash.fingerprint(rows[c]).alias(c) for c in "abc"])
+    got = prints.select(order_minhash.likeness(prints["a"], prints["b"]).alias("x"), order_minhash.likeness(prints["a"], prints["c"]).alias("y")).first()
+    assert got.x > 0.9 and got.y > 0.9
+
+
 def test_fingerprints_follow_order_and_repeats(spark):
     words = [f"w{i}" for i in range(300)]
     swapped = words[150:] + words[:150]
