@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import NAME_RULES, changed_by, dice, normalize_name
+from lakeloom.session import cut_lineage
 from lakeloom.sources.domain import view, with_views
 
 RULES = {name: (pattern, "") for name, pattern in NAME_RULES.items()}
@@ -18,9 +18,10 @@ def rule_hits(names: DataFrame, rules=RULES, column: str = "raw_name") -> DataFr
 
 
 def collisions(names: DataFrame, column: str = "raw_name", limit: int = 20) -> DataFrame:
-    """Normalised names that several different names end up as, the most frequent first."""
+    """Normalised names that several different names end up as, the most frequent first, and how many more there are than are listed."""
     distinct = names.select(F.col(column).alias("raw")).distinct()
-    return distinct.groupBy(normalize_name(F.col("raw")).alias("normal")).agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("example")).filter("n > 1").orderBy(F.desc("n"), "normal").limit(limit)
+    groups = distinct.groupBy(normalize_name(F.col("raw")).alias("normal")).agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("example")).filter("n > 1")
+    return groups.orderBy(F.desc("n"), "normal").limit(limit).withColumn("more", F.lit(max(0, groups.count() - limit)).cast("bigint"))
 
 
 def source_overlap(names: DataFrame, normal) -> DataFrame:
@@ -48,23 +49,20 @@ def scored_pairs(names: DataFrame, left: str, right: str) -> DataFrame:
 def greedy_pairs(scored: DataFrame, least: float | None = None) -> DataFrame:
     """One-to-one pairs within a unit: the best pair first, each name once; ties by left name, then right name.
 
-    There is no least score unless one is asked for. A unit's pairs are one group, which the few
-    names of a unit bound.
+    There is no least score unless one is asked for. In rounds: pairs that are the best of both of their
+    names are taken, and all other pairs of these names go, until none is left.
     """
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "left_name", "right_name"], ascending=[False, True, True])
-        used: tuple[set, set] = set(), set()
-        keep = []
-        for i, a, b in zip(rows.index, rows["left_name"], rows["right_name"], strict=True):
-            if a not in used[0] and b not in used[1]:
-                used[0].add(a)
-                used[1].add(b)
-                keep.append(i)
-        return rows.loc[keep]
-
-    wanted = scored if least is None else scored.filter(F.col("score") >= least)
-    return wanted.groupBy("unit_id").applyInPandas(assign, scored.schema)
+    order = F.struct((-F.col("score")).alias("s"), "left_name", "right_name")
+    best = lambda c: F.min(order).over(Window.partitionBy("unit_id", c))
+    now = cut_lineage(scored if least is None else scored.filter(F.col("score") >= least))
+    taken = now.limit(0)
+    while not now.isEmpty():
+        mine = cut_lineage(now.withColumns({"l": best("left_name"), "r": best("right_name")}).filter((order == F.col("l")) & (order == F.col("r"))).select(*scored.columns))
+        taken = taken.unionByName(mine)
+        for c in ("left_name", "right_name"):
+            now = now.join(mine.select("unit_id", c), ["unit_id", c], "left_anti")
+        now = cut_lineage(now.select(*scored.columns))
+    return taken
 
 
 def best_mate(scored: DataFrame) -> DataFrame:
@@ -116,7 +114,7 @@ def _names(spark, sf_dir) -> DataFrame:
 
 
 def _unit_names(spark, sf_dir) -> DataFrame:
-    return _names(spark, sf_dir).withColumn("unit_id", F.col("item_ref") % 40).filter("item_ref < 400").select("unit_id", "source", F.col("raw_name").alias("name"))
+    return _names(spark, sf_dir).withColumn("unit_id", (F.col("item_ref") / 10).cast("bigint")).select("unit_id", "source", F.col("raw_name").alias("name"))
 
 
 def _axis_rows(spark, sf_dir) -> DataFrame:
@@ -135,13 +133,13 @@ QUERIES = {
     "pair_by_axis": lambda s, d: pair_by_axis(_axis_rows(s, d), LEFT, RIGHT),
     "match_board": lambda s, d: board(_names(s, d), view(s, d, "member"), LEFT, RIGHT),
     "match_board_kinds": lambda s, d: board(_names(s, d), view(s, d, "member"), LEFT, RIGHT).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
-    "common_name": lambda s, d: common_start(_unit_names(s, d).filter("unit_id % 2 = 0").withColumn("name", F.concat(F.lit("Camp (a"), (F.col("unit_id") % 3).cast("string"), F.lit(") "), F.substring("name", 1, 3)))),
+    "common_name": lambda s, d: common_start(_unit_names(s, d).withColumn("name", F.concat(F.lit("Camp (a"), (F.col("unit_id") % 3).cast("string"), F.lit(") "), "name"))),
 }
 
 _N = f"names AS (SELECT 'erp' AS source, p_partkey AS item_ref, {_RAW} AS raw_name FROM part UNION ALL SELECT 'wms', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, ' ', p_name) ELSE concat(p_name, ' (new)') END FROM part)"
 _NORMAL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring({0}, 1, 300), '\\([^)]*\\)', '', 'g'), '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g'), '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g'), '\\s+', '', 'g'))"
 _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)))"
-_UNITS = f"WITH {_N}, u AS (SELECT DISTINCT item_ref % 40 AS unit_id, source, raw_name AS name FROM names WHERE item_ref < 400)"
+_UNITS = f"WITH {_N}, u AS (SELECT DISTINCT item_ref // 10 AS unit_id, source, raw_name AS name FROM names)"
 _A, _B = _GRAMS.format("l.name"), _GRAMS.format("r.name")
 _SCORED = f"{_UNITS}, scored AS (SELECT unit_id, l.name AS left_name, r.name AS right_name, round(CASE WHEN l.name = r.name THEN 1.0 ELSE 2.0 * len(list_intersect({_A}, {_B})) / (len({_A}) + len({_B})) END, 6) AS score FROM u l JOIN u r USING (unit_id) WHERE l.source = 'erp' AND r.source = 'wms')"
 _BOARD = f"""{with_views('member')}, {_N}, known AS (SELECT n.*, m.unit_id, {_NORMAL.format('raw_name')} AS normal FROM names n LEFT JOIN (SELECT * FROM member WHERE confirmed) m USING (source, item_ref)),
@@ -152,12 +150,15 @@ SQL = {
     "name_normalize": f"WITH {_N} SELECT source, item_ref, {_NORMAL.format('raw_name')} AS normal FROM names",
     "rule_hits": f"""WITH {_N}, a AS (SELECT raw_name, regexp_replace(raw_name, '\\([^)]*\\)', '', 'g') AS v1 FROM names), b AS (SELECT *, regexp_replace(v1, '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g') AS v2 FROM a), c AS (SELECT *, regexp_replace(v2, '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g') AS v3 FROM b)
         SELECT rule, count(*) AS n FROM (SELECT 'brackets' AS rule FROM c WHERE v1 <> raw_name UNION ALL SELECT 'date after underscore' FROM c WHERE v2 <> v1 UNION ALL SELECT 'date in name' FROM c WHERE v3 <> v2) GROUP BY rule""",
-    "name_collisions": f"WITH {_N} SELECT {_NORMAL.format('raw')} AS normal, count(*) AS n, min(raw) AS example FROM (SELECT DISTINCT raw_name AS raw FROM names) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, normal LIMIT 20",
+    "name_collisions": f"WITH {_N} SELECT {_NORMAL.format('raw')} AS normal, count(*) AS n, min(raw) AS example, greatest(count(*) OVER () - 20, 0) AS more FROM (SELECT DISTINCT raw_name AS raw FROM names) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, normal LIMIT 20",
     "source_overlap": f"WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names) SELECT a.source AS left, b.source AS right, count(*) AS shared FROM k a JOIN k b ON a.name = b.name AND a.source < b.source GROUP BY 1, 2",
     "balanced_sample": f"WITH {_N} SELECT * FROM (SELECT source, raw_name, row_number() OVER (PARTITION BY source ORDER BY raw_name) AS n FROM (SELECT DISTINCT source, raw_name FROM names)) WHERE n <= 6",
     "dice_pairs": f"{_SCORED} SELECT * FROM scored",
     "best_mate": f"""{_SCORED}, mine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, left_name ORDER BY score DESC, right_name DESC) AS n FROM scored) WHERE n = 1)
         SELECT unit_id, left_name, right_name, score FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, right_name ORDER BY score DESC, left_name DESC) AS k FROM mine) WHERE k = 1""",
+    "common_name": f"""{_UNITS}, e AS (SELECT unit_id, min(name) AS a, max(name) AS b, count(DISTINCT name) AS n FROM (SELECT unit_id, concat('Camp (a', unit_id % 3, ') ', name) AS name FROM u) GROUP BY unit_id),
+        t AS (SELECT unit_id, n, regexp_replace(regexp_replace(substring(a, 1, coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: substring(a, 1, i) = substring(b, 1, i))), 0)), '\\([^)]*$', ''), '[ ,_/.(\\-]+$', '') AS tidy FROM e)
+        SELECT unit_id, n, CASE WHEN length(tidy) >= 2 THEN tidy END AS common FROM t""",
     "pair_by_axis": f"""WITH {_N}, x AS (SELECT source, item_ref, item_ref % 40 AS unit_id, CASE WHEN item_ref % 9 = 0 THEN '' ELSE 'a' || CAST(item_ref % (CASE source WHEN 'erp' THEN 3 ELSE 4 END) AS VARCHAR) END AS axis FROM names),
         k AS (SELECT *, CASE WHEN axis = '' THEN source || CAST(item_ref AS VARCHAR) ELSE axis END AS key, row_number() OVER (PARTITION BY unit_id, source, axis ORDER BY item_ref) AS n FROM x)
         SELECT unit_id, l.item_ref AS left_item, r.item_ref AS right_item FROM (SELECT * FROM k WHERE source = 'erp') l FULL JOIN (SELECT * FROM k WHERE source = 'wms') r USING (unit_id, key, n)""",

@@ -162,10 +162,6 @@ def post_script(rows: DataFrame, script: Callable[[pd.DataFrame], pd.DataFrame],
     return rows.mapInPandas(run, schema)
 
 
-#: Other names of target fields.
-ALIASES = {"quantity": ("qty", "stock", "amount"), "item_ref": ("code", "item", "sku"), "raw_item_name": ("name", "title")}
-
-
 def suggestions(fields: DataFrame, targets: DataFrame) -> DataFrame:
     """The best target of each source field and its score: 100 for an alias, 60 for a similar name, 40 for values of the target's type; from 80 on, each target once."""
     alias = targets.select("target", F.explode(F.split("aliases", r"\|")).alias("alias"))
@@ -193,7 +189,7 @@ TARGETS = (Target("item_ref", "STRING", True), Target("quantity", "INTEGER", Tru
 _SOURCE = """SELECT l_orderkey * 8 + l_linenumber AS row_number, concat(' P', CAST(l_partkey AS STRING), ' ') AS code,
     CASE WHEN l_partkey % 23 = 0 THEN 'none' WHEN l_partkey % 29 = 0 THEN '' ELSE concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), ' EA') END AS qty,
     CASE WHEN l_partkey % 19 = 0 THEN '2026-8-1' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS day, l_returnflag AS flag, CASE WHEN l_suppkey % 3 = 0 THEN ' ' ELSE concat('W', CAST(l_suppkey % 3 AS STRING)) END AS house,
-    l_linestatus AS extra FROM {lineitem} WHERE l_partkey < 300"""
+    l_linestatus AS extra FROM {lineitem}"""
 _BARE = _SOURCE.replace("{lineitem}", "lineitem")
 _MAPPED = f"""WITH src AS ({_BARE}), m AS (SELECT *, trim(code) AS item_ref, regexp_replace(qty, '[^0-9.\\-]', '', 'g') AS q FROM src),
     mapped AS (SELECT extra, row_number, item_ref, TRY_CAST(CASE WHEN q = '' THEN NULL ELSE q END AS BIGINT) AS quantity, CASE WHEN regexp_matches(day, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN CAST(day AS DATE) END AS base_at,
@@ -225,7 +221,7 @@ def _rules(spark) -> DataFrame:
 
 
 def _units(spark, sf_dir) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_partkey < 40")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("item_ref"), F.element_at(F.array(*[F.lit(x) for x in ("EA", "BOX", "SET", "", "BAG")]), (F.col("l_suppkey") % 5 + 1).cast("int")).alias("unit"), F.col("l_quantity").cast("bigint").alias("quantity"))
 
 
@@ -259,7 +255,7 @@ SQL = {
     "row_errors": f"{_MAPPED} SELECT row_number, split_part(e, ':', 1) AS code, split_part(e, ':', 2) AS field FROM bad",
     "row_errors_grouped": f"{_MAPPED} SELECT split_part(e, ':', 1) AS code, split_part(e, ':', 2) AS field, count(*) AS n, min(row_number) AS first_row, max(row_number) AS last_row FROM bad GROUP BY 1, 2",
     "run_status": f"{_MAPPED} SELECT (SELECT count(*) FROM mapped WHERE len(errors) = 0) AS written, (SELECT count(DISTINCT row_number) FROM bad) AS failed, 'PARTIAL' AS status",
-    "unit_conversion_priority": """WITH u AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS item_ref, ['EA', 'BOX', 'SET', '', 'BAG'][l_suppkey % 5 + 1] AS unit, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_partkey < 40)
+    "unit_conversion_priority": """WITH u AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS item_ref, ['EA', 'BOX', 'SET', '', 'BAG'][l_suppkey % 5 + 1] AS unit, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem)
         SELECT item_ref, unit, quantity, quantity * CASE WHEN unit IN ('', 'EA') THEN 1 WHEN unit = 'BOX' THEN CASE item_ref WHEN 'P10' THEN 6 WHEN 'P11' THEN 24 ELSE 12 END WHEN unit = 'SET' THEN 3 END AS converted FROM u""",
     "schema_drift": "SELECT * FROM (VALUES ('o_orderstatus', 'ADDED'), ('o_totalprice', 'ADDED'), ('o_orderdate', 'ADDED'), ('o_orderpriority', 'ADDED'), ('o_clerk', 'BLOCKING'), ('o_comment', 'REMOVED')) AS t(field, change)",
     "upsert_last_wins": f"WITH {_LINES} SELECT {_PICKED} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 3 = 0 DESC) AS n FROM pick) WHERE n = 1",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,21 +60,31 @@ def incidents(events: DataFrame) -> DataFrame:
 def suppress(events: DataFrame, hours: float) -> DataFrame:
     """Events that are sent: those with no *sent* event of the same key in the hours before.
 
-    The distance counts from the last one sent, so it is a fold in order of time. Each key's
-    events are one group; a stream keeps only the last time sent (`lakeloom.streaming`).
+    The distance counts from the last one sent, so it is a fold in order of time: one pass over sorted
+    partitions, which keeps the last key and time only and jumps from one sent event to the next.
+    Null keys are a key; events without a time go.
     """
-    step = pd.Timedelta(hours=hours)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        last, keep = None, []
-        for ts in rows["ts"]:
-            free = last is None or ts - last >= step
-            keep.append(free)
-            last = ts if free else last
-        return rows[keep]
-
-    return events.select("key", "id", "ts").groupBy("key").applyInPandas(fold, "key string, id long, ts timestamp_ntz")
+    step = np.timedelta64(round(hours * 3_600_000_000), "us")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free = fold, None  # the last event's key (none yet), and when it may be sent again
+        for rows in batches:
+            if not len(rows):
+                continue
+            times, names = rows["ts"].to_numpy("datetime64[us]"), np.where(rows["key"].isna(), None, rows["key"].to_numpy(object))
+            heads = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+            keep = []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)], strict=True):
+                if names[a] != key:
+                    key, free = names[a], times[a]
+                own, at = times[a:b], 0
+                while (at := int(np.searchsorted(own, free))) < len(own):
+                    keep.append(a + at)
+                    free = own[at] + step
+            yield rows.iloc[keep]
+
+    ordered = events.select("key", "id", "ts").filter("ts is not null").repartition("key").sortWithinPartitions("key", "ts", "id")
+    return ordered.mapInPandas(fold, events.select("key", "id", "ts").schema)
 
 
 def held_by_quiet_hours(events: DataFrame, start: int, end: int) -> DataFrame:
@@ -96,7 +109,7 @@ def _resolving(spark, sf_dir) -> DataFrame:
 
 def _tiers(spark, sf_dir) -> DataFrame:
     orders = view(spark, sf_dir, "order_head")
-    return orders.select(F.col("order_no").alias("id"), F.element_at(F.array(*[F.lit(t) for t in ("RISING", "HOT", "WARM", "COLD")]), (F.col("customer") % 4 + 1).cast("int")).alias("tier"), F.when(F.col("customer") % 7 != 0, F.col("ordered_at")).alias("refreshed")).filter("id % 50 = 0")
+    return orders.select(F.col("order_no").alias("id"), F.element_at(F.array(*[F.lit(t) for t in ("RISING", "HOT", "WARM", "COLD")]), (F.col("customer") % 4 + 1).cast("int")).alias("tier"), F.when(F.col("customer") % 7 != 0, F.col("ordered_at")).alias("refreshed"))
 
 
 QUERIES = {
@@ -124,5 +137,5 @@ SQL = {
     "suppress_alerts": f"""{with_views('alert').replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS (SELECT alert_key AS key, event_id AS id, ts FROM (SELECT *, row_number() OVER (PARTITION BY alert_key ORDER BY ts, event_id) AS n FROM alert) WHERE n = 1
         UNION ALL SELECT key, id, ts FROM (SELECT s.key, a.event_id AS id, a.ts, row_number() OVER (PARTITION BY s.key ORDER BY a.ts, a.event_id) AS n FROM s JOIN alert a ON a.alert_key = s.key AND a.ts >= s.ts + INTERVAL 24 HOUR) WHERE n = 1) SELECT key, id FROM s""",
     "quiet_hours": f"{with_views('alert')}, l AS (SELECT *, extract(hour FROM ts + INTERVAL 9 HOUR) * 60 + extract(minute FROM ts + INTERVAL 9 HOUR) AS m FROM alert) SELECT event_id, alert_key FROM l WHERE (m >= 1380 OR m < 420) AND event_type <> 'error'",
-    "tier_quota": f"{with_views('order_head')} SELECT order_no AS id, ['RISING', 'HOT', 'WARM', 'COLD'][customer % 4 + 1] AS tier FROM order_head WHERE order_no % 50 = 0 ORDER BY customer % 4, CASE WHEN customer % 7 <> 0 THEN ordered_at END NULLS FIRST, order_no LIMIT 100",
+    "tier_quota": f"{with_views('order_head')} SELECT order_no AS id, ['RISING', 'HOT', 'WARM', 'COLD'][customer % 4 + 1] AS tier FROM order_head ORDER BY customer % 4, CASE WHEN customer % 7 <> 0 THEN ordered_at END NULLS FIRST, order_no LIMIT 100",
 }

@@ -96,7 +96,7 @@ QUERIES = {
     "daily_snapshots": lambda s, d: daily_snapshots(_events(s, d)).select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), "value", "n"),
     "failure_days": lambda s, d: failure_days(_events(s, d)),
     "hold_batches": lambda s, d: hold_batches(_events(s, d), 90).select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), "batch", "n", "cents"),
-    "retry_state": lambda s, d: retry_state(_events(s, d).filter("id < 900")),
+    "retry_state": lambda s, d: retry_state(_events(s, d)),
     "signal_lifecycle": _signals,
     "set_operations": lambda s, d: stored_and_new(s.read.parquet(f"{d}/orders.parquet").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("id")).distinct(), s.read.parquet(f"{d}/customer.parquet").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))),
     "json_keys": lambda s, d: json_keys(s.read.parquet(f"{d}/events.parquet"), "props"),
@@ -112,7 +112,7 @@ SQL = {
     "failure_days": f"{_E}, l AS (SELECT key, max((ts, id)) AS last FROM e WHERE ok GROUP BY key) SELECT key, count(DISTINCT CAST(ts + INTERVAL 9 HOUR AS DATE)) AS days, count(*) AS failures FROM e LEFT JOIN l USING (key) WHERE NOT ok AND (last IS NULL OR (ts, id) > last) GROUP BY key",
     "hold_batches": f"""{_E}, x AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM e), y AS (SELECT *, min(ts) OVER (PARTITION BY key, day) AS first FROM x)
         SELECT key, strftime(day, '%Y-%m-%d') AS day, CAST(floor((floor(epoch(ts)) - floor(epoch(first))) / 5400) AS BIGINT) AS batch, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM y GROUP BY ALL""",
-    "retry_state": f"{_E} SELECT key, least(count(*), 5) AS attempts, CASE WHEN bool_or(ok) THEN 'SENT' WHEN count(*) >= 5 THEN 'FAILED' ELSE 'PENDING' END AS state FROM e WHERE id < 900 GROUP BY key",
+    "retry_state": f"{_E} SELECT key, least(count(*), 5) AS attempts, CASE WHEN bool_or(ok) THEN 'SENT' WHEN count(*) >= 5 THEN 'FAILED' ELSE 'PENDING' END AS state FROM e GROUP BY key",
     "signal_lifecycle": f"""{_E}, a AS (SELECT key, sum(cents) >= 100000 AS was FROM e WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' GROUP BY key), b AS (SELECT key, sum(cents) AS score FROM e WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15' GROUP BY key HAVING sum(cents) >= 100000)
         SELECT key, score IS NOT NULL AS active, CASE WHEN score IS NOT NULL AND NOT coalesce(was, false) THEN '2024-01-15' ELSE '2024-01-08' END AS detected FROM a FULL JOIN b USING (key)""",
     "set_operations": """WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 200000), b AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 5000)

@@ -33,7 +33,7 @@ VIEWS = {
         CAST(round(value * 1000) AS BIGINT) * (event_id % 7) / 100 AS likes, CAST(round(value * 1000) AS BIGINT) * (event_id % 5) / 200 AS comments, event_id % 9 = 0 AS paid FROM {events}""",
     "channel": """SELECT channel_id, 1000 + (channel_id * 7919) % 200000 AS subscribers, CASE channel_id % 3 WHEN 0 THEN 'food' WHEN 1 THEN 'camp' ELSE 'toys' END AS category,
         channel_id % 29 = 0 AS excluded FROM (SELECT DISTINCT user_id AS channel_id FROM {events}) AS u""",
-    "title": """SELECT doc_id AS title_id, doc_id % 40 AS channel_id, substring(text, 1, 120) AS title, TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 21) * INTERVAL '1' DAY AS published_at FROM {documents}""",
+    "title": """SELECT doc_id AS title_id, doc_id % 40 AS channel_id, text AS title, TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 21) * INTERVAL '1' DAY AS published_at FROM {documents}""",
     "alert": """SELECT event_id, concat(event_type, '-', CAST(user_id AS STRING)) AS alert_key, event_type, user_id, ts, value FROM {events}""",
 }
 

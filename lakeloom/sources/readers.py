@@ -79,7 +79,7 @@ def video_rows(items: DataFrame, column: str = "body") -> DataFrame:
 
 def _pages(spark, sf_dir) -> DataFrame:
     """Order pages as an API would send them: 20 orders a page, made from the order tables."""
-    heads, lines = view(spark, sf_dir, "order_head").filter("order_no % 5 = 0"), view(spark, sf_dir, "order_line")
+    heads, lines = view(spark, sf_dir, "order_head"), view(spark, sf_dir, "order_line")
     items = lines.groupBy(F.col("order_no").alias("orderId")).agg(F.sort_array(F.collect_list(F.struct(F.col("item").alias("vendorItemId"), F.col("quantity").alias("shippingCount"), F.col("amount").alias("orderPrice")))).alias("orderItems"))
     orders = heads.select(F.col("order_no").alias("orderId"), F.date_format(F.col("ordered_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("orderedAt"), "status", F.col("amount").alias("totalPaidAmount")).join(items, "orderId", "left")
     page = F.struct(F.lit(200).alias("code"), F.lit("").alias("nextToken"), F.collect_list(F.struct("orderId", "orderedAt", "status", "totalPaidAmount", F.coalesce("orderItems", F.array().cast("array<struct<vendorItemId:bigint,shippingCount:bigint,orderPrice:bigint>>")).alias("orderItems"))).alias("data"))
@@ -90,7 +90,7 @@ def _grid(spark, sf_dir) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     cells = F.struct(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("<b>"), "p_name", F.lit("</b> ")).alias("product_name"), F.col("p_size").cast("string").alias("stock"))
     body = F.to_json(F.struct((F.count(F.lit(1)) + F.first(F.when(F.col("p_brand") == "Brand#7", 5).otherwise(0))).alias("records"), F.struct(F.collect_list(cells).alias("rows")).alias("result")))
-    return rows.groupBy("p_brand").agg(body.alias("body"))
+    return rows.groupBy("p_brand", (F.col("p_partkey") / 500).cast("bigint").alias("page")).agg(body.alias("body"))
 
 
 def _csv(spark, sf_dir) -> DataFrame:
@@ -114,7 +114,7 @@ def _videos(spark, sf_dir) -> DataFrame:
 
 QUERIES = {
     "csv_scan": _csv,
-    "json_rows": lambda s, d: json_rows(_grid(s, d), "result.rows", ["key", "product_name", "stock"]).drop("position"),
+    "json_rows": lambda s, d: json_rows(_grid(s, d), "result.rows", ["key", "product_name", "stock"]).drop("position", "page"),
     "json_truncated": lambda s, d: truncated(_grid(s, d), "result.rows", "records"),
     "nested_orders": lambda s, d: order_lines(_pages(s, d)).select("order_no", F.date_format("ordered_at", "yyyy-MM-dd HH:mm").alias("ordered_at"), "status", "total", "item", F.col("quantity").cast("bigint").alias("quantity"), "amount"),
     "video_records": lambda s, d: video_rows(_videos(s, d)).select("video_id", "seconds", "views", "comments", "comments_off", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published_at")),
@@ -123,7 +123,7 @@ QUERIES = {
 SQL = {
     "csv_scan": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CAST(p_size AS VARCHAR) AS p_size FROM part WHERE p_partkey % 50 <> 0",
     "json_rows": "SELECT p_brand, CAST(p_partkey AS VARCHAR) AS key, p_name AS product_name, CAST(p_size AS VARCHAR) AS stock FROM part",
-    "json_truncated": "SELECT p_brand, count(*) + 5 AS announced, count(*) AS held FROM part WHERE p_brand = 'Brand#7' GROUP BY p_brand",
-    "nested_orders": f"{with_views('order_head', 'order_line')} SELECT order_no, strftime(ordered_at - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS ordered_at, status, h.amount AS total, item, quantity, l.amount FROM order_head h JOIN order_line l USING (order_no) WHERE order_no % 5 = 0",
+    "json_truncated": "SELECT p_brand, p_partkey // 500 AS page, count(*) + 5 AS announced, count(*) AS held FROM part WHERE p_brand = 'Brand#7' GROUP BY ALL",
+    "nested_orders": f"{with_views('order_head', 'order_line')} SELECT order_no, strftime(ordered_at - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS ordered_at, status, h.amount AS total, item, quantity, l.amount FROM order_head h JOIN order_line l USING (order_no)",
     "video_records": f"{with_views('video')} SELECT CAST(video_id AS VARCHAR) AS video_id, duration_seconds AS seconds, views, CASE WHEN video_id % 10 <> 0 THEN duration_seconds ELSE 0 END AS comments, video_id % 10 = 0 AS comments_off, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM video",
 }
