@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.functions import samples
 from lakeloom.operators import filters, names, reconcile, transform
-from lakeloom.plans import ledger, monitor, orders, reports, scoring, trends
+from lakeloom.plans import ledger, listings, monitor, orders, reports, reviews, scoring, trends
 from lakeloom.sources import readers
 from lakeloom.streaming import alerts
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts, monitor, orders, samples)
+MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts, monitor, orders, reviews, listings, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,12 @@ STOP_WORDS = ("영상", "브이로그", "블로그", "리뷰", "추천", "방법
 #: Patterns that take lot dates and brackets out of item names.
 NAME_RULES = {"brackets": r"\([^)]*\)", "date after underscore": r"_\d{2}[.\-/]\d{2}[.\-/]\d{2}$", "date in name": r"\d{2,4}[.\-/]\d{1,2}[.\-/]\d{1,2}"}
 
+#: Patterns that people pick for their own rules.
+NAME_PRESETS = {
+    "paren": r"\([^)]*\)", "bracket": r"\[[^\]]*\]", "after-underscore": r"_.*$", "date": r"\d{2,4}[.\-/]\d{1,2}[.\-/]\d{1,2}",
+    "separator": r"[-_/]+", "size": r"\d+(\.\d+)?\s*(g|kg|ml|l|ea|개|정|포)\b", "pack": r"[xX]\s*\d+\s*(ea|개)?$",
+}
+
 #: Texts read as true and false.
 TRUE_WORDS, FALSE_WORDS = ("true", "y", "yes", "1", "예"), ("false", "n", "no", "0", "아니오")
 
