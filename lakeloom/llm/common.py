@@ -32,6 +32,15 @@ def same_row(left: DataFrame, right: DataFrame, id_: str, hash_: str) -> Column:
     return left[ID].eqNullSafe(right[id_]) & (left[HASH] == right[hash_])
 
 
+def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows, the same ones every time: all, or those whose key's hash is below a bound that leaves about so many."""
+    total = rows.count()
+    if total <= limit:
+        return rows
+    share = (limit - 5 * limit**0.5) / total
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for each row, also where `body` uses it in a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -15,8 +15,8 @@ counted anew. At the end both views' log-odds are combined by a logistic fit on
 
 Spark. A task keeps two small arrays of counts, whatever it reads; their sums are grouped by
 feature, so nothing that is shuffled or comes to the driver grows with the corpus but the
-number of tasks' arrays. Labels are used from at most `SAMPLE` rows, those with the least hashes
-of their ids, which go to all tasks by broadcast. Texts are never shuffled.
+number of tasks' arrays. Labels are used from at most `SAMPLE` rows, those whose ids' hashes are
+below a bound, which go to all tasks by broadcast. Texts are never shuffled.
 
 Defined cases: null and empty texts have no words and are judged by what else is known; a null
 language, source or size is a feature of its own; documents with contradicting labels count
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import logistic, shielded
+from lakeloom.llm.common import bounded_sample, logistic, shielded
 from lakeloom.llm.toxicity import held_out
 
 FEATURES = 1 << 16
@@ -185,7 +185,7 @@ def _calibrated(text: View, meta: View, labelled: DataFrame) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, label_col: str = "quality", rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on labelled rows for which `training` (a condition on the labels' doc_id) holds; None without both classes."""
     known = labels.filter((F.lit(True) if training is None else training) & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
-    sample = known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = bounded_sample(known.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y")), "doc_id", SAMPLE)
     sample = F.broadcast(sample.withColumnRenamed("doc_id", "__id"))
     rows = docs.select(*_inputs(docs, id_col, text_col))
     columns = ("__id", "__text", "__lang", "__source", "__size", "y")

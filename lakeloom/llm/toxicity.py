@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.llm.common import logistic, mixed, shielded, shingles
+from lakeloom.llm.common import bounded_sample, logistic, mixed, shielded, shingles
 from lakeloom.session import cut_lineage, small_batches
 
 #: Bound of labelled rows that the classifier is fitted on, and of tokens it keeps.
@@ -123,14 +123,10 @@ def _distinct(texts: DataFrame) -> DataFrame:
 
 
 def sample_labels(labels: DataFrame, label_col: str, training: Column, limit: int = SAMPLE) -> DataFrame:
-    """At most `limit` labelled rows (doc_id, y), the same ones every time: all, or those whose ids' hashes are below a bound that leaves about so many."""
+    """At most `limit` labelled rows (doc_id, y), the same ones every time."""
     known = labels.filter(training & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     one = known.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    total = one.count()
-    if total <= limit:
-        return one
-    share = (limit - 5 * math.sqrt(limit)) / total
-    return one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return bounded_sample(one, "doc_id", limit)
 
 
 def token_scores(counts: list[tuple[str, int, int]], n1: int, n0: int, errors: float = 2.5) -> dict[str, float]:
