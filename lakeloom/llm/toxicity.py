@@ -50,6 +50,7 @@ SAMPLE = 40_000
 MAX_TOKENS = 50_000
 #: Labelled texts of one label whose three-word runs are so similar count once.
 COPIES = 0.8
+SKETCH = 128
 #: How often tokens are counted again with each word credited to its best token.
 CREDITED = 2
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -97,29 +98,33 @@ def tokens_of(word: str) -> list[str]:
 
 
 def _distinct(texts: DataFrame) -> DataFrame:
-    """Of rows (y, text) one of each group of near copies with the same label.
+    """Of rows (id, y, text) one of each group of near copies with the same label, as (y, text).
 
-    Rows that agree on a pair of MinHashes of their three-word runs meet; those whose whole sets
-    are `COPIES` similar or more to the meeting's first row go. Four pairs in turn; all other rows stay.
+    Rows that agree on a pair of MinHashes of their three-word runs meet; those whose sets are `COPIES`
+    similar or more to the meeting's first row's go, by the `SKETCH` least hashes of both (exact
+    for sets of no more). Four pairs in turn; all other rows stay. Texts are shuffled once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sets = [], []
-            for cell in batch.column(1):
+            for cell in batch.column(3):
                 found = shingles([w.encode("utf-8", "surrogatepass") for w in words_of(cell.as_py())], 3)
                 least = np.array([mixed(found ^ np.uint64(k)).min() if len(found) else 0 for k in range(1, 9)], np.uint64)
                 keys.append(mixed(least[::2] * np.uint64(3) + mixed(least[1::2])).astype(np.int64))
-                sets.append(found.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["y", "text", "keys", "found"])
+                sets.append(np.sort(found.astype(np.int64))[:SKETCH])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h", "y", "keys", "found"])
 
-    rows = texts.withColumn("text", F.coalesce("text", F.lit(""))).distinct().mapInArrow(run, "y int, text string, keys array<long>, found array<long>").withColumn("h", F.xxhash64("text"))
+    named = texts.select("id", F.xxhash64("text").alias("h"), "y", "text")
+    rows = named.mapInArrow(run, "id long, h long, y int, keys array<long>, found array<long>")
     for k in range(4):
-        met = Window.partitionBy("y", F.col("keys")[k]).orderBy("h", "text")
+        met = Window.partitionBy("y", F.col("keys")[k]).orderBy("h", "id")
         rows = rows.select("*", F.row_number().over(met).alias("place"), F.first("found").over(met).alias("first"))
-        both = F.size(F.array_intersect("found", "first"))
-        rows = rows.filter((F.col("place") == 1) | (both < COPIES * (F.size("found") + F.size("first") - both))).drop("place", "first")
-    return cut_lineage(rows.select("y", "text"))
+        least = F.slice(F.sort_array(F.array_union("found", "first")), 1, SKETCH)
+        alike = F.size(F.array_intersect(least, F.array_intersect("found", "first"))) >= COPIES * F.size(least)
+        rows = rows.filter((F.col("place") == 1) | ~alike).drop("place", "first")
+    kept = cut_lineage(rows.select("id", "h"))
+    return cut_lineage(named.join(F.broadcast(kept.distinct()), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("y", "text"))
 
 
 def sample_labels(labels: DataFrame, label_col: str, training: Column, limit: int = SAMPLE) -> DataFrame:
@@ -201,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column | None = None, labe
     """Fit on labelled rows for which `training` (a condition on the labels' doc_id) holds."""
     small_batches(docs.sparkSession)
     sample = sample_labels(labels, label_col, F.lit(True) if training is None else training).withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("y", F.col("__text").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select(F.col("__id").alias("id"), "y", F.coalesce("__text", F.lit("")).alias("text"))
     texts = _distinct(texts)
     names = ["token", "k1", "k0"]
 
