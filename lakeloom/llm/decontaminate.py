@@ -7,8 +7,9 @@ window are hit, and the automaton's state tells which items hold it. `decontamin
 cuts hit spans out of the texts and drops documents of which too much is hit.
 
 A broadcast automaton holds at most `BLOCK_WORDS` benchmark words (or one item, if it has
-more); a larger benchmark makes several automata that each document passes one after the other
-in the same task. Documents are never shuffled, so neither copies nor hot sources matter.
+more). A larger benchmark makes several, one at a time: each reads the documents in a job of its own,
+which writes what was found so far to the shared folder, so neither the driver nor a task ever
+holds a second one. Documents are never shuffled, so neither copies nor hot sources matter.
 
 Defined cases: null and empty texts have no words and no hits; benchmark rows without words
 (null, empty) are no items; a null item id counts as the id `null`; equal ids count once;
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.llm.common import shielded
+from lakeloom.session import cut_lineage
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -175,10 +177,14 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
 
         return read
 
-    automata = [Automaton(block, window) for block in blocks(benchmark, block_words=block_words)] or [None]
-    for automaton in automata:
-        found = found.mapInArrow(reader(context.broadcast(automaton)), schema)
-    return found
+    shared = None
+    for block in blocks(benchmark, block_words=block_words):
+        if shared:  # an automaton whose finds are written is needed no more
+            found = cut_lineage(found)
+            shared.destroy()
+        shared = context.broadcast(Automaton(block, window))
+        found = found.mapInArrow(reader(shared), schema)
+    return found if shared else found.mapInArrow(reader(context.broadcast(None)), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -14,7 +14,8 @@ No key but the document's own is ever grouped, so copies and hot sources do not
 
 Defined cases: a null text is an empty text without secrets; equal rows give equal results;
 an empty table gives an empty result; other columns are ignored by `scan` and kept as they
-are by `redact`. Offsets count code points, ends are exclusive.
+are by `redact`. Offsets count code points, ends are exclusive. A private key is found from its
+first line to its last; a first line without a last one is found alone.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ RULES = (
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    SecretRule("private-key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    SecretRule("private-key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[ \t\r\n]{0,4}(?:(?:Proc-Type|DEK-Info): [^\r\n]{0,100}[\r\n]+){0,2}[A-Za-z0-9+/= \t\r\n\\]+-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
 )
 
 _MOST_STRINGS = 64

@@ -91,6 +91,27 @@ def test_redaction_leaves_the_rest(spark):
     assert row.text == "é" * 300 + " [SECRET]"
 
 
+def test_private_keys_go_whole(spark):
+    key = lambda kind, body: f"-----BEGIN {kind}PRIVATE KEY-----{body}-----END {kind}PRIVATE KEY-----"
+    texts = {
+        1: ("a " + key("", "\nMIIEvQ+/Ab\nCd==\n") + " b", "a [SECRET] b"),
+        2: (key("RSA ", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\nMIIE\n") + key("EC ", "\\nMHcC\\n"), "[SECRET][SECRET]"),
+        3: ("-----BEGIN PRIVATE KEY----- is a key's first line - and no more", "[SECRET] is a key's first line - and no more"),
+        4: ("-----END PRIVATE KEY-----", "-----END PRIVATE KEY-----"),
+    }
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()} == {i: text for i, (_, text) in texts.items()}
+
+
+def test_benchmark_in_blocks_finds_the_same(spark):
+    words = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(f"i{k}", " ".join(words[k * 7 : k * 7 + 12])) for k in range(7)] + [("short", "w59 w0"), (None, "w3 w2"), ("none", "...")], BENCH)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[5:40])), (3, "w59 w0 w3 w2"), (4, None), (4, None), (5, "w1")], "doc_id long, text string")
+    found = lambda size: sorted(map(str, decontaminate.match(docs, bench, block_words=size).collect()))
+    assert len(list(decontaminate.blocks(bench, block_words=20))) > 3
+    assert found(20) == found(1) == found(200_000)
+
+
 def test_decontamination_cuts_the_passage(spark):
     docs = spark.createDataFrame([(1, "keep this much of it, and more of it, and yet more: Jumps over, the lazy dog and runs away from all of; end")], "doc_id long, text string")
     bench = spark.createDataFrame([("x", "jumps over the lazy dog and runs away from all")], BENCH)
