@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakeloom.llm.common import shielded
 from lakeloom.session import cut_lineage
@@ -154,15 +153,19 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield block
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with the number of words, the sorted positions of hit words, and the sorted ids of items with a window in the text."""
+def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, block_words: int, finish=None) -> DataFrame:
+    """`docs` with their finds, read against one block of the benchmark after the other.
+
+    `finish` makes the rows of the result (columns of `docs`) of the last block's batches in the same
+    pass, so that a task has one Python worker and texts go there once.
+    """
     context = docs.sparkSession.sparkContext
     empty = F.array().cast("array<int>"), F.array().cast("array<string>")
     found = docs.withColumns({COUNT: F.lit(-1).cast("long"), HITS: empty[0], ITEMS: empty[1]})
     schema = found.schema
     at = found.columns.index(text_col)
 
-    def reader(shared):
+    def reader(shared, finish=None):
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for batch in batches:
@@ -173,27 +176,35 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
                     counts.append(len(words))
                     all_hits.append(sorted({*hits, *more}))
                     all_items.append(sorted({*items, *named}))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))], names=batch.schema.names)
+                if finish:
+                    yield finish(pa.RecordBatch.from_arrays(batch.columns[:-3], names=batch.schema.names[:-3]), counts, all_hits)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(all_hits, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))], names=batch.schema.names)
 
         return read
 
-    shared = None
-    for block in blocks(benchmark, block_words=block_words):
-        if shared:  # an automaton whose finds are written is needed no more
-            found = cut_lineage(found)
-            shared.destroy()
+    coming = blocks(benchmark, block_words=block_words)
+    block = next(coming, None)
+    while (following := next(coming, None)) is not None:
         shared = context.broadcast(Automaton(block, window))
-        found = found.mapInArrow(reader(shared), schema)
-    return found if shared else found.mapInArrow(reader(context.broadcast(None)), schema)
+        found = cut_lineage(found.mapInArrow(reader(shared), schema))
+        shared.destroy()  # an automaton whose finds are written is needed no more
+        block = following
+    last = context.broadcast(Automaton(block, window) if block else None)
+    return found.mapInArrow(reader(last, finish), docs.schema if finish else schema)
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """`docs` with the number of words, the sorted positions of hit words, and the sorted ids of items with a window in the text."""
+    return _streamed(docs, benchmark, window, text_col, block_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` without the hit spans, and without documents of whose words a greater share than `max_coverage` is hit.
 
     A cut leaves one space. An `n_chars` column is made to fit the new text.
     """
     plain, names = shielded(docs)
-    found = match(plain, benchmark, window, names[text_col]).filter(F.size(HITS) <= max_coverage * F.greatest(COUNT, F.lit(1)))
     at = docs.columns.index(text_col)
 
     def cut(text: str, hits: list[int]) -> str:
@@ -208,15 +219,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             done, k = places[hits[last]][1], last + 1
         return b" ".join([*parts, raw[done:]]).decode("utf-8", "surrogatepass")
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns[:-3])
-            if any(hits := batch.column(HITS).to_pylist()):
-                texts = [cut(t, h) if h else t for t, h in zip(columns[at].to_pylist(), hits, strict=True)]
-                columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3])
+    def cleaned(batch: pa.RecordBatch, counts: list[int], hits: list[list[int]]) -> pa.RecordBatch:
+        columns = list(batch.columns)
+        if any(hits):
+            stays = [len(h) <= max_coverage * max(n, 1) for n, h in zip(counts, hits, strict=True)]
+            columns[at] = pa.array([cut(t, h) if h and stay else t for t, h, stay in zip(columns[at].to_pylist(), hits, stays, strict=True)], columns[at].type)
+            return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stays, pa.bool_()))
+        return batch
 
-    done = found.mapInArrow(cleaned, T.StructType(list(plain.schema.fields))).toDF(*docs.columns)
+    done = _streamed(plain, benchmark, window, names[text_col], block_words, cleaned).toDF(*docs.columns)
     return done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
