@@ -216,6 +216,15 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(plain, timed)
 
 
+def parse_time(c: Column, zone: str = "UTC") -> Column:
+    """An ISO time with its offset; without one a local time of `zone`, or the start of a local day there; null for anything else."""
+    day, clock = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+    c = F.regexp_replace(c, r"T(\d{2}:\d{2})(?=$|Z|[+-])", "T$1:00")  # times with an offset need their seconds
+    fixed = F.when(c.rlike(rf"^{day}T{clock}(Z|[+-]\d{{2}}:\d{{2}})$"), c.try_cast("timestamp"))
+    local = F.when(c.rlike(rf"^{day}T{clock}$"), F.concat(c, F.lit(f" {zone}")).try_cast("timestamp"))
+    return F.coalesce(fixed, local, F.when(c.rlike(rf"^{day}$"), F.concat(c, F.lit(f"T00:00:00 {zone}")).try_cast("timestamp")))
+
+
 def iso_seconds(c: Column) -> Column:
     """Seconds of an ISO-8601 duration such as PT1H2M3S; -1 if it is none."""
     part = lambda unit: F.coalesce(F.regexp_extract(c, rf"(\d+){unit}", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
@@ -275,8 +284,8 @@ def days_left(quantity: Column, average: Column) -> Column:
     return F.when((quantity > 0) & (average > 0), quantity / F.when(average > 0, average))
 
 
-def typed(c: Column, kind: str) -> Column:
-    """A text as INTEGER, DECIMAL, BOOLEAN, DATE, TIMESTAMP or STRING; null where it is none."""
+def typed(c: Column, kind: str, zone: str = "UTC") -> Column:
+    """A text as INTEGER, DECIMAL, BOOLEAN, DATE, TIMESTAMP (local ones of `zone`) or STRING; null where it is none."""
     text = strip_text(c)
     if kind == "INTEGER":
         return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
@@ -287,7 +296,7 @@ def typed(c: Column, kind: str) -> Column:
     if kind == "DATE":
         return parse_date(text)
     if kind == "TIMESTAMP":
-        return F.try_to_timestamp(text)
+        return parse_time(text, zone)
     return c
 
 

@@ -13,10 +13,13 @@ from lakeloom.sources.domain import view, with_views
 ALL = "_all"
 
 
-def keyword_counts(titles: DataFrame, least: int = 3) -> DataFrame:
-    """Keywords by week and category, and over all categories as `_all`; a title counts a keyword once. Rare ones are not kept."""
+def keyword_counts(titles: DataFrame, least: int = 3, extract=keywords) -> DataFrame:
+    """Keywords by week and category, and over all categories as `_all`; a title counts a keyword once. Rare ones are not kept.
+
+    `extract` makes a title column's distinct keywords, so that another way of finding them can be put in.
+    """
     every = F.array_union(F.array(F.lit(ALL)), F.coalesce("categories", F.array().cast("array<string>")))
-    words = titles.select(week_start(F.col("published_at")).alias("week"), every.alias("categories"), F.explode(keywords(F.col("title"))).alias("keyword"))
+    words = titles.select(week_start(F.col("published_at")).alias("week"), every.alias("categories"), F.explode(extract(F.col("title"))).alias("keyword"))
     tall = words.select("week", F.explode("categories").alias("category"), "keyword")
     return tall.groupBy("week", "category", "keyword").agg(F.count(F.lit(1)).alias("frequency")).filter(F.col("frequency") >= least)
 

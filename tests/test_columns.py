@@ -8,6 +8,7 @@ from lakeloom.functions import columns as c
 from lakeloom.operators import filters as f
 from lakeloom.operators import transform as t
 from lakeloom.operators.reconcile import compare, promote
+from lakeloom.plans import upkeep
 from lakeloom.plans.scoring import Rubric, metrics, rule_score
 from lakeloom.plans.trends import growth
 
@@ -149,3 +150,37 @@ def test_growth_of_a_keyword(spark):
     counts = spark.createDataFrame([(dt.date(2026, 8, 3), "_all", "텐트", 3), (dt.date(2026, 8, 10), "_all", "텐트", 6)], "week date, category string, keyword string, frequency bigint")
     last = growth(counts).orderBy(F.desc("week")).first()
     assert (last.previous, last.growth, last.is_new) == (3, 2.0, False)
+
+
+def test_times_with_and_without_a_zone(spark):
+    texts = {
+        "2024-02-29T10:00:00Z": 1709200800,
+        "2024-02-29T10:00Z": 1709200800,
+        "2024-02-29T10:00:00+09:00": 1709168400,
+        "2024-02-29T10:00:00.5": 1709168400,
+        "2024-02-29T10:00": 1709168400,
+        "2024-02-29": 1709132400,
+        "2024-02-30": None,
+        "2024-02-29 10:00:00": None,
+        "2024-2-9": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.s for r in df.select("t", F.unix_seconds(c.parse_time(F.col("t"), "Asia/Seoul")).alias("s")).collect()}
+    assert got == texts
+
+
+def test_sinks_by_mode(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)], "k string, v int, n int")
+    old = spark.createDataFrame([("a", 9, 0), ("c", 7, 0)], "k string, v int, n int")
+    assert sorted(tuple(r) for r in upkeep.sink("LIVE")(old, rows, ["k"], ["n"]).collect()) == [("a", 2, 2), ("b", 5, 1), ("c", 7, 0)]
+    assert sorted(r.payload for r in upkeep.sink("TEST")(old, rows, ["k"], ["n"]).collect()) == ['{"k":"a","v":2,"n":2}', '{"k":"b","v":5,"n":1}']
+    with pytest.raises(ValueError):
+        upkeep.sink("DRAFT")
+
+
+def test_outbox_holds_back_recent_keys(spark):
+    sent = spark.createDataFrame([("x", dt.datetime(2024, 1, 1, 10)), ("y", dt.datetime(2024, 1, 1, 2)), (None, dt.datetime(2024, 1, 1, 10))], "dedupe_key string, created_at timestamp_ntz")
+    new = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), (" ", 4), (None, 5), (None, 6)], "dedupe_key string, id int")
+    got = upkeep.enqueued(sent, new, dt.datetime(2024, 1, 1, 12), 6, ["id"]).collect()
+    assert sorted(r.payload for r in got) == ['{"id":2}', '{"id":4}', '{"id":5}', '{"id":6}']
