@@ -1,7 +1,9 @@
 """Nulls, empty and repeated rows, ties, empty tables and clashing columns, for every operator."""
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import tiktoken
 
 from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_reputation
 
@@ -49,6 +51,25 @@ def test_odd_rows(spark, name):
         assert all(r["__score"] in ("c", None) and r["bucket"] in ("f", None) for r in rows)
 
 
+def _by_id(df, *columns):
+    return sorted([(r.doc_id is not None, r.doc_id or 0, *(r[c] for c in columns)) for r in df.collect()], key=repr)
+
+
+def test_values_of_odd_rows(spark):
+    """Null, empty, repeated and long texts: what each operator gives for them."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    texts = [(r[0] is not None, r[0] or 0, r[1]) for r in ROWS]
+    found = secret_scan.scan(docs).selectExpr("doc_id", "n_assign", "transform(all_spans, s -> concat_ws(':', s.kind, s.start, s.end)) AS spans")
+    assert _by_id(found, "n_assign", "spans") == sorted([(known, i, int(i == 5), ["assign:301:319"] if i == 5 else []) for known, i, _ in texts], key=repr)
+    words = _by_id(license_scan.scan(docs), "n_words")
+    assert words == sorted([(known, i, len((t or "").split()) + (t or "").count("=")) for known, i, t in texts], key=repr)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    assert _by_id(bpe.digests(docs), "n_tokens") == sorted([(known, i, len(library.encode_ordinary(t or ""))) for known, i, t in texts], key=repr)
+    left = {"the": TEXT, "é": "é token=abcdefgh1234", "word": "word "}
+    cut = lambda known, t: t if not t or len(t) < 100 else "" if known and t == TEXT else next(v for k, v in left.items() if t.startswith(k))
+    assert _by_id(suffix_dedup.remove(docs), "text") == sorted([(known, i, cut(known, t)) for known, i, t in texts], key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(spark, name):
     docs = spark.createDataFrame([], SCHEMA)
