@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lakeloom.llm import bpe, decontaminate, license_scan, near_dedup, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_reputation
+from lakeloom.llm import bpe, decontaminate, lexical_search, license_scan, mixing, near_dedup, order_minhash, quality, secret_scan, suffix_dedup, toxicity, url_reputation, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_url_filters": url_reputation.op9_url_filters,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_mixing": mixing.op12_mixing,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scans": license_scan.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op10_near_dedup": near_dedup.SQL,
+        "op13_lexical_search": lexical_search.SQL,
     }

@@ -22,8 +22,8 @@ def test_same_as_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], SQL[name])
 
 
-def test_eleven_queries():
-    assert len([n for n in QUERIES if n.startswith("op") or n == "pipeline"]) == 11
+def test_fourteen_queries():
+    assert len([n for n in QUERIES if n.startswith("op") or n == "pipeline"]) == 14
 
 
 @pytest.fixture(scope="module")
