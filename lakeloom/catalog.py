@@ -10,10 +10,10 @@ from lakeloom.functions import samples
 from lakeloom.operators import filters, names, reconcile, transform
 from lakeloom.plans import ledger, listings, monitor, orders, reports, reviews, scoring, trends, upkeep
 from lakeloom.sources import readers
-from lakeloom.streaming import alerts
+from lakeloom.streaming import alerts, ordered, resume
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts, monitor, orders, reviews, listings, upkeep, samples)
+MODULES = (reports, filters, reconcile, names, transform, scoring, trends, ledger, readers, alerts, ordered, resume, monitor, orders, reviews, listings, upkeep, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
