@@ -129,32 +129,27 @@ class Suppressed(InOrder):
 class Incidents(InOrder):
     """Events fold into an incident until one resolves it. Each change of an incident gives a row, of which the last holds.
 
-    `number` is 1 for an event that resolves. A key of which nothing has come for `idle` days is forgotten
-    (with the number of its incidents, so that a later one starts from 0 again), unless an incident is open.
+    `number` is 1 for an event that resolves. An incident is named by the event that opened it; a key has state
+    while one is open, and none after.
     """
 
-    columns = ("key", "incident", "occurrences", "resolved", "last_id", "at")
-    kept_schema = "incident long, occurrences long, last long"
-
-    def __init__(self, idle_days: int) -> None:
-        self.idle = idle_days * 86_400_000_000
+    columns = ("key", "first_id", "occurrences", "resolved", "last_id", "at")
+    kept_schema = "first_id long, occurrences long, last_id long"
 
     def fold(self, key: object, rows: list[Row], passed: int) -> tuple[list[tuple], list[Row]]:
-        number, open_, last = self.kept.get() if self.kept.exists() else (0, 0, 0)
+        now = self.kept.get() if self.kept.exists() else None
         out, ready = [], [r for r in rows if r[0] <= passed]
         for ts, i, resolves in ready:
-            last = ts
-            if open_ or not resolves:
-                open_ += not resolves
-                out.append((key, number, open_, bool(resolves), i, _time(ts)))
+            if now or not resolves:
+                first, many, last = now or (i, 0, i)
+                now = first, many + (not resolves), max(last, i)
+                out.append((key, now[0], now[1], bool(resolves), now[2], _time(ts)))
             if resolves:
-                number, open_ = number + 1, 0
-        if not open_ and last + self.idle <= passed and len(ready) == len(rows):
-            self.kept.clear()
+                now = None
+        if now:
+            self.kept.update(now)
         else:
-            self.kept.update((number, open_, last))
-            if not open_:
-                self.wake(last + self.idle + 1000)
+            self.kept.clear()
         return out, rows[len(ready) :]
 
 
@@ -176,16 +171,16 @@ def suppressed(events: DataFrame, hours: float, late: str = LATE) -> DataFrame:
     return _stateful(events, F.lit(0), Suppressed(hours), f"key {kind}, id long", late)
 
 
-def incidents(events: DataFrame, idle_days: int = 30, late: str = LATE) -> DataFrame:
-    """Changes of incidents of a stream (key, id, ts, resolves): key, incident, occurrences, resolved, last_id, at."""
+def incidents(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Changes of incidents of a stream (key, id, ts, resolves): key, first_id, occurrences, resolved, last_id, at."""
     kind = events.schema["key"].dataType.simpleString()
-    return _stateful(events, F.col("resolves").cast("int"), Incidents(idle_days), f"key {kind}, incident long, occurrences long, resolved boolean, last_id long, at timestamp", late)
+    return _stateful(events, F.col("resolves").cast("int"), Incidents(), f"key {kind}, first_id long, occurrences long, resolved boolean, last_id long, at timestamp", late)
 
 
 def latest(changes: DataFrame) -> DataFrame:
     """The last state of each incident."""
-    row = F.max_by(F.struct("occurrences", "resolved", "last_id"), F.struct("at", "last_id")).alias("row")
-    return changes.groupBy("key", "incident").agg(row).select("key", "incident", "row.*")
+    row = F.max(F.struct("resolved", "occurrences", "last_id")).alias("row")  # all of them only rise
+    return changes.groupBy("key", "first_id").agg(row).select("key", "first_id", "row.*")
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -202,7 +197,7 @@ _TIME = "yyyy-MM-dd HH:mm:ss"
 QUERIES = {
     "stream_held_batches": lambda s, d: drain(held(_events(s, d), 90, QUIET)).select("key", *[F.date_format(c, _TIME).alias(c) for c in ("oldest", "sent")], "n", "cents"),
     "stream_suppress_expiring": lambda s, d: drain(suppressed(_keyed(s, d), 24)),
-    "stream_incidents": lambda s, d: latest(drain(incidents(_events(s, d).filter("event_type in ('error', 'signup')"), 3650))),
+    "stream_incidents": lambda s, d: latest(drain(incidents(_events(s, d).filter("event_type in ('error', 'signup')")))),
 }
 
 #: What the watermark has passed once all events are read.
@@ -210,5 +205,7 @@ _PASSED = "(SELECT make_timestamp(1000 * (epoch_ms(max(ts)) - 600000)) FROM even
 SQL = {
     "stream_held_batches": f"SELECT * FROM ({ledger.SQL['held_until_due']}) WHERE sent <= strftime({_PASSED.format('')}, '%Y-%m-%d %H:%M:%S')",
     "stream_suppress_expiring": f"SELECT key, id FROM ({ledger.SQL['suppress_alerts']}) JOIN events ON id = event_id WHERE ts <= {_PASSED.format('')}",
-    "stream_incidents": ledger.SQL["incident_folding"].replace("FROM alert WHERE event_type IN ('error', 'signup')", f"FROM alert WHERE event_type IN ('error', 'signup') AND ts <= {_PASSED.format("WHERE event_type IN ('error', 'signup')")}"),
+    "stream_incidents": f"""WITH e AS (SELECT user_id AS key, event_id AS id, ts, event_type = 'signup' AS resolves FROM events WHERE event_type IN ('error', 'signup') AND ts <= {_PASSED.format("WHERE event_type IN ('error', 'signup')")}),
+        i AS (SELECT *, coalesce(sum(CAST(resolves AS INTEGER)) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM e)
+        SELECT key, arg_min(id, (ts, id)) FILTER (WHERE NOT resolves) AS first_id, bool_or(resolves) AS resolved, count(*) FILTER (WHERE NOT resolves) AS occurrences, max(id) AS last_id FROM i GROUP BY key, n HAVING count(*) FILTER (WHERE NOT resolves) > 0""",
 }

@@ -67,23 +67,26 @@ def match_late(lines: DataFrame, mappings: DataFrame, place: str, line: list[str
     spark, names = lines.sparkSession, lines.columns
     typed = lambda df, *columns: ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
     all_mappings = lambda: _stored(spark, f"{place}/mappings", f"{typed(mappings, on, value)}, batch long")
+    waiting = lambda: _stored(spark, f"{place}/waiting", f"{typed(lines, *names)}, batch long")
     applied = lambda: _stored(spark, f"{place}/applied", f"{typed(lines, *names)}, {typed(mappings, value)}, source string, batch long")
-    by_others = lambda source, number: applied().filter(~((F.col("source") == source) & (F.col("batch") == number))).select(*line)
     one = lambda m: m.filter(F.col(value).isNotNull()).groupBy(on).agg(F.min(value).alias(value))
 
     def write(rows: DataFrame, folder: str) -> None:
         rows.write.mode("overwrite").parquet(f"{place}/{folder}")
 
     def line_batch(rows: DataFrame, number: int) -> None:
-        new = rows.dropDuplicates(line).join(by_others("lines", number), line, "left_anti")
-        found = cut_lineage(new.join(one(all_mappings()), on, "left").select(*names, value))
-        write(found.filter(F.col(value).isNull()).drop(value), f"waiting/batch={number}")
-        write(found.filter(F.col(value).isNotNull()), f"applied/source=lines/batch={number}")
+        earlier = waiting().select(*line, "batch").union(applied().filter("source = 'lines'").select(*line, "batch")).filter(F.col("batch") != number)
+        new = rows.dropDuplicates(line).join(earlier, line, "left_anti")
+        late = applied().filter("source = 'mappings'").select(*line, F.lit(True).alias("__late")).distinct()
+        found = cut_lineage(new.join(one(all_mappings()), on, "left").join(late, line, "left"))
+        mine = F.col(value).isNotNull() & F.col("__late").isNull()
+        write(found.filter(~mine).select(*names), f"waiting/batch={number}")
+        write(found.filter(mine).select(*names, value), f"applied/source=lines/batch={number}")
 
     def mapping_batch(rows: DataFrame, number: int) -> None:
         write(rows.select(on, value), f"mappings/batch={number}")
-        waiting = _stored(spark, f"{place}/waiting", f"{typed(lines, *names)}, batch long").dropDuplicates(line)
-        left = waiting.join(by_others("mappings", number), line, "left_anti")
+        others = applied().filter(~((F.col("source") == "mappings") & (F.col("batch") == number)))
+        left = waiting().dropDuplicates(line).join(others, line, "left_anti")
         write(cut_lineage(left.join(one(all_mappings().filter(F.col("batch") == number)), on).select(*names, value)), f"applied/source=mappings/batch={number}")
 
     for stream, put, name in ((lines, line_batch, "lines"), (mappings, mapping_batch, "mappings")):
