@@ -205,8 +205,9 @@ def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: in
     row = ["center", "node", "out", "home", "root", "nc", "n", "lost", "new"]
     tokens = found.select(*row[:7], F.size("lost").alias("lost"), F.size("new").alias("new"), F.explode(F.concat(kind(True), kind(False))).alias("t"))
     tokens = tokens.select(*row, F.col("t.new").alias("is_new"), F.col("t.token").alias("token"))
-    often = tokens.groupBy("center", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    # What only one member has stands first in the order and meets nothing; the rest follows by how many members have it.
+    # What only members of one component have tells nothing of pairs across components: it stands first in the order, as if one member had it, and meets nothing.
+    often = tokens.groupBy("center", "token").agg(F.count(F.lit(1)).alias("times"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("center", "token", "times")
+    # The rest follows by how many members have it.
     shared = F.transform(F.sort_array(F.collect_list(F.struct("times", "token"))), lambda x: x["token"]).alias("shared")
     ordered = cut_lineage(tokens.join(often, ["center", "token"]).groupBy(*row, "is_new").agg(shared))
     d, more, less = F.col("lost") + F.col("new"), 100 + percent, 100 - percent
@@ -265,6 +266,14 @@ def connected(edges: DataFrame) -> DataFrame:
         now = cut_lineage(small.filter("a <> b").distinct())
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after more links (a, b): a node's root stands for all links so far, so only new ones can change anything."""
+    more = cut_lineage(links)
+    if roots is None:
+        return cut_lineage(connected(more))
+    return roots if more.isEmpty() else cut_lineage(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) whose ends are in different components."""
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
@@ -293,14 +302,10 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     contents = _contents(rows, nodes.select("node", "n", "first").join(wanted, "node", "left_semi"))
     best = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    edges = cut_lineage(_linked(best, contents, percent))
-    roots = cut_lineage(connected(edges))
+    roots = joined(None, _linked(best, contents, percent))
     rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
-    edges = cut_lineage(edges.union(_linked(rest, contents, percent)))
-    roots = cut_lineage(connected(edges))
-    across = _beside(stars, roots, contents, percent)
-    edges = cut_lineage(edges.union(_linked(across, contents, percent)))
-    roots = connected(edges)
+    roots = joined(roots, _linked(rest, contents, percent))
+    roots = joined(roots, _linked(_beside(stars, roots, contents, percent), contents, percent))
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = cut_lineage(named.join(lowest, "root").select("node", "component_id"))
