@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +47,43 @@ def scored_pairs(names: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("score", F.round(dice(F.col("left_name"), F.col("right_name")), 6))
 
 
+#: Pairs of a unit up to which the unit is paired in one place; larger units take rounds of joins.
+SMALL_UNIT = 20_000
+
+
 def greedy_pairs(scored: DataFrame, least: float | None = None) -> DataFrame:
     """One-to-one pairs within a unit: the best pair first, each name once; ties by left name, then right name.
 
-    There is no least score unless one is asked for. In rounds: pairs that are the best of both of their
-    names are taken, and all other pairs of these names go, until none is left.
+    There is no least score unless one is asked for. A unit of at most `SMALL_UNIT` pairs is one sorted group. In larger ones,
+    in rounds, pairs that are the best of both of their names are taken, and all other pairs of these names go,
+    until none is left.
     """
     order = F.struct((-F.col("score")).alias("s"), "left_name", "right_name")
     best = lambda c: F.min(order).over(Window.partitionBy("unit_id", c))
-    now = cut_lineage(scored if least is None else scored.filter(F.col("score") >= least))
-    taken = now.limit(0)
+    everything = cut_lineage(scored if least is None else scored.filter(F.col("score") >= least))
+    sizes = everything.groupBy("unit_id").agg((F.count(F.lit(1)) <= SMALL_UNIT).alias("small"))
+    sized = everything.join(sizes.withColumnRenamed("unit_id", "of"), F.col("unit_id").eqNullSafe(F.col("of"))).drop("of")
+
+    def at_once(unit: pd.DataFrame) -> pd.DataFrame:
+        left, right, keep = set(), set(), []
+        key = lambda v: repr(sorted(v.items())) if isinstance(v, dict) else v
+        for a, b in zip(map(key, unit["left_name"]), map(key, unit["right_name"]), strict=True):
+            keep.append(a not in left and b not in right)
+            if keep[-1]:
+                left.add(a)
+                right.add(b)
+        return unit[keep]
+
+    place = F.row_number().over(Window.partitionBy("unit_id").orderBy(order)).alias("place")
+    placed = sized.filter("small").select(*scored.columns, place)
+    taken = placed.groupBy("unit_id").applyInPandas(lambda unit: at_once(unit.sort_values("place")), placed.schema).select(*scored.columns)
+    now = cut_lineage(sized.filter("not small").select(*scored.columns))
     while not now.isEmpty():
         mine = cut_lineage(now.withColumns({"l": best("left_name"), "r": best("right_name")}).filter((order == F.col("l")) & (order == F.col("r"))).select(*scored.columns))
         taken = taken.unionByName(mine)
         for c in ("left_name", "right_name"):
-            now = now.join(mine.select("unit_id", c), ["unit_id", c], "left_anti")
+            gone = mine.select(F.col("unit_id").alias("of"), F.col(c).alias("name"))
+            now = now.join(gone, F.col("unit_id").eqNullSafe(F.col("of")) & F.col(c).eqNullSafe(F.col("name")), "left_anti")
         now = cut_lineage(now.select(*scored.columns))
     return taken
 

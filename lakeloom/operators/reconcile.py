@@ -108,11 +108,11 @@ def merge_units(members: DataFrame, into: int, others: list[int]) -> DataFrame:
 
 
 LEFT, RIGHT, TOLERANCE = "erp", "wms", 50
-_AT = "1998-01-01 00:00:00"
+AT = "1998-01-01 00:00:00"
 _EARLIER = "1997-01-01 00:00:00"
 
 
-def _slice(spark, sf_dir, at: str = _AT) -> DataFrame:
+def _slice(spark, sf_dir, at: str = AT) -> DataFrame:
     return view(spark, sf_dir, "snapshot").filter(F.col("base_at") == F.lit(at).cast("timestamp_ntz"))
 
 
@@ -120,7 +120,7 @@ def _promotion(spark, sf_dir):
     members = view(spark, sf_dir, "member")
     run = lambda at, n: compare(unit_sums(_slice(spark, sf_dir, at), members), LEFT, RIGHT, TOLERANCE).withColumn("run", F.lit(n))
     before = run(_EARLIER, 1).withColumns({"state": F.when(F.col("unit_id") % 10 == 0, "IGNORED").otherwise("OBSERVING"), "first_seen": F.lit(1)})
-    return promote(run(_AT, 2), before).select("unit_id", "diff_type", "delta", "state", "first_seen")
+    return promote(run(AT, 2), before).select("unit_id", "diff_type", "delta", "state", "first_seen")
 
 
 def _changed_members(spark, sf_dir):
@@ -146,7 +146,7 @@ QUERIES = {
 }
 
 _V = with_views("snapshot", "member")
-_ITEMS = f"""{_V}, now AS (SELECT * FROM snapshot WHERE base_at = TIMESTAMP '{_AT}'), items AS (SELECT source, item_ref, sum(quantity) AS quantity FROM now GROUP BY ALL),
+_ITEMS = f"""{_V}, now AS (SELECT * FROM snapshot WHERE base_at = TIMESTAMP '{AT}'), items AS (SELECT source, item_ref, sum(quantity) AS quantity FROM now GROUP BY ALL),
     sums AS (SELECT source, unit_id, CAST(sum(quantity * factor) AS BIGINT) AS quantity FROM items JOIN member USING (source, item_ref) WHERE confirmed GROUP BY ALL),
     loose AS (SELECT source, item_ref, CAST(quantity AS BIGINT) AS quantity FROM items WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.source = items.source AND m.item_ref = items.item_ref AND confirmed))"""
 

@@ -20,8 +20,10 @@ def keyword_counts(titles: DataFrame, least: int = 3, extract=keywords) -> DataF
     """
     every = F.array_union(F.array(F.lit(ALL)), F.coalesce("categories", F.array().cast("array<string>")))
     words = titles.select(week_start(F.col("published_at")).alias("week"), every.alias("categories"), F.explode(extract(F.col("title"))).alias("keyword"))
-    tall = words.select("week", F.explode("categories").alias("category"), "keyword")
-    return tall.groupBy("week", "category", "keyword").agg(F.count(F.lit(1)).alias("frequency")).filter(F.col("frequency") >= least)
+    # Counted by list of categories first: what is dealt out to each category is one row for each distinct keyword, not for each title.
+    counted = words.groupBy("week", "categories", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    tall = counted.select("week", F.explode("categories").alias("category"), "keyword", "n")
+    return tall.groupBy("week", "category", "keyword").agg(F.sum("n").alias("frequency")).filter(F.col("frequency") >= least)
 
 
 def growth(counts: DataFrame) -> DataFrame:
@@ -57,8 +59,9 @@ QUERIES = {
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _COUNTS = f"""{with_views('title')}, w AS (SELECT title_id, channel_id, date_trunc('week', published_at) AS week, list_filter(string_split_regex(lower(title), '[^가-힣ㄱ-ㅎㅏ-ㅣa-z0-9]+'), lambda x: length(x) BETWEEN 2 AND 12 AND NOT regexp_matches(x, '^[0-9]*$')) AS words FROM title),
     k AS (SELECT week, channel_id, unnest(list_distinct(list_concat(list_filter(words, lambda x: x NOT IN ({_STOP})), list_filter(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), lambda x: length(x) <= 24)))) AS keyword FROM w),
-    c AS (SELECT week, keyword, unnest(CASE channel_id % 4 WHEN 3 THEN ['{ALL}'] ELSE ['{ALL}', ['food', 'camp', 'toys'][channel_id % 4 + 1]] END) AS category FROM k),
-    n AS (SELECT week, category, keyword, count(*) AS frequency FROM c GROUP BY ALL HAVING count(*) >= 3),
+    d AS (SELECT week, channel_id % 4 AS kind, keyword, count(*) AS n FROM k GROUP BY ALL),
+    c AS (SELECT week, keyword, n AS times, unnest(CASE kind WHEN 3 THEN ['{ALL}'] ELSE ['{ALL}', ['food', 'camp', 'toys'][kind + 1]] END) AS category FROM d),
+    n AS (SELECT week, category, keyword, CAST(sum(times) AS BIGINT) AS frequency FROM c GROUP BY ALL HAVING sum(times) >= 3),
     g AS (SELECT a.week, a.category, a.keyword, a.frequency, coalesce(b.frequency, 0) AS previous, CASE WHEN b.frequency IS NULL THEN CAST(a.frequency AS DOUBLE) ELSE a.frequency / b.frequency END AS growth, b.frequency IS NULL AS is_new
       FROM n a LEFT JOIN n b ON a.category = b.category AND a.keyword = b.keyword AND a.week = b.week + INTERVAL 7 DAY)"""
 

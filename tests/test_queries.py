@@ -19,7 +19,7 @@ def test_same_as_sql(name, same_as_sql):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"greedy_pairs"}
+    assert set(QUERIES) - set(SQL) == {"greedy_pairs", "breakdown_lines_name"}
 
 
 def test_greedy_pairs_take_the_best_first(spark, sf_dir):
