@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.functions import samples
-from lakeloom.operators import board, filters, names, reconcile, transform
+from lakeloom.operators import board, filters, names, reconcile, runs, transform
 from lakeloom.plans import ledger, listings, monitor, orders, reports, reviews, scoring, trends, upkeep
-from lakeloom.sources import readers
+from lakeloom.sources import readers, uploads
 from lakeloom.streaming import alerts, ordered, resume
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, board, transform, scoring, trends, ledger, readers, alerts, ordered, resume, monitor, orders, reviews, listings, upkeep, samples)
+MODULES = (reports, filters, reconcile, names, board, transform, runs, scoring, trends, ledger, readers, uploads, alerts, ordered, resume, monitor, orders, reviews, listings, upkeep, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,10 +6,13 @@ import datetime as dt
 import re
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakeloom.functions.patterns import runs_away
+
 KST_HOURS = 9
 
 #: Endings stripped from title words, the longest that leaves two characters first.
@@ -121,13 +124,14 @@ def changed_by(c: Column, rules: dict[str, tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+@cache
 def compiles(pattern: str) -> bool:
-    """Whether a pattern compiles and has no nested quantifier that could run away."""
+    """Whether a pattern compiles, and no text can make it run away."""
     try:
         re.compile(pattern)
     except re.error:
         return False
-    return not re.search(r"\([^()]*[+*][^()]*\)[+*]", pattern)
+    return not runs_away(pattern)
 
 
 def bigrams(c: Column) -> Column:

@@ -45,25 +45,34 @@ class Target:
     default: str | None = None
 
 
-def map_rows(rows: DataFrame, mappings: Sequence[Mapping], targets: Sequence[Target], number: str = "row_number") -> DataFrame:
-    """Typed target columns, `attributes` (JSON of source fields that no mapping uses) and `errors` (code:field, null if none)."""
+def map_rows(rows: DataFrame, mappings: Sequence[Mapping], targets: Sequence[Target], number: str = "row_number", required: bool = True) -> DataFrame:
+    """Typed target columns, `attributes` (JSON of source fields that no mapping uses) and `errors` (code:field, null if none).
+
+    Texts and typed values are each worked out once for a row, in one struct that later steps read. `required` false
+    leaves it to a later step to look for missing values.
+    """
     by_target = {m.target: m for m in mappings}
-    columns, errors = [], []
+    texts = []
     for t in targets:
         m = by_target.get(t.name)
         text = RULES[m.rule](F.col(m.source), **m.params) if m else F.lit(None).cast("string")
-        blank = F.coalesce(strip_text(text), F.lit("")) == ""
-        value = F.when(blank, F.lit(t.default)).otherwise(text)
-        found = typed(value, t.kind)
-        columns.append(found.alias(t.name))
-        missing = F.coalesce(strip_text(value), F.lit("")) == ""
-        if t.required:
-            errors.append(F.when(missing, F.lit(f"REQUIRED:{t.name}")))
-        errors.append(F.when(~missing & found.isNull(), F.lit(f"TYPE:{t.name}")))
+        texts.append(text.alias(t.name))
+    blank = lambda c: F.coalesce(strip_text(c), F.lit("")) == ""
+    once = lambda *columns: F.explode(F.array(F.struct(*columns)))
     used = {m.source for m in mappings} | {number}
     rest = [c for c in rows.columns if c not in used]
-    listed = F.array_compact(F.array(*errors))
-    return rows.select(number, *columns, (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("attributes"), F.when(F.size(listed) > 0, F.array_join(listed, ",")).alias("errors"))
+    attributes = (F.to_json(F.struct(*rest)) if rest else F.lit("{}")).alias("attributes")
+    found = rows.select(number, attributes, once(*texts).alias("text"))
+    found = found.select(number, "attributes", once(*[F.when(blank(F.col("text")[t.name]), F.lit(t.default)).otherwise(F.col("text")[t.name]).alias(t.name) for t in targets]).alias("text"))
+    found = found.select(number, "attributes", "text", once(*[typed(F.col("text")[t.name], t.kind).alias(t.name) for t in targets]).alias("value"))
+    errors = []
+    for t in targets:
+        missing = blank(F.col("text")[t.name])
+        if t.required and required:
+            errors.append(F.when(missing, F.lit(f"REQUIRED:{t.name}")))
+        errors.append(F.when(~missing & F.col("value")[t.name].isNull(), F.lit(f"TYPE:{t.name}")))
+    listed = F.array_join(F.array_compact(F.array(*errors)), ",")
+    return found.select(number, "value.*", "attributes", F.nullif(listed, F.lit("")).alias("errors"))
 
 
 def split_errors(mapped: DataFrame, number: str = "row_number") -> tuple[DataFrame, DataFrame]:
@@ -97,11 +106,18 @@ def drift(columns: Sequence[str], known: Sequence[str], mapped: Sequence[str]) -
     return {"added": [c for c in columns if c not in known], "removed": gone, "blocking": [c for c in gone if c in mapped]}
 
 
+def held_fields(rows: DataFrame) -> DataFrame:
+    """The fields that hold a value in some row (blank texts are none), and in how many `rows`: one aggregation over all."""
+    held = lambda f: F.count(F.when(F.trim(F.col(f"`{f.name}`")) != "", 1)) if f.dataType.simpleString() == "string" else F.count(F.col(f"`{f.name}`"))
+    counts = rows.agg(*[held(f).alias(f.name) for f in rows.schema])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").alias("rows")) for c in rows.columns])).alias("x")).select("x.*").filter("rows > 0")
+
+
 def field_drift(now: DataFrame, known: DataFrame, mapped: Sequence[str]) -> DataFrame:
-    """The same for field lists that are tables with a column `field`."""
-    both = now.select("field", F.lit(True).alias("here")).join(known.select("field", F.lit(True).alias("there")), "field", "full_outer")
+    """The same for field lists that are tables with a column `field` (and `now` with `rows`)."""
+    both = now.select("field", "rows", F.lit(True).alias("here")).join(known.select("field", F.lit(True).alias("there")), "field", "full_outer")
     change = F.when(F.col("here").isNull() & F.col("field").isin(*mapped), "BLOCKING").when(F.col("here").isNull(), "REMOVED").when(F.col("there").isNull(), "ADDED")
-    return both.withColumn("change", change).filter("change is not null").select("field", "change")
+    return both.withColumn("change", change).filter("change is not null").select("field", "change", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -126,12 +142,6 @@ def stage(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(natural_key(*[F.col(k) for k in keys]).alias("natural_key"), F.to_json(F.struct(*rows.columns)).alias("payload"))
 
 
-def used_columns(rows: DataFrame, always: Sequence[str]) -> list[str]:
-    """Columns that are wanted anyway or hold a value somewhere: one aggregation over all."""
-    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first().asDict()
-    return [c for c in rows.columns if c in always or counts[c]]
-
-
 def previews(rows: DataFrame, number: str, most: int = 3) -> DataFrame:
     """Up to `most` different non-blank values of each field, in the order in which they first stand."""
     fields = [c for c in rows.columns if c != number]
@@ -211,6 +221,12 @@ def _tables(spark, sf_dir):
     return last_wins(lines.filter("l_partkey % 3 <> 0"), KEYS, ORDER), lines.filter("l_partkey % 3 = 0")
 
 
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders as they might come: a field that is blank in some rows, one without a value in some, and one without any."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.withColumns({"o_orderstatus": F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus")), "o_totalprice": F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")), "o_orderpriority": F.lit("")})
+
+
 KEYS, ORDER = ("l_orderkey", "l_linenumber"), ("l_shipdate", "l_partkey", "quantity")
 _LINES = "lines AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS quantity, l_shipdate FROM lineitem), pick AS (SELECT l_orderkey, l_linenumber, l_partkey, quantity, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey % 3 = 0 ORDER BY l_shipdate DESC, l_partkey DESC, quantity DESC) AS n FROM lines) WHERE n = 1)"
 _PICKED = "l_orderkey, l_linenumber, l_partkey, quantity"
@@ -241,7 +257,7 @@ QUERIES = {
     "row_errors_grouped": lambda s, d: group_errors(split_errors(_mapped(s, d))[1]),
     "run_status": lambda s, d: run_status(*split_errors(_mapped(s, d))),
     "unit_conversion_priority": lambda s, d: convert_units(_units(s, d), _rules(s), "EA"),
-    "schema_drift": lambda s, d: field_drift(s.createDataFrame([(c,) for c in s.read.parquet(f"{d}/orders.parquet").columns], "field string"), s.createDataFrame([("o_orderkey",), ("o_custkey",), ("o_clerk",), ("o_comment",)], "field string"), ("o_clerk",)),
+    "schema_drift": lambda s, d: field_drift(held_fields(_orders(s, d)), s.createDataFrame([("o_orderkey",), ("o_custkey",), ("o_clerk",), ("o_orderpriority",)], "field string"), ("o_clerk",)),
     "upsert_last_wins": lambda s, d: merge(*_tables(s, d), KEYS, ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "quantity"),
     "run_undo": lambda s, d: undo(merge(*_tables(s, d), KEYS, ORDER), *_tables(s, d), KEYS).select("l_orderkey", "l_linenumber", "l_partkey", "quantity"),
     "staged_rows": lambda s, d: stage(s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"), ("n_nationkey", "n_name")),
@@ -257,7 +273,8 @@ SQL = {
     "run_status": f"{_MAPPED} SELECT (SELECT count(*) FROM mapped WHERE len(errors) = 0) AS written, (SELECT count(DISTINCT row_number) FROM bad) AS failed, 'PARTIAL' AS status",
     "unit_conversion_priority": """WITH u AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) AS item_ref, ['EA', 'BOX', 'SET', '', 'BAG'][l_suppkey % 5 + 1] AS unit, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem)
         SELECT item_ref, unit, quantity, quantity * CASE WHEN unit IN ('', 'EA') THEN 1 WHEN unit = 'BOX' THEN CASE item_ref WHEN 'P10' THEN 6 WHEN 'P11' THEN 24 ELSE 12 END WHEN unit = 'SET' THEN 3 END AS converted FROM u""",
-    "schema_drift": "SELECT * FROM (VALUES ('o_orderstatus', 'ADDED'), ('o_totalprice', 'ADDED'), ('o_orderdate', 'ADDED'), ('o_orderpriority', 'ADDED'), ('o_clerk', 'BLOCKING'), ('o_comment', 'REMOVED')) AS t(field, change)",
+    "schema_drift": """SELECT 'o_clerk' AS field, 'BLOCKING' AS change, 0 AS rows UNION ALL SELECT 'o_orderpriority', 'REMOVED', 0 UNION ALL SELECT 'o_orderstatus', 'ADDED', count(*) FILTER (WHERE o_orderstatus <> 'P') FROM orders
+        UNION ALL SELECT 'o_totalprice', 'ADDED', count(*) FILTER (WHERE o_totalprice > 1000) FROM orders UNION ALL SELECT 'o_orderdate', 'ADDED', count(o_orderdate) FROM orders""",
     "upsert_last_wins": f"WITH {_LINES} SELECT {_PICKED} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey % 3 = 0 DESC) AS n FROM pick) WHERE n = 1",
     "run_undo": f"WITH {_LINES} SELECT {_PICKED} FROM pick WHERE l_partkey % 3 <> 0",
     "staged_rows": """SELECT CAST(n_nationkey AS VARCHAR) || chr(31) || n_name AS natural_key, '{"n_nationkey":' || CAST(n_nationkey AS VARCHAR) || ',"n_name":"' || n_name || '"}' AS payload FROM nation""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import NAME_PRESETS, normalize_field_name, week_start
 from lakeloom.operators import names
+from lakeloom.operators.transform import _orders, held_fields
 from lakeloom.sources.domain import view, with_views
 
 #: What a listing shows for a SKU that is gone.
@@ -80,7 +81,7 @@ def stale(runs: DataFrame, now: dt.datetime, hours: int) -> DataFrame:
 
 def conversions(rules: DataFrame) -> DataFrame:
     """Unit rules in the order in which a list shows them: those of an item first, general ones last."""
-    place = F.row_number().over(names.Window.partitionBy("from_unit").orderBy(F.coalesce("item_ref", F.lit("")) == "", "item_ref"))
+    place = F.row_number().over(names.Window.partitionBy("from_unit").orderBy(F.coalesce("item_ref", F.lit("")) == "", "item_ref", "factor"))
     return rules.withColumn("place", place.cast("bigint"))
 
 
@@ -200,7 +201,19 @@ def _guards(spark, sf_dir) -> DataFrame:
     return sku.select("sku_id", allows_push(F.col("quantity"), F.col("safety_threshold")).alias("may_push"), finer(size, F.lit("HOUR")).alias("finer"), F.date_format(base_instant(day(5, "2024-01-10"), day(3, "2024-01-20"), now), "yyyy-MM-dd HH:mm").alias("base"), script_value(F.concat(F.col("quantity").cast("string"), F.lit(".50"))).alias("value"))
 
 
-_TAXONOMY = '[{"code":"food","name":"a","coefficient":30.0,"seedKeywords":["bread","camp food"]},{"code":"camp","name":"b","coefficient":25.5,"seedKeywords":["tent","camp food","tent"]}]'
+
+def _unit_rules(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(F.col("p_partkey") % 50 != 0, F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).otherwise("").alias("item_ref"), F.col("p_brand").alias("from_unit"), F.col("p_size").alias("factor"))
+
+
+def _taxonomies(spark, sf_dir) -> DataFrame:
+    """A body of categories for each brand: types of goods with the names of their parts as seed keywords, some twice."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    seeds = part.select("p_brand", "p_type", F.explode(F.array(F.lower("p_name"), F.when(F.col("p_size") % 2 == 0, F.lower("p_name")))).alias("seed"))
+    one = seeds.groupBy("p_brand", F.col("p_type").alias("code")).agg(F.collect_list("seed").alias("seedKeywords"), F.count("seed").alias("n"))
+    listed = F.collect_list(F.struct("code", F.lit("x").alias("name"), (F.col("n") / 4).alias("coefficient"), "seedKeywords"))
+    return one.groupBy("p_brand").agg(F.to_json(listed).alias("body"))
+
 
 QUERIES = {
     "unmapped_for_item": lambda s, d: unmapped_lines(_lines(s, d), 17).select("order_no", "line_no"),
@@ -208,7 +221,7 @@ QUERIES = {
     "unit_headers": lambda s, d: unit_headers(view(s, d, "member").select("unit_id").distinct(), view(s, d, "member"), "erp", "wms"),
     "mapping_list": lambda s, d: mapping_list(_lines(s, d).filter("sku_id is not null").select("sku_id").distinct(), view(s, d, "sku").filter("active")),
     "mapping_memory": lambda s, d: remembered(_connections(s, d)),
-    "unconnected_fields": lambda s, d: unconnected(s.createDataFrame([(c,) for c in s.read.parquet(f"{d}/orders.parquet").columns], "field string"), s.createDataFrame([("o_orderkey",), ("o_custkey",)], "field string")),
+    "unconnected_fields": lambda s, d: unconnected(held_fields(_orders(s, d)), s.createDataFrame([("o_orderkey",), ("o_custkey",)], "field string")),
     "first_seen_items": lambda s, d: first_seen(_lines(s, d), "order_no", "item", "line_no").select("order_no", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("items")),
     "scaled_members": lambda s, d: view(s, d, "member").filter("factor <> 1").agg(F.count(F.lit(1)).alias("n")),
     "units_pending": lambda s, d: view(s, d, "member").filter("not confirmed").select("unit_id").distinct(),
@@ -218,13 +231,13 @@ QUERIES = {
     "alert_samples": lambda s, d: pending(_alerts(s, d), 5).select("event_id", "alert_key"),
     "run_listing": lambda s, d: _runs(s, d).orderBy(F.desc("at"), F.desc("id")).limit(50).select("id", "key", "ok"),
     "stale_runs": lambda s, d: stale(view(s, d, "alert").select("event_id", F.col("ts").alias("started"), F.when(F.col("event_id") % 6 == 0, "RUNNING").otherwise("SUCCESS").alias("status")), dt.datetime(2024, 1, 20), 6).select("event_id", "status"),
-    "conversion_list": lambda s, d: conversions(s.createDataFrame([("", "BOX", 12), ("P10", "BOX", 6), ("P11", "BOX", 24), ("", "SET", 3)], "item_ref string, from_unit string, factor int")).select("from_unit", "place", F.col("factor").cast("bigint").alias("factor")),
+    "conversion_list": lambda s, d: conversions(_unit_rules(s, d)).select("item_ref", "from_unit", "place", F.col("factor").cast("bigint").alias("factor")),
     "date_presets": _preset_rows,
     "name_presets": lambda s, d: name_presets(_labelled(s, d)).drop("raw_name", "source"),
     "scoped_rules": lambda s, d: _labelled(s, d).select("item_ref", scoped("raw_name", "source", [("erp", r"\([^)]*\)", ""), (None, r"\s+", " "), ("wms", "_.*$", "")]).alias("name")),
     "name_suggestions": _suggested,
     "guards": _guards,
-    "taxonomy_keywords": lambda s, d: taxonomy(s.createDataFrame([(_TAXONOMY,)], "body string")),
+    "taxonomy_keywords": lambda s, d: taxonomy(_taxonomies(s, d)),
 }
 
 _DAY = "strftime({0}, '%Y-%m-%d') || '..' || strftime({1}, '%Y-%m-%d')"
@@ -237,7 +250,7 @@ SQL = {
     "unit_headers": f"{with_views('member')} SELECT unit_id, count(*) FILTER (WHERE confirmed AND source = 'erp') AS left_parts, count(*) FILTER (WHERE confirmed AND source = 'wms') AS right_parts FROM member GROUP BY unit_id",
     "mapping_list": f"{with_views('order_line', 'sku')} SELECT sku_id, coalesce(code, '{GONE_CODE}') AS code, coalesce(name, '{GONE_NAME}') AS name FROM (SELECT DISTINCT sku_id FROM order_line WHERE sku_id IS NOT NULL) LEFT JOIN (SELECT * FROM sku WHERE active) USING (sku_id)",
     "mapping_memory": f"{with_views('alert')} SELECT lower(event_type) AS field, 'stock' AS model, ['quantity', 'item_ref'][user_id % 3 + 1] AS target, count(*) AS hits FROM alert WHERE user_id % 3 < 2 GROUP BY ALL",
-    "unconnected_fields": "SELECT * FROM (VALUES ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) AS t(field)",
+    "unconnected_fields": "SELECT 'o_orderstatus' AS field, count(*) FILTER (WHERE o_orderstatus <> 'P') AS rows FROM orders UNION ALL SELECT 'o_totalprice', count(*) FILTER (WHERE o_totalprice > 1000) FROM orders UNION ALL SELECT 'o_orderdate', count(o_orderdate) FROM orders",
     "first_seen_items": f"{with_views('order_line')}, f AS (SELECT order_no, item, min(line_no) AS seen FROM order_line GROUP BY ALL) SELECT order_no, string_agg(CAST(item AS VARCHAR), ',' ORDER BY seen, item) AS items FROM f GROUP BY order_no",
     "scaled_members": f"{with_views('member')} SELECT count(*) AS n FROM member WHERE factor <> 1",
     "units_pending": f"{with_views('member')} SELECT DISTINCT unit_id FROM member WHERE NOT confirmed",
@@ -247,12 +260,12 @@ SQL = {
     "alert_samples": f"{with_views('alert')} SELECT event_id, alert_key FROM alert WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 5",
     "run_listing": f"{with_views('alert')} SELECT event_id AS id, user_id AS key, event_type <> 'error' AS ok FROM alert ORDER BY ts DESC, event_id DESC LIMIT 50",
     "stale_runs": f"{with_views('alert')} SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN 'SUCCESS' WHEN ts < TIMESTAMP '2024-01-19 18:00:00' THEN 'FAILED' ELSE 'RUNNING' END AS status FROM alert",
-    "conversion_list": "SELECT * FROM (VALUES ('BOX', 1::BIGINT, 6::BIGINT), ('BOX', 2, 24), ('BOX', 3, 12), ('SET', 1, 3)) AS t(from_unit, place, factor)",
+    "conversion_list": "SELECT item_ref, from_unit, row_number() OVER (PARTITION BY from_unit ORDER BY item_ref = '', item_ref, factor) AS place, CAST(factor AS BIGINT) AS factor FROM (SELECT CASE WHEN p_partkey % 50 <> 0 THEN 'P' || p_partkey ELSE '' END AS item_ref, p_brand AS from_unit, p_size AS factor FROM part)",
     "date_presets": f"""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS t FROM events), w AS (SELECT t, CAST(date_trunc('week', t) AS DATE) AS w, CAST(date_trunc('month', t) AS DATE) AS m, CAST(date_trunc('month', t) - INTERVAL 1 MONTH AS DATE) AS b FROM d)
         SELECT strftime(t, '%Y-%m-%d') AS today, {_DAY.format('t - 1', 't - 1')} AS yesterday, {_DAY.format('w', 't')} AS this_week, {_DAY.format('w - 7', 'w - 1')} AS last_week, {_DAY.format('m', 't')} AS this_month, {_DAY.format('b', 'm - 1')} AS last_month FROM w""",
     "name_presets": f"WITH {_LABELLED} SELECT item_ref, " + ", ".join(f"{_RULE(p)} AS {k.replace('-', '_')}" for k, p in NAME_PRESETS.items()) + " FROM l",
     "scoped_rules": f"WITH {_LABELLED}, a AS (SELECT item_ref, source, regexp_replace(CASE source WHEN 'erp' THEN regexp_replace(raw_name, '\\([^)]*\\)', '', 'g') ELSE raw_name END, '\\s+', ' ', 'g') AS x FROM l) SELECT item_ref, CASE source WHEN 'wms' THEN regexp_replace(x, '_.*$', '', 'g') ELSE x END AS name FROM a",
     "name_suggestions": names.SQL["common_name"].replace("SELECT unit_id, n, CASE WHEN length(tidy) >= 2 THEN tidy END AS common FROM t", "SELECT unit_id, unit_name, tidy AS suggested FROM t JOIN (SELECT unit_id, max(name) AS unit_name FROM (SELECT unit_id, concat('Camp (a', unit_id % 3, ') ', name) AS name FROM u) GROUP BY unit_id) USING (unit_id) WHERE length(tidy) >= 2 AND length(tidy) < length(unit_name) AND unit_id IN (SELECT unit_id FROM u GROUP BY unit_id, source HAVING count(*) >= 2)"),
     "guards": f"""{with_views('sku')} SELECT sku_id, abs(quantity - safety_threshold) <= 50 AS may_push, sku_id % 4 < 2 AS finer, CASE WHEN sku_id % 5 = 0 THEN '2024-01-09 15:00' WHEN sku_id % 3 = 0 THEN '2024-01-19 15:00' ELSE '2024-02-05 15:00' END AS base, CAST(quantity AS VARCHAR) || '.5' AS value FROM sku""",
-    "taxonomy_keywords": "SELECT * FROM (VALUES ('food', 30.0::DOUBLE, 'bread'), ('food', 30.0, 'camp food'), ('camp', 25.5, 'tent'), ('camp', 25.5, 'camp food')) AS t(code, coefficient, keyword)",
+    "taxonomy_keywords": "WITH c AS (SELECT p_brand, p_type AS code, sum(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END) / 4 AS coefficient FROM part GROUP BY ALL) SELECT DISTINCT code, coefficient, lower(p_name) AS keyword FROM c JOIN part p ON p.p_brand = c.p_brand AND p.p_type = c.code",
 }

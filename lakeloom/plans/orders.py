@@ -99,7 +99,7 @@ QUERIES = {
     "ingest_new_lines": lambda s, d: new_lines(_lines(s, d), _lines(s, d).filter("order_no % 3 = 0")),
     "map_null_safe": lambda s, d: map_lines(_lines(s, d), _mapping(s, d)).select("order_no", "line_no", "item", "option", "sku"),
     "late_mapping": lambda s, d: ingest_summary(apply_late_mapping(map_lines(_lines(s, d), _mapping(s, d).filter("item % 5 = 1")), _mapping(s, d))),
-    "update_counters": lambda s, d: update_counters(view(s, d, "video").filter("video_id % 2 = 0").select("video_id", "channel_id", "views", "duration_seconds"), view(s, d, "video").filter("video_id % 3 = 0").select("video_id", "channel_id", (F.col("views") + 1).alias("views"), (F.col("duration_seconds") + 5).alias("duration_seconds")), "video_id", ["views"]),
+    "update_counters": lambda s, d: update_counters(view(s, d, "video").filter("video_id % 2 = 0").select("video_id", "channel_id", "views", "duration_seconds"), view(s, d, "video").filter("video_id % 3 = 0 or video_id % 2 <> 0").select("video_id", "channel_id", (F.col("views") + 1).alias("views"), (F.col("duration_seconds") + 5).alias("duration_seconds")), "video_id", ["views"]),
     "refresh_due": lambda s, d: due(_tiers(s, d), {"HOT": "700 DAYS", "WARM": "1100 DAYS", "COLD": "1800 DAYS"}, F.lit("2000-01-01").cast("timestamp_ntz")).select("id", "tier"),
     "eligible_channels": lambda s, d: eligible(_titles(s, d)).select("channel_id", "title"),
     "rule_order": lambda s, d: reorder(s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("sort_order")), ["NATION_7", "NATION_3"]).select("name", F.col("sort_order").cast("bigint").alias("sort_order")),
@@ -112,7 +112,7 @@ SQL = {
     "ingest_new_lines": f"{_L} SELECT order_no, line_no, item, option, quantity FROM (SELECT *, row_number() OVER (PARTITION BY order_no, line_no ORDER BY item DESC, option DESC, quantity DESC) AS n FROM l) WHERE n = 1 AND order_no % 3 <> 0",
     "map_null_safe": f"{_L} SELECT order_no, line_no, l.item, l.option, sku FROM l LEFT JOIN (SELECT * FROM m WHERE active) x ON l.item = x.item AND l.option IS NOT DISTINCT FROM x.option",
     "late_mapping": f"{_L}, j AS (SELECT l.*, sku FROM l LEFT JOIN (SELECT * FROM m WHERE active) x ON l.item = x.item AND l.option IS NOT DISTINCT FROM x.option) SELECT count(*) AS n_lines, count(sku) AS mapped, CAST(sum(quantity) AS BIGINT) AS pieces, count(*) - count(sku) AS unmapped, 'PARTIAL' AS outcome FROM j",
-    "update_counters": f"{with_views('video')} SELECT video_id, channel_id, views + CASE WHEN video_id % 3 = 0 THEN 1 ELSE 0 END AS views, duration_seconds + CASE WHEN video_id % 2 <> 0 THEN 5 ELSE 0 END AS duration_seconds FROM video WHERE video_id % 2 = 0 OR video_id % 3 = 0",
+    "update_counters": f"{with_views('video')} SELECT video_id, channel_id, views + CASE WHEN video_id % 3 = 0 OR video_id % 2 <> 0 THEN 1 ELSE 0 END AS views, duration_seconds + CASE WHEN video_id % 2 <> 0 THEN 5 ELSE 0 END AS duration_seconds FROM video",
     "refresh_due": f"{with_views('order_head')}, t AS (SELECT order_no AS id, ['HOT', 'WARM', 'COLD'][customer % 3 + 1] AS tier, CASE WHEN customer % 7 <> 0 THEN ordered_at END AS r FROM order_head) SELECT id, tier FROM t WHERE r IS NULL OR r < TIMESTAMP '2000-01-01' - to_days(CASE tier WHEN 'HOT' THEN 700 WHEN 'WARM' THEN 1100 ELSE 1800 END)",
     "eligible_channels": """WITH t AS (SELECT p_partkey AS channel_id, CASE WHEN p_size > 3 THEN p_partkey * 11 END AS subscribers, CASE WHEN p_size % 2 = 0 THEN 'KR' WHEN p_size % 5 = 0 THEN 'US' END AS country, CASE WHEN p_partkey % 3 = 0 THEN '캠핑장 이야기 ' || substring(p_name, 1, 3) ELSE p_name END AS title, p_partkey % 3 = 0 AS hangul FROM part)
         SELECT channel_id, title FROM t WHERE subscribers >= 5000 AND (country = 'KR' OR hangul)""",

@@ -128,7 +128,7 @@ def rising_index(m: DataFrame, rubric: Rubric = Rubric()) -> DataFrame:
     return m.withColumn("rising", total).withColumn("badge", F.col("rising") >= rubric.rising_from)
 
 
-def hard_filter(m: DataFrame, subscriber_min: int, rubric: Rubric = Rubric()) -> DataFrame:
+def hard_filter(m: DataFrame, subscriber_min: int | Column, rubric: Rubric = Rubric()) -> DataFrame:
     """The first reason for which a channel is no candidate; null if there is none."""
     reason = F.when(F.col("excluded"), "MANUALLY_EXCLUDED").when(F.col("days_since") > rubric.max_days, "INACTIVE").when(F.col("n_videos") < rubric.min_videos, "INSUFFICIENT_VIDEOS").when(F.col("subscribers") < subscriber_min, "BELOW_SUBSCRIBER_MIN")
     return m.withColumn("reason", reason)
@@ -152,6 +152,37 @@ def campaign_scores(m: DataFrame, campaigns: DataFrame, rubric: Rubric = Rubric(
     return both.filter(fits).select("campaign", "channel_id", reach.alias("reach"))
 
 
+#: Campaigns that one row of the spread list holds.
+CAMPAIGNS = 500
+_RULE = ("reach", "vsr_points", "momentum", "engagement", "activity", "stability")
+_RISING = {"heat": "vsr", "accel": "trend_ratio", "velocity": "velocity_ratio", "burst": "burst_ratio"}
+
+
+def all_campaigns(m: DataFrame, campaigns: DataFrame, rubric: Rubric = Rubric()) -> DataFrame:
+    """Score of every channel in every campaign: points, grade, badges, price, the first reason against it, and the points as JSON.
+
+    A channel that fails keeps its row, as the reason is what people ask for. What does not depend on the campaign is worked
+    out once for each channel. Campaigns are dealt into rows of about `CAMPAIGNS`; a channel has a row for each
+    of these, meets it by its number and spreads it, so no side is gathered whole, and neither is all compared with all before
+    the result, which has a row for each pair.
+    """
+    rising = rising_index(m, rubric)
+    once = cost_per_view(rule_score(rising, 1, 1, rubric).drop("reach", "total", "grade"), rubric)
+    number = max(1, -(-campaigns.count() // CAMPAIGNS))
+    part = F.pmod(F.xxhash64("campaign"), F.lit(number)).cast("int")
+    listed = campaigns.groupBy(part.alias("__part")).agg(F.collect_list(F.struct("campaign", "reach_min", "reach_max", "subscriber_min")).alias("__c"))
+    dealt = once.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    pairs = dealt.join(listed, "__part").withColumn("__c", F.explode("__c")).select(*once.columns, "__c.*")
+    scored = pairs.withColumn("reach", reach_points(F.col("median_views"), F.col("reach_min"), F.col("reach_max"), rubric.reach))
+    scored = scored.withColumn("total", sum((F.col(p) for p in _RULE), F.lit(0.0)))
+    failed = hard_filter(scored.withColumn("grade", grade(F.col("total"), *rubric.grades)), F.col("subscriber_min"), rubric)
+    parts = F.struct(*[F.round(p, 6).alias(p) for p in _RULE])
+    rise = F.struct(*[F.round(curve(F.col(c), getattr(rubric, n)), 6).alias(n) for n, c in _RISING.items()])
+    breakdown = F.to_json(F.struct(parts.alias("rule"), F.struct(F.round("rising", 6).alias("total"), rise.alias("breakdown")).alias("rising")))
+    badges = F.array_join(F.array_compact(F.array(F.when(F.col("crash"), "CRASH"), F.when(F.col("badge"), "RISING"))), ",")
+    return failed.select("campaign", "channel_id", "total", "grade", badges.alias("badges"), "price", "cpv", "reason", breakdown.alias("breakdown"))
+
+
 def top_scores(scored: DataFrame, n: int = 10, by: str = "total") -> DataFrame:
     """The best channels by total, or the cheapest by price for a view; failed ones left out."""
     order = [F.desc("total"), "channel_id"] if by == "total" else ["cpv", "channel_id"]
@@ -216,6 +247,8 @@ def _campaigns(spark) -> DataFrame:
     return spark.createDataFrame([("spring", 10_000, 50_000, 5_000), ("summer", 40_000, 90_000, 60_000), ("wide", 1_000, 900_000, 0)], "campaign string, reach_min int, reach_max int, subscriber_min int")
 
 
+_JSON = {"json_reach": "rule.reach", "json_activity": "rule.activity", "json_rising": "rising.total", "json_heat": "rising.breakdown.heat"}
+
 QUERIES = {
     "latest_n_videos": lambda s, d: latest_videos(view(s, d, "video")).select("channel_id", "video_id", F.col("rank").cast("bigint").alias("rank")),
     "channel_metrics": lambda s, d: (m := _metrics(s, d)).select("channel_id", "n_videos", "median_views", "uploads_90d", "days_since", *_rounded(m, *_RATIOS)),
@@ -225,9 +258,17 @@ QUERIES = {
     "grade_cpv": lambda s, d: (m := _scored(s, d)).select("channel_id", "price", *_rounded(m, "cpv"), "grade"),
     "top_scores": lambda s, d: (m := top_scores(_scored(s, d), 15)).select("channel_id", *_rounded(m, "total")),
     "cheapest_views": lambda s, d: (m := top_scores(_scored(s, d).filter("cpv > 0"), 15, "cpv")).select("channel_id", *_rounded(m, "cpv")),
+    "campaign_full_scores": lambda s, d: (m := all_campaigns(_metrics(s, d), _campaigns(s))).select("campaign", "channel_id", *_rounded(m, "total", "cpv"), "grade", "badges", "price", "reason", *[F.get_json_object("breakdown", f"$.{p}").cast("double").alias(n) for n, p in _JSON.items()]),
     "campaign_scores": lambda s, d: (m := campaign_scores(_metrics(s, d), _campaigns(s))).select("campaign", "channel_id", *_rounded(m, "reach")),
 }
 
+_SQL_FULL = f"""{_SQL_METRICS}, c(campaign, low, high, least) AS (VALUES ('spring', 10000, 50000, 5000), ('summer', 40000, 90000, 60000), ('wide', 1000, 900000, 0)),
+    p AS (SELECT *, {_REACH.format('low', 'high')} AS reach, {_sql_curve('vsr', _R.vsr)} AS vsr_points, {_sql_curve('vsr', _R.heat)} AS heat,
+      {_sql_curve('trend_ratio', _R.trend)} + {_sql_curve('peak_ratio', _R.peak)} + CASE WHEN crash_ratio < 0.5 THEN 0.0 ELSE {_sql_curve('crash_ratio', _R.crash)} END AS momentum, {_sql_curve('engagement_rate', _R.engagement)} AS engagement,
+      5.0 * least(1.0, uploads_90d / 12) + {_sql_curve('CAST(days_since AS DOUBLE)', _R.recency)} AS activity, {_sql_curve('cv', _R.stability)} AS stability, crash_ratio < 0.5 AS crash,
+      {_sql_curve('vsr', _R.heat)} + {_sql_curve('trend_ratio', _R.accel)} + {_sql_curve('velocity_ratio', _R.velocity)} + {_sql_curve('burst_ratio', _R.burst)} + CASE WHEN paid_ratio <= 0.05 AND subscribers < 100000 THEN 10.0 ELSE 0.0 END AS rising FROM m, c),
+    t AS (SELECT *, reach + vsr_points + momentum + engagement + activity + stability AS total, CASE WHEN excluded THEN 'MANUALLY_EXCLUDED' WHEN days_since > 90 THEN 'INACTIVE' WHEN n_videos < 5 THEN 'INSUFFICIENT_VIDEOS' WHEN subscribers < least THEN 'BELOW_SUBSCRIBER_MIN' END AS reason,
+      CAST(subscribers * 25 AS BIGINT) AS price, CASE WHEN median_views > 0 THEN subscribers * 25 / median_views ELSE 0.0 END AS cpv FROM p)"""
 _round = lambda *c: ", ".join(f"round({x}, 6) AS {x}" for x in c)
 SQL = {
     "latest_n_videos": f"{_SQL_METRICS} SELECT channel_id, video_id, r AS rank FROM l",
@@ -238,5 +279,7 @@ SQL = {
     "grade_cpv": f"{_SQL_SCORED} SELECT channel_id, price, {_round('cpv')}, CASE WHEN total >= 85 THEN 'S' WHEN total >= 70 THEN 'A' WHEN total >= 55 THEN 'B' WHEN total >= 40 THEN 'C' ELSE 'D' END AS grade FROM t",
     "top_scores": f"{_SQL_SCORED} SELECT channel_id, {_round('total')} FROM t WHERE reason IS NULL ORDER BY t.total DESC, channel_id LIMIT 15",
     "cheapest_views": f"{_SQL_SCORED} SELECT channel_id, {_round('cpv')} FROM t WHERE reason IS NULL AND cpv > 0 ORDER BY t.cpv, channel_id LIMIT 15",
+    "campaign_full_scores": f"""{_SQL_FULL} SELECT campaign, channel_id, {_round('total', 'cpv')}, CASE WHEN total >= 85 THEN 'S' WHEN total >= 70 THEN 'A' WHEN total >= 55 THEN 'B' WHEN total >= 40 THEN 'C' ELSE 'D' END AS grade,
+        concat_ws(',', CASE WHEN crash THEN 'CRASH' END, CASE WHEN rising >= 70 THEN 'RISING' END) AS badges, price, reason, round(reach, 6) AS json_reach, round(activity, 6) AS json_activity, round(rising, 6) AS json_rising, round(heat, 6) AS json_heat FROM t""",
     "campaign_scores": f"{_SQL_METRICS} SELECT campaign, channel_id, round(CASE campaign WHEN 'spring' THEN {_REACH.format(10000, 50000)} WHEN 'summer' THEN {_REACH.format(40000, 90000)} ELSE {_REACH.format(1000, 900000)} END, 6) AS reach FROM m, (VALUES ('spring', 5000), ('summer', 60000), ('wide', 0)) AS c(campaign, least) WHERE subscribers >= least",
 }

@@ -27,9 +27,9 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "lakeloom", **co
 
 
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bound what goes to Python at once to `size`, as texts differ much in length; only where the deployment has set no bound of its own."""
+    """Bound what goes to Python at once to `size`, as texts differ much in length; only where neither the deployment nor the session has set a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.sparkContext.getConf().contains(key):
+    if spark.sql("SET").filter(f"key = '{key}'").isEmpty():  # lists what was set, not defaults
         spark.conf.set(key, size)
 
 
