@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Sequence
-from decimal import Decimal
 from functools import cache
 
 from pyspark.sql import Column
@@ -175,9 +174,18 @@ def vtt_text(c: Column, most: int = 8000) -> Column:
     return F.substring(F.array_join(once, " "), 1, most)
 
 
+#: Full-width signs and letters stand in the same order as ASCII's, at a fixed distance.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " "
+
+
+def narrow(c: Column) -> Column:
+    """A text with full-width signs, letters and spaces as plain ones: the part of Unicode's compatibility forms that keyboards make."""
+    return F.translate(c, _WIDE, _NARROW)
+
+
 def grounded(quote: Column, *sources: Column) -> Column:
-    """Whether a quote of at least 6 characters stands in a source, white space and case aside."""
-    flat = lambda x: F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", ""))
+    """Whether a quote of at least 6 characters stands in a source; white space, case and width aside."""
+    flat = lambda x: F.lower(F.regexp_replace(narrow(F.coalesce(x, F.lit(""))), r"\s+", ""))
     found = F.lit(False)
     for s in sources:
         found = found | F.contains(flat(s), flat(quote))
@@ -302,7 +310,3 @@ def typed(c: Column, kind: str, zone: str = "UTC") -> Column:
     if kind == "TIMESTAMP":
         return parse_time(text, zone)
     return c
-
-
-def lit_number(value: str) -> Column:
-    return F.lit(Decimal(value))

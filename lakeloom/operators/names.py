@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,16 @@ def source_overlap(names: DataFrame, normal) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def rule_effect(names: DataFrame, rules: Sequence[tuple[str, str]] = tuple(RULES.values())) -> DataFrame:
+    """What rules bring: for each pair of sources the names shared as they are and after the rules, and whether that is the largest overlap."""
+    raw = source_overlap(names, F.col("raw_name")).withColumnRenamed("shared", "before")
+    normal = source_overlap(names, normalize_name(F.col("raw_name"), rules)).withColumnRenamed("shared", "after")
+    both = raw.join(normal, ["left", "right"], "full_outer").fillna(0, ["before", "after"])
+    both = cut_lineage(both)  # one row for each pair of sources
+    most = both.agg(F.max("after")).first()[0]
+    return both.withColumn("largest", F.col("after") == F.lit(most))
+
+
 def balanced_sample(names: DataFrame, per_source: int = 6) -> DataFrame:
     """The first names of each source."""
     w = Window.partitionBy("source").orderBy("raw_name")
@@ -149,6 +161,7 @@ QUERIES = {
     "rule_hits": lambda s, d: rule_hits(_names(s, d)),
     "name_collisions": lambda s, d: collisions(_names(s, d)),
     "source_overlap": lambda s, d: source_overlap(_names(s, d), normalize_name(F.col("raw_name"))),
+    "rule_effect": lambda s, d: rule_effect(_names(s, d)),
     "balanced_sample": lambda s, d: balanced_sample(_names(s, d)),
     "dice_pairs": lambda s, d: scored_pairs(_unit_names(s, d), LEFT, RIGHT),
     "greedy_pairs": lambda s, d: greedy_pairs(scored_pairs(_unit_names(s, d), LEFT, RIGHT)),
@@ -175,6 +188,9 @@ SQL = {
         SELECT rule, count(*) AS n FROM (SELECT 'brackets' AS rule FROM c WHERE v1 <> raw_name UNION ALL SELECT 'date after underscore' FROM c WHERE v2 <> v1 UNION ALL SELECT 'date in name' FROM c WHERE v3 <> v2) GROUP BY rule""",
     "name_collisions": f"WITH {_N} SELECT {_NORMAL.format('raw')} AS normal, count(*) AS n, min(raw) AS example, greatest(count(*) OVER () - 20, 0) AS more FROM (SELECT DISTINCT raw_name AS raw FROM names) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, normal LIMIT 20",
     "source_overlap": f"WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names) SELECT a.source AS left, b.source AS right, count(*) AS shared FROM k a JOIN k b ON a.name = b.name AND a.source < b.source GROUP BY 1, 2",
+    "rule_effect": f"""WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names), d AS (SELECT DISTINCT source, raw_name FROM names),
+        p AS (SELECT 'erp' AS left, 'wms' AS right, (SELECT count(*) FROM d a JOIN d b ON a.raw_name = b.raw_name AND a.source = 'erp' AND b.source = 'wms') AS before, (SELECT count(*) FROM k a JOIN k b ON a.name = b.name AND a.source = 'erp' AND b.source = 'wms') AS after)
+        SELECT *, true AS largest FROM p WHERE before > 0 OR after > 0""",
     "balanced_sample": f"WITH {_N} SELECT * FROM (SELECT source, raw_name, row_number() OVER (PARTITION BY source ORDER BY raw_name) AS n FROM (SELECT DISTINCT source, raw_name FROM names)) WHERE n <= 6",
     "dice_pairs": f"{_SCORED} SELECT * FROM scored",
     "best_mate": f"""{_SCORED}, mine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, left_name ORDER BY score DESC, right_name DESC) AS n FROM scored) WHERE n = 1)

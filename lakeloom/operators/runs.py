@@ -167,6 +167,14 @@ def execute(rows: DataFrame, plan: Plan, unit_rules: DataFrame | None = None, nu
     return Run(table.filter("ok").drop("ok", "errors"), bad, {"status": status, "total": counts["total"], "written": counts["written"], "failed": failed, "blocking": [], "added": change["added"]})
 
 
+def error_groups(bad: DataFrame, rows: DataFrame, number: str = "row_number") -> DataFrame:
+    """Errors by code and field: how many, the first row with its message and, as a sample, the source row itself."""
+    first = F.min(F.struct(number, "message")).alias("first")
+    groups = bad.groupBy("code", "field").agg(F.count(F.lit(1)).alias("n"), first).select("code", "field", "n", F.col(f"first.{number}").alias(number), F.col("first.message").alias("message"))
+    sample = rows.select(number, F.to_json(F.struct(*[c for c in rows.columns if c != number])).alias("sample"))
+    return sample.join(F.broadcast(groups), number).select("code", "field", "n", number, "message", "sample")  # a group for each code and field of the model
+
+
 def _double_odd(table: pd.DataFrame) -> pd.DataFrame:
     odd = table[pd.to_numeric(table["quantity"]) % 2 == 1]
     return odd.assign(quantity=odd["quantity"] * 2)[[HANDLE, "quantity"]]
@@ -191,6 +199,7 @@ def _ran(spark, sf_dir) -> Run:
 
 QUERIES = {
     "connector_run_rows": lambda s, d: _ran(s, d).good.select("row_number", "item_ref", "quantity", F.date_format("base_at", "yyyy-MM-dd").alias("base_at"), "active", "warehouse"),
+    "connector_error_groups": lambda s, d: error_groups(_ran(s, d).bad, _lines(s, d)).withColumn("sample", F.get_json_object("sample", "$.code")),
     "connector_run_errors": lambda s, d: _ran(s, d).bad.select("row_number", "code", "field"),
     "connector_run_status": lambda s, d: s.createDataFrame([(r := _ran(s, d).status) and (r["status"], r["total"], r["written"], r["failed"])], "status string, total long, written long, failed long"),
 }
@@ -203,6 +212,7 @@ _RAN = f"""WITH src AS (SELECT row_number, min(code) AS code, min(qty) AS qty, m
     r AS (SELECT *, CASE WHEN len(typed) > 0 THEN typed ELSE list_filter([CASE WHEN item_ref IS NULL THEN 'REQUIRED:item_ref' END, CASE WHEN q IS NULL THEN 'REQUIRED:quantity' END], lambda x: x IS NOT NULL) END AS errors FROM n)"""
 SQL = {
     "connector_run_rows": f"{_RAN} SELECT row_number, item_ref, q AS quantity, base_at, active, warehouse FROM r WHERE len(errors) = 0",
+    "connector_error_groups": f"""{_RAN}, e AS (SELECT row_number, unnest(errors) AS e FROM r) SELECT split_part(e, ':', 1) AS code, split_part(e, ':', 2) AS field, count(*) AS n, min(row_number) AS row_number, e AS message, arg_min(code, row_number) AS sample FROM e JOIN src USING (row_number) GROUP BY e""",
     "connector_run_errors": f"{_RAN} SELECT row_number, split_part(e, ':', 1) AS code, split_part(e, ':', 2) AS field FROM (SELECT row_number, unnest(errors) AS e FROM r)",
     "connector_run_status": f"{_RAN} SELECT 'PARTIAL' AS status, count(*) AS total, count(*) FILTER (WHERE len(errors) = 0) AS written, count(*) FILTER (WHERE len(errors) > 0) AS failed FROM r",
 }

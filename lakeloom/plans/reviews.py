@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.columns import grounded
+from lakeloom.functions.columns import grade, grounded, input_hash
 from lakeloom.plans import scoring
 from lakeloom.sources.domain import view, with_views
 
@@ -63,6 +63,34 @@ def grade_table(top: DataFrame, decisions: DataFrame, medians: DataFrame) -> Dat
     return top.join(decisions, "channel_id", "left").join(medians, "channel_id", "left").withColumn("median_views", F.coalesce("median_views", F.lit(0).cast("bigint")))
 
 
+def apply_reviews(scores: DataFrame, reviews: DataFrame, rubric: scoring.Rubric = scoring.Rubric()) -> DataFrame:
+    """Scores (channel_id, rule_total, ai_total, hash, grade) after reviews (channel_id, points, materials).
+
+    A review whose input is the same as when the score was last reviewed is not applied again: the hash of ids and of the
+    materials in any order tells. Else the review's points are rounded to two places, and the grade is made
+    of both totals.
+    """
+    fresh = reviews.withColumn("__hash", input_hash([F.col("channel_id")], F.col("materials"))).select("channel_id", "points", "__hash")
+    joined = scores.join(fresh, "channel_id", "left")
+    new = F.col("__hash").isNotNull() & ~F.col("__hash").eqNullSafe(F.col("hash"))
+    points = F.when(new, F.round(F.col("points").cast("decimal(20,8)"), 2).cast("double")).otherwise(F.col("ai_total"))
+    total = F.col("rule_total") + F.coalesce("ai_total", F.lit(0.0))
+    merged = joined.withColumn("ai_total", points).withColumn("total", total)
+    graded = F.when(new, grade(F.col("total"), *rubric.grades)).otherwise(F.col("grade"))
+    return merged.select("channel_id", "rule_total", "ai_total", "total", graded.alias("grade"), F.when(new, F.col("__hash")).otherwise(F.col("hash")).alias("hash"), new.alias("applied"))
+
+
+def priced(rows: DataFrame, order: str = "total") -> DataFrame:
+    """Rows of the grade table with the price that counts: the one quoted, else the estimate, which says so. Best first by total, or by price for a view."""
+    estimated = F.col("quoted").isNull()
+    exact = F.round((F.col("quoted") / F.when(F.col("median_views") != 0, F.col("median_views"))).cast("decimal(30,10)"), 2).cast("double")
+    shown = rows.withColumns({"estimated": estimated, "price": F.coalesce("quoted", "price"), "cpv": F.when(estimated | (F.col("median_views") == 0), F.col("cpv")).otherwise(exact)})
+    keys = {"total": [F.desc("total"), "channel_id"], "cpv": [F.col("cpv").asc_nulls_last(), "channel_id"]}
+    if order not in keys:
+        raise ValueError(f"no order {order}")
+    return shown.orderBy(*keys[order])
+
+
 def already_scored(rising: DataFrame, scored: DataFrame, n: int = 500) -> DataFrame:
     """Rising channels, and whether they are among the best `n` candidates."""
     best = scoring.top_scores(scored, n).select("channel_id", F.lit(True).alias("scored"))
@@ -109,7 +137,28 @@ def _arbitrage(spark, sf_dir) -> DataFrame:
     return m.select("channel_id", F.round(expected, 4).alias("expected"), F.round(ratio, 6).alias("ratio"))
 
 
+def _scores(spark, sf_dir) -> DataFrame:
+    """Scores of channels, two of three reviewed before, half of those with the materials of today."""
+    c = view(spark, sf_dir, "channel")
+    seen = input_hash([F.col("channel_id")], F.array(F.lit("b"), F.lit("a"), F.when(F.col("channel_id") % 2 == 0, F.lit("old")).otherwise("c")))
+    before = F.col("channel_id") % 3 != 0
+    return c.select("channel_id", (F.col("channel_id") % 70 + 0.25).alias("rule_total"), F.when(before, 12.5).alias("ai_total"), F.when(before, seen).alias("hash"), F.lit("D").alias("grade"))
+
+
+def _reviewed(spark, sf_dir) -> DataFrame:
+    reviews = view(spark, sf_dir, "channel").filter("channel_id % 7 <> 0").select("channel_id", (F.col("channel_id") % 30 + 0.125).alias("points"), F.array(F.lit("a"), F.lit("c"), F.lit("b")).alias("materials"))
+    return apply_reviews(_scores(spark, sf_dir), reviews).select("channel_id", "rule_total", "ai_total", "total", "grade", "applied")
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    rows = scoring._scored(spark, sf_dir).select("channel_id", F.round("total", 6).alias("total"), "price", F.round("cpv", 6).alias("cpv"))
+    known = rows.join(whole_medians(view(spark, sf_dir, "video")), "channel_id", "left").withColumn("median_views", F.coalesce("median_views", F.lit(0).cast("bigint")))
+    return priced(known.withColumn("quoted", F.when(F.col("channel_id") % 3 == 0, F.col("channel_id") * 1000)), "cpv").limit(50).select("channel_id", "price", "estimated", "cpv")
+
+
 QUERIES = {
+    "reviews_applied": _reviewed,
+    "quoted_prices": _priced,
     "review_records": _review_rows,
     "review_checks": _checked_rows,
     "review_decisions": lambda s, d: _decisions(s, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n")),
@@ -126,6 +175,11 @@ _DECIDED = "(SELECT channel_id, ['APPROVED', 'REJECTED', 'HOLD'][channel_id % 3
 _RISING = scoring.SQL["rising_index"]
 
 SQL = {
+    "reviews_applied": f"""{with_views('channel')}, a AS (SELECT channel_id, channel_id % 70 + 0.25 AS rule_total, channel_id % 7 <> 0 AND NOT (channel_id % 3 <> 0 AND channel_id % 2 <> 0) AS applied FROM channel),
+        b AS (SELECT *, CASE WHEN applied THEN channel_id % 30 + 0.13 WHEN channel_id % 3 <> 0 THEN 12.5 END AS ai_total FROM a), c AS (SELECT *, rule_total + coalesce(ai_total, 0) AS total FROM b)
+        SELECT channel_id, CAST(rule_total AS DOUBLE) AS rule_total, CAST(ai_total AS DOUBLE) AS ai_total, CAST(total AS DOUBLE) AS total, CASE WHEN NOT applied THEN 'D' WHEN total >= 85 THEN 'S' WHEN total >= 70 THEN 'A' WHEN total >= 55 THEN 'B' WHEN total >= 40 THEN 'C' ELSE 'D' END AS grade, applied FROM c""",
+    "quoted_prices": f"""{with_views('video', 'channel')}, {_MEDIANS}, s AS ({scoring._SQL_SCORED} SELECT channel_id, price, round(cpv, 6) AS cpv FROM t), x AS (SELECT channel_id, channel_id % 3 <> 0 AS estimated, CASE WHEN channel_id % 3 = 0 THEN channel_id * 1000 ELSE price END AS price,
+        CASE WHEN channel_id % 3 <> 0 OR coalesce(median_views, 0) = 0 THEN cpv ELSE CAST(round(CAST(channel_id * 1000 / median_views AS DECIMAL(30, 10)), 2) AS DOUBLE) END AS cpv FROM s LEFT JOIN med USING (channel_id)) SELECT channel_id, price, estimated, cpv FROM x ORDER BY cpv NULLS LAST, channel_id LIMIT 50""",
     "review_records": f"""{_REVIEW_SQL} SELECT event_id, CASE WHEN risky THEN 1::BIGINT ELSE 0 END AS risks, CASE WHEN NOT risky THEN '' WHEN event_id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, CASE WHEN risky THEN 'INFERRED' ELSE '' END AS basis, CAST(user_id % 15 AS DOUBLE) AS safety, CASE WHEN event_id % 5 <> 0 THEN 1::BIGINT ELSE 0 END AS evidence, 0.0::DOUBLE AS audience,
         CASE event_id % 4 WHEN 0 THEN 'CONDITIONAL' WHEN 1 THEN 'RECOMMEND' ELSE 'HOLD' END AS recommend, CASE WHEN event_id % 8 = 0 THEN 1::BIGINT ELSE 0 END AS conditions, CASE WHEN event_id % 3 <> 2 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM e""",
     "review_checks": f"""{_REVIEW_SQL}, c AS (SELECT *, CASE WHEN none THEN 6.0 ELSE least(10.0, user_id % 15) END AS safety, risky AND event_id % 3 <> 0 AS risk FROM e)
