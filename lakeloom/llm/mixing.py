@@ -81,13 +81,14 @@ def targets(sources: DataFrame, share: float = SHARE, weights: Sequence[int] = W
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = cut_lineage(numbered(sources).withColumn("weight", weight))
-    limit, full, unit = F.col("source_size") * most, None, 0.0
+    limit, full, unit = F.col("source_size") * most, -1, 0.0
     while True:
         over = F.col("weight") * unit > limit
         now = ranked.agg(F.sum("source_size").alias("all"), F.count(F.when(over, 1)).alias("full"), F.sum(F.when(over, limit)).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
-        if now["full"] == full or not now["weights"]:
+        better = (share * now["all"] - (now["given"] or 0)) / now["weights"] if now["weights"] else unit
+        if now["full"] == full and better == unit or not now["weights"]:
             return ranked.select("source", "source_size", F.when(over, limit.cast("double")).otherwise(F.col("weight") * unit).alias("target"))
-        full, unit = now["full"] if unit else None, (share * now["all"] - (now["given"] or 0)) / now["weights"]
+        full, unit = now["full"], better
 
 
 def _coin(a: int, b: int) -> float:
