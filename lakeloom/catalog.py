@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.functions import samples
 from lakeloom.operators import board, filters, names, reconcile, runs, transform, units
-from lakeloom.plans import ingest, ledger, listings, monitor, orders, reports, reviews, scoring, trends, upkeep
+from lakeloom.plans import ingest, ledger, listings, monitor, orders, reports, reviews, scoring, stock_alerts, trends, upkeep, upstream
 from lakeloom.sources import readers, uploads
 from lakeloom.streaming import alerts, ordered, resume
 
 FLAGSHIP = "reconcile_diff"
-MODULES = (reports, filters, reconcile, names, board, transform, runs, units, scoring, trends, ledger, readers, uploads, alerts, ordered, resume, monitor, orders, ingest, reviews, listings, upkeep, samples)
+MODULES = (reports, filters, reconcile, names, board, transform, runs, units, scoring, trends, ledger, readers, uploads, alerts, ordered, resume, monitor, orders, ingest, stock_alerts, upstream, reviews, listings, upkeep, samples)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
