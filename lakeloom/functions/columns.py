@@ -138,9 +138,9 @@ def bigrams(c: Column) -> Column:
     return F.when(F.length(c) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice likeness of the bigram sets: 1 for equal texts, 0 for blank or very short ones."""
-    x, y = bigrams(a), bigrams(b)
+def dice(a: Column, b: Column, grams: tuple[Column, Column] | None = None) -> Column:
+    """Dice likeness of the bigram sets: 1 for equal texts, 0 for blank or very short ones. `grams` are both bigram sets where they are there already."""
+    x, y = grams or (bigrams(a), bigrams(b))
     shared = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
     blank = (F.trim(F.coalesce(a, F.lit(""))) == "") | (F.trim(F.coalesce(b, F.lit(""))) == "")
     return F.when(blank, 0.0).when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(shared)

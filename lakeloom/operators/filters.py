@@ -199,7 +199,7 @@ _TEXTS = {
 
 
 def filter_json_attribute(spark, sf_dir):
-    rows = view(spark, sf_dir, "alert").join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("props").alias("attributes")), "event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "concat(event_type, '-', CAST(user_id AS STRING)) AS alert_key", "props AS attributes")
     return apply_filter(rows, of_rows([("attributes.k", "IN", ("1", "22", "69"))]), TODAY).select("event_id", "alert_key")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.columns import NAME_RULES, changed_by, dice, normalize_name
+from lakeloom.functions.columns import NAME_RULES, bigrams, changed_by, dice, normalize_name
 from lakeloom.session import cut_lineage
 from lakeloom.sources.domain import view, with_views
 
@@ -36,8 +36,8 @@ def source_overlap(names: DataFrame, normal) -> DataFrame:
 
 
 def rule_effect(names: DataFrame, rules: Sequence[tuple[str, str]] = tuple(RULES.values())) -> DataFrame:
-    """What rules bring: for each pair of sources the names shared as they are and after the rules, and whether that is the largest overlap."""
-    raw = source_overlap(names, F.col("raw_name")).withColumnRenamed("shared", "before")
+    """What rules bring: for each pair of sources the names shared without any rule (white space and case aside) and after the rules, and whether that is the largest overlap."""
+    raw = source_overlap(names, normalize_name(F.col("raw_name"), ())).withColumnRenamed("shared", "before")
     normal = source_overlap(names, normalize_name(F.col("raw_name"), rules)).withColumnRenamed("shared", "after")
     both = raw.join(normal, ["left", "right"], "full_outer").fillna(0, ["before", "after"])
     both = cut_lineage(both)  # one row for each pair of sources
@@ -51,12 +51,36 @@ def balanced_sample(names: DataFrame, per_source: int = 6) -> DataFrame:
     return names.select("source", "raw_name").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_source).withColumn("n", F.col("n").cast("bigint"))
 
 
+def rule_insight(names: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFrame:
+    """One row for a rule list: names scanned, the largest overlap of two sources without rules and with them, what that gains, names that run together, and rules without effect."""
+    listed = tuple(rules.values())
+    effect = rule_effect(names, listed).agg(F.coalesce(F.max("before"), F.lit(0)).alias("before"), F.coalesce(F.max("after"), F.lit(0)).alias("after"))
+    distinct = names.select("source", F.coalesce("raw_name", F.lit("")).alias("raw_name")).filter("raw_name <> ''").distinct()
+    scanned = distinct.agg(F.count(F.lit(1)).alias("scanned"))
+    raws = distinct.select("raw_name").distinct().groupBy(normalize_name(F.col("raw_name"), listed).alias("normal")).agg(F.count(F.lit(1)).alias("n"))
+    together = raws.agg(F.count(F.when(F.col("n") > 1, 1)).alias("collisions"))
+    used = rule_hits(distinct, rules).agg(F.array_sort(F.collect_list("rule")).alias("used"))
+    idle = F.array_join(F.array_except(F.array(*[F.lit(r) for r in sorted(rules)]), "used"), ",") if rules else F.lit("")
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    row = one(scanned).join(one(effect), "__one").join(one(together), "__one").join(one(used), "__one")
+    return row.select("scanned", "before", "after", (F.col("after") - F.col("before")).alias("gained"), "collisions", idle.alias("idle"))
+
+
+def rule_preview(names: DataFrame, rules: Sequence[tuple[int, str, str]], candidate: tuple[int, str, str] | None = None, per_source: int = 6) -> DataFrame:
+    """The first names of each source as the rules (place, pattern, replacement) make them, and as they would be with a candidate among them; null without one."""
+    listed = lambda some: [(p, r) for _, p, r in sorted(some, key=lambda x: x[0])]
+    raw = F.col("raw_name")
+    after = normalize_name(raw, listed([*rules, candidate])) if candidate else F.lit(None).cast("string")
+    return balanced_sample(names, per_source).select("source", "raw_name", normalize_name(raw, listed(rules)).alias("now"), after.alias("then"))
+
+
 def scored_pairs(names: DataFrame, left: str, right: str) -> DataFrame:
-    """Dice likeness of all left and right names of one unit. Units hold a few names each; the join is on the unit."""
+    """Dice likeness of all left and right names of one unit. Units hold a few names each; the join is on the unit. Bigrams are made once for each name, before it."""
     distinct = names.select("unit_id", "source", "name").distinct()
-    side = lambda s, c: distinct.filter(F.col("source") == s).select("unit_id", F.col("name").alias(c))
-    pairs = side(left, "left_name").join(side(right, "right_name"), "unit_id")
-    return pairs.withColumn("score", F.round(dice(F.col("left_name"), F.col("right_name")), 6))
+    side = lambda s, c: distinct.filter(F.col("source") == s).select("unit_id", F.explode(F.array(F.struct(F.col("name").alias(f"{c}_name"), bigrams(F.col("name")).alias(f"{c}_grams")))).alias("n")).select("unit_id", "n.*")
+    pairs = side(left, "left").join(side(right, "right"), "unit_id")
+    score = dice(F.col("left_name"), F.col("right_name"), (F.col("left_grams"), F.col("right_grams")))
+    return pairs.select("unit_id", "left_name", "right_name", F.round(score, 6).alias("score"))
 
 
 #: Pairs of a unit up to which the unit is paired in one place; larger units take rounds of joins.
@@ -156,12 +180,16 @@ def _axis_rows(spark, sf_dir) -> DataFrame:
     return _names(spark, sf_dir).select("source", "item_ref", (F.col("item_ref") % 40).alias("unit_id"), F.when(F.col("item_ref") % 9 == 0, "").otherwise(F.concat(F.lit("a"), (F.col("item_ref") % (F.when(F.col("source") == LEFT, 3).otherwise(4))).cast("string"))).alias("axis"))
 
 
+_PLACED = [(10 * i, pattern, "") for i, pattern in enumerate(NAME_RULES.values(), 1)]
+
 QUERIES = {
     "name_normalize": lambda s, d: _names(s, d).select("source", "item_ref", normalize_name(F.col("raw_name")).alias("normal")),
     "rule_hits": lambda s, d: rule_hits(_names(s, d)),
     "name_collisions": lambda s, d: collisions(_names(s, d)),
     "source_overlap": lambda s, d: source_overlap(_names(s, d), normalize_name(F.col("raw_name"))),
     "rule_effect": lambda s, d: rule_effect(_names(s, d)),
+    "rule_insight": lambda s, d: rule_insight(_names(s, d), RULES | {"never": ("no such thing", "")}),
+    "rule_preview": lambda s, d: rule_preview(_names(s, d), _PLACED, (25, "[0-9]+", "#")),
     "balanced_sample": lambda s, d: balanced_sample(_names(s, d)),
     "dice_pairs": lambda s, d: scored_pairs(_unit_names(s, d), LEFT, RIGHT),
     "greedy_pairs": lambda s, d: greedy_pairs(scored_pairs(_unit_names(s, d), LEFT, RIGHT)),
@@ -174,6 +202,7 @@ QUERIES = {
 
 _N = f"names AS (SELECT 'erp' AS source, p_partkey AS item_ref, {_RAW} AS raw_name FROM part UNION ALL SELECT 'wms', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, ' ', p_name) ELSE concat(p_name, ' (new)') END FROM part)"
 _NORMAL = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(substring({0}, 1, 300), '\\([^)]*\\)', '', 'g'), '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g'), '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g'), '\\s+', '', 'g'))"
+_BARE = "lower(regexp_replace(substring(raw_name, 1, 300), '\\s+', '', 'g'))"
 _GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)))"
 _UNITS = f"WITH {_N}, u AS (SELECT DISTINCT item_ref // 10 AS unit_id, source, raw_name AS name FROM names)"
 _A, _B = _GRAMS.format("l.name"), _GRAMS.format("r.name")
@@ -182,15 +211,23 @@ _BOARD = f"""{with_views('member')}, {_N}, known AS (SELECT n.*, m.unit_id, {_NO
     both_sides AS (SELECT normal FROM known WHERE unit_id IS NULL AND normal <> '' GROUP BY normal HAVING count(DISTINCT source) = 2),
     board AS (SELECT source, item_ref, CASE WHEN unit_id IS NOT NULL THEN 'LINKED' WHEN normal IN (SELECT normal FROM both_sides) THEN 'PAIRED' WHEN source = 'erp' THEN 'LEFT_ONLY' ELSE 'RIGHT_ONLY' END AS kind FROM known)"""
 
+_HITS = f"""WITH {_N}, a AS (SELECT raw_name, regexp_replace(raw_name, '\\([^)]*\\)', '', 'g') AS v1 FROM names), b AS (SELECT *, regexp_replace(v1, '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g') AS v2 FROM a), c AS (SELECT *, regexp_replace(v2, '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g') AS v3 FROM b)
+        SELECT rule, count(*) AS n FROM (SELECT 'brackets' AS rule FROM c WHERE v1 <> raw_name UNION ALL SELECT 'date after underscore' FROM c WHERE v2 <> v1 UNION ALL SELECT 'date in name' FROM c WHERE v3 <> v2) GROUP BY rule"""
+
 SQL = {
     "name_normalize": f"WITH {_N} SELECT source, item_ref, {_NORMAL.format('raw_name')} AS normal FROM names",
-    "rule_hits": f"""WITH {_N}, a AS (SELECT raw_name, regexp_replace(raw_name, '\\([^)]*\\)', '', 'g') AS v1 FROM names), b AS (SELECT *, regexp_replace(v1, '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g') AS v2 FROM a), c AS (SELECT *, regexp_replace(v2, '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g') AS v3 FROM b)
-        SELECT rule, count(*) AS n FROM (SELECT 'brackets' AS rule FROM c WHERE v1 <> raw_name UNION ALL SELECT 'date after underscore' FROM c WHERE v2 <> v1 UNION ALL SELECT 'date in name' FROM c WHERE v3 <> v2) GROUP BY rule""",
+    "rule_hits": _HITS,
     "name_collisions": f"WITH {_N} SELECT {_NORMAL.format('raw')} AS normal, count(*) AS n, min(raw) AS example, greatest(count(*) OVER () - 20, 0) AS more FROM (SELECT DISTINCT raw_name AS raw FROM names) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, normal LIMIT 20",
     "source_overlap": f"WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names) SELECT a.source AS left, b.source AS right, count(*) AS shared FROM k a JOIN k b ON a.name = b.name AND a.source < b.source GROUP BY 1, 2",
-    "rule_effect": f"""WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names), d AS (SELECT DISTINCT source, raw_name FROM names),
+    "rule_effect": f"""WITH {_N}, k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names), d AS (SELECT DISTINCT source, {_BARE} AS raw_name FROM names),
         p AS (SELECT 'erp' AS left, 'wms' AS right, (SELECT count(*) FROM d a JOIN d b ON a.raw_name = b.raw_name AND a.source = 'erp' AND b.source = 'wms') AS before, (SELECT count(*) FROM k a JOIN k b ON a.name = b.name AND a.source = 'erp' AND b.source = 'wms') AS after)
         SELECT *, true AS largest FROM p WHERE before > 0 OR after > 0""",
+    "rule_insight": f"""WITH {_N}, hits AS ({_HITS}), k AS (SELECT DISTINCT source, {_NORMAL.format('raw_name')} AS name FROM names), d AS (SELECT DISTINCT source, {_BARE} AS name FROM names), c AS (SELECT {_NORMAL.format('raw')} AS normal FROM (SELECT DISTINCT raw_name AS raw FROM names) GROUP BY 1 HAVING count(*) > 1),
+        p AS (SELECT (SELECT count(*) FROM d a JOIN d b ON a.name = b.name AND a.source = 'erp' AND b.source = 'wms') AS before, (SELECT count(*) FROM k a JOIN k b ON a.name = b.name AND a.source = 'erp' AND b.source = 'wms') AS after)
+        SELECT (SELECT count(*) FROM (SELECT DISTINCT source, raw_name FROM names)) AS scanned, before, after, after - before AS gained, (SELECT count(*) FROM c) AS collisions, (SELECT coalesce(string_agg(r, ',' ORDER BY r), '') FROM (VALUES ('brackets'), ('date after underscore'), ('date in name'), ('never')) v(r) WHERE r NOT IN (SELECT rule FROM hits)) AS idle
+        FROM p""",
+    "rule_preview": f"""WITH {_N}, s AS (SELECT source, raw_name, row_number() OVER (PARTITION BY source ORDER BY raw_name) AS n FROM (SELECT DISTINCT source, raw_name FROM names))
+        SELECT source, raw_name, {_NORMAL.format('raw_name')} AS now, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_name, '\\([^)]*\\)', '', 'g'), '_\\d{{2}}[.\\-/]\\d{{2}}[.\\-/]\\d{{2}}$', '', 'g'), '[0-9]+', '#', 'g'), '\\d{{2,4}}[.\\-/]\\d{{1,2}}[.\\-/]\\d{{1,2}}', '', 'g'), '\\s+', '', 'g')) AS "then" FROM s WHERE n <= 6""",
     "balanced_sample": f"WITH {_N} SELECT * FROM (SELECT source, raw_name, row_number() OVER (PARTITION BY source ORDER BY raw_name) AS n FROM (SELECT DISTINCT source, raw_name FROM names)) WHERE n <= 6",
     "dice_pairs": f"{_SCORED} SELECT * FROM scored",
     "best_mate": f"""{_SCORED}, mine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, left_name ORDER BY score DESC, right_name DESC) AS n FROM scored) WHERE n = 1)

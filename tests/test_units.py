@@ -137,7 +137,18 @@ def test_many_campaigns_are_dealt_into_rows(spark, sf_dir, monkeypatch):
 def test_effect_of_rules(spark):
     rows = [("a", "Tent (1)"), ("b", "tent"), ("b", "Lamp"), ("c", "Lamp"), ("c", "lamp (x)"), ("c", "TENT")]
     got = {(r.left, r.right): (r.before, r.after, r.largest) for r in names.rule_effect(spark.createDataFrame(rows, "source string, raw_name string")).collect()}
-    assert got == {("a", "b"): (0, 1, False), ("a", "c"): (0, 1, False), ("b", "c"): (1, 2, True)}
+    assert got == {("a", "b"): (0, 1, False), ("a", "c"): (0, 1, False), ("b", "c"): (2, 2, True)}  # without rules, white space and case still count for nothing
+
+
+def test_insight_and_preview_of_rules(spark):
+    rows = spark.createDataFrame([("a", "Tent (1)"), ("a", "Tent (2)"), ("b", "tent"), ("b", "Lamp"), ("b", ""), ("b", None), ("b", "Lamp")], "source string, raw_name string")
+    rules = {"brackets": (r"\([^)]*\)", ""), "idle": ("zzz", ""), "broken": ("(", "")}
+    assert tuple(names.rule_insight(rows, rules).first()) == (4, 0, 1, 1, 1, "broken,idle")
+    assert tuple(names.rule_insight(rows.limit(0), rules).first()) == (0, 0, 0, 0, 0, "brackets,broken,idle")
+    placed = [(20, "1", "one"), (10, r"\(", "")]
+    got = {r.raw_name: (r.now, r.then) for r in names.rule_preview(rows.filter("source = 'a'"), placed, (15, "[0-9]", "#")).collect()}
+    assert got == {"Tent (1)": ("tentone)", "tent#)"), "Tent (2)": ("tent2)", "tent#)")}
+    assert {r.then for r in names.rule_preview(rows, placed).collect()} == {None}
 
 
 def test_quotes_in_full_width_signs(spark):
