@@ -29,6 +29,15 @@ TEXT, NUMBER, DATE, BOOL = "TEXT", "NUMBER", "DATE", "BOOL"
 FIELDS = {
     "source": TEXT, "item_ref": NUMBER, "warehouse_code": TEXT, "lot_code": TEXT, "quantity": NUMBER, "base_quantity": NUMBER, "base_unit": TEXT, "raw_item_name": TEXT,
     "quality_status": TEXT, "expiry_date": DATE, "manufacture_date": DATE, "base_at": DATE, "product_key": TEXT, "name": TEXT, "brand": TEXT, "code": TEXT, "safety_threshold": NUMBER, "active": BOOL,
+    "warehouse_name": TEXT, "location_code": TEXT, "zone_code": TEXT, "unit": TEXT, "serial_no": TEXT, "normalized_name": TEXT, "currency": TEXT,
+    "available_quantity": NUMBER, "reserved_quantity": NUMBER, "defective_quantity": NUMBER, "incoming_quantity": NUMBER, "outgoing_quantity": NUMBER, "unit_cost": NUMBER, "amount": NUMBER,
+}
+
+#: What the fields of a stock snapshot are called where people pick them.
+LABELS = {
+    "warehouse_code": "창고", "warehouse_name": "창고명", "lot_code": "로트", "location_code": "로케이션", "zone_code": "구역", "quality_status": "품질상태", "unit": "단위", "base_unit": "기준단위",
+    "serial_no": "일련번호", "raw_item_name": "원본품명", "normalized_name": "다듬은품명", "item_ref": "품목코드", "currency": "통화", "expiry_date": "유통기한", "manufacture_date": "제조일", "quantity": "원본수량",
+    "base_quantity": "기준수량", "available_quantity": "가용수량", "reserved_quantity": "할당수량", "defective_quantity": "불량수량", "incoming_quantity": "입고예정", "outgoing_quantity": "출고예정", "unit_cost": "단가", "amount": "금액",
 }
 
 #: Operators with the types they are for and their least and greatest number of values.
@@ -130,6 +139,12 @@ def field_type(name: str) -> str:
     return FIELDS[name]
 
 
+def label(name: str) -> str:
+    """What a field is called: its label, an attribute's own key, else its name."""
+    field_type(name)
+    return LABELS.get(name, name.removeprefix("attributes."))
+
+
 def _value(kind: str, value, today: dt.date):
     if kind == NUMBER:
         try:

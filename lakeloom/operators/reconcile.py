@@ -7,7 +7,7 @@ units, compares them with a tolerance and promotes differences that were there i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import bucket, percent_difference
@@ -76,6 +76,26 @@ def facet(df: DataFrame, field: str, limit: int = FACET_LIMIT) -> DataFrame:
     return df.groupBy(F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity")).orderBy(F.desc("quantity"), "value").limit(limit + 1)
 
 
+def latest_values(snapshots: DataFrame, field: str, label: str | None = None, limit: int = FACET_LIMIT) -> DataFrame:
+    """Each source's values of a field in its latest snapshot, by quantity: the first `limit` of a source, and one more if there are others.
+
+    Null is '' and a value of its own; `label` names the column that tells what a value is called. Values are summed before they are ranked,
+    and Spark keeps so many rows of a source on the map side.
+    """
+    latest = snapshots.groupBy("source").agg(F.max("base_at").alias("base_at"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = (F.max(text(label)) if label else F.lit("")).alias("label")
+    sums = snapshots.join(latest, ["source", "base_at"], "left_semi").groupBy("source", text(field).alias("value")).agg(named, F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("quantity"), "value"))
+    return sums.withColumn("place", place).filter(F.col("place") <= limit + 1).withColumn("more", F.col("place") > limit).drop("place")
+
+
+def unmatched_named(snapshots: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """Items of a source that belong to no unit, with their greatest name ('' for none) and quantity."""
+    items = snapshots.groupBy("source", "item_ref").agg(F.max(F.coalesce(name, F.lit(""))).alias("name"), F.sum("quantity").alias("quantity"))
+    return items.join(members.filter("confirmed").select("source", "item_ref"), ["source", "item_ref"], "left_anti")
+
+
 def breakdown(snapshots: DataFrame, members: DataFrame, axis: str, left: str, right: str) -> DataFrame:
     """A unit's lines by an axis column: both sides' sums by unit and axis value, with their difference and its percentage."""
     rows = snapshots.join(members.filter("confirmed").select("source", "item_ref", "unit_id", "factor"), ["source", "item_ref"])
@@ -116,6 +136,14 @@ def _slice(spark, sf_dir, at: str = AT) -> DataFrame:
     return view(spark, sf_dir, "snapshot").filter(F.col("base_at") == F.lit(at).cast("timestamp_ntz"))
 
 
+def _named(spark, sf_dir) -> DataFrame:
+    """Snapshots with item names that differ by lot, and are missing for some."""
+    return view(spark, sf_dir, "snapshot").withColumn("item_name", F.expr(_ITEM_NAME))
+
+
+_ITEM_NAME = "CASE WHEN item_ref % 6 <> 0 THEN concat('Item ', lot_code, CAST(item_ref AS STRING)) END"
+
+
 def _promotion(spark, sf_dir):
     members = view(spark, sf_dir, "member")
     run = lambda at, n: compare(unit_sums(_slice(spark, sf_dir, at), members), LEFT, RIGHT, TOLERANCE).withColumn("run", F.lit(n))
@@ -139,6 +167,8 @@ QUERIES = {
     "diff_state_counts": lambda s, d: _promotion(s, d).groupBy("state").agg(F.count(F.lit(1)).alias("n")),
     "diff_alerts": lambda s, d: alerts(_promotion(s, d), 200),
     "value_facets": lambda s, d: facet(_slice(s, d), "item_ref"),
+    "latest_values": lambda s, d: latest_values(_named(s, d), "item_ref", "item_name"),
+    "unmatched_named": lambda s, d: unmatched_named(_named(s, d), view(s, d, "member"), "item_name"),
     "breakdown_by_axis": lambda s, d: breakdown(_slice(s, d), view(s, d, "member"), "lot_code", LEFT, RIGHT),
     "breakdown_totals": lambda s, d: breakdown_totals(breakdown(_slice(s, d), view(s, d, "member"), "warehouse_code", LEFT, RIGHT)),
     "filter_in_join": lambda s, d: members_with_stock(view(s, d, "member"), _slice(s, d), F.col("lot_code") == "A"),
@@ -177,6 +207,9 @@ SQL = {
     "diff_state_counts": f"{_PROMOTED} SELECT state, count(*) AS n FROM promoted GROUP BY state",
     "diff_alerts": f"{_PROMOTED} SELECT * FROM promoted WHERE state = 'CONFIRMED' AND abs(delta) >= 200",
     "value_facets": f"{_ITEMS} SELECT item_ref AS value, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM now GROUP BY item_ref ORDER BY 3 DESC, 1 LIMIT {FACET_LIMIT + 1}",
+    "latest_values": f"""{_V}, l AS (SELECT source, max(base_at) AS base_at FROM snapshot GROUP BY 1), x AS (SELECT source, CAST(item_ref AS VARCHAR) AS value, coalesce(max({_ITEM_NAME}), '') AS label, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM snapshot JOIN l USING (source, base_at) GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quantity DESC, value) AS place FROM x) SELECT * EXCLUDE (place), place > {FACET_LIMIT} AS more FROM r WHERE place <= {FACET_LIMIT + 1}""",
+    "unmatched_named": f"{_V} SELECT source, item_ref, coalesce(max({_ITEM_NAME}), '') AS name, CAST(sum(quantity) AS BIGINT) AS quantity FROM snapshot ANTI JOIN (SELECT * FROM member WHERE confirmed) m USING (source, item_ref) GROUP BY 1, 2",
     "breakdown_by_axis": f"{_ITEMS}, {_axis('lot_code')} SELECT *, left_quantity - right_quantity AS delta, CASE WHEN greatest(left_quantity, right_quantity) = 0 THEN 0.0 ELSE round(100 * abs(left_quantity - right_quantity) / greatest(left_quantity, right_quantity), 1) END AS percent FROM lines",
     "breakdown_totals": f"{_ITEMS}, {_axis('warehouse_code')} SELECT unit_id, CAST(sum(left_quantity) AS BIGINT) AS left_total, CAST(sum(right_quantity) AS BIGINT) AS right_total, count(*) AS n_lines, count(*) FILTER (WHERE left_quantity <> right_quantity) AS n_differing, count(*) FILTER (WHERE (left_quantity = 0) <> (right_quantity = 0)) AS n_orphans FROM lines GROUP BY unit_id",
     "filter_in_join": f"{_ITEMS}, a AS (SELECT source, item_ref, CAST(sum(quantity) AS BIGINT) AS quantity FROM now WHERE lot_code = 'A' GROUP BY ALL) SELECT source, item_ref, unit_id, factor, confirmed, quantity FROM member LEFT JOIN a USING (source, item_ref)",

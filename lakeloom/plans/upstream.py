@@ -128,5 +128,5 @@ SQL = {
         s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, 'PENDING' AS status, 0 AS attempts, 0 AS ignored FROM e
         UNION ALL SELECT s.key, e.n, {_STEP.format(retry="'PENDING'", attempt="CASE WHEN kind = 'ok' THEN 'SENT' WHEN kind = 'fatal' OR attempts >= 4 THEN 'FAILED' ELSE 'PENDING' END", other='status')}, {_STEP.format(retry='0', attempt="attempts + CASE WHEN kind = 'ok' THEN 0 ELSE 1 END", other='attempts')}, {_STEP.format(retry='ignored', attempt='ignored', other='ignored + 1')}
             FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
-        SELECT key, arg_max(status, n) AS status, arg_max(attempts, n) AS attempts, arg_max(ignored, n) AS ignored FROM s GROUP BY key""",
+        SELECT key, arg_max(status, n) AS status, CAST(arg_max(attempts, n) AS BIGINT) AS attempts, CAST(arg_max(ignored, n) AS BIGINT) AS ignored FROM s GROUP BY key""",
 }

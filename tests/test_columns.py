@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import columns as c
 from lakeloom.operators import filters as f
 from lakeloom.operators import transform as t
-from lakeloom.operators.reconcile import compare, promote
+from lakeloom.operators.reconcile import compare, latest_values, promote
 from lakeloom.plans import upkeep
 from lakeloom.plans.scoring import Rubric, metrics, rule_score
 from lakeloom.plans.trends import growth
@@ -184,3 +184,20 @@ def test_outbox_holds_back_recent_keys(spark):
     new = spark.createDataFrame([("x", 1), ("y", 2), ("y", 3), (" ", 4), (None, 5), (None, 6)], "dedupe_key string, id int")
     got = upkeep.enqueued(sent, new, dt.datetime(2024, 1, 1, 12), 6, ["id"]).collect()
     assert sorted(r.payload for r in got) == ['{"id":2}', '{"id":4}', '{"id":5}', '{"id":6}']
+
+
+def test_fields_have_types_and_labels():
+    assert len(f.LABELS) == 24 and all(f.field_type(name) for name in f.LABELS)
+    assert f.label("unit_cost") == "단가" and f.label("attributes.shelf") == "shelf" and f.label("code") == "code"
+    for wrong in ("no such field", "attributes.a'b", 'attributes.a"', "attributes.a`", "attributes.a\\"):
+        with pytest.raises(ValueError):
+            f.label(wrong)
+
+
+def test_values_of_the_latest_snapshot_by_source(spark):
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    rows = [("a", old, "W9", "gone", 99), ("a", new, "W1", None, 5), ("a", new, "W1", "North", 6), ("a", new, "W2", "South", 11), ("a", new, None, None, 1), ("b", old, "W1", "Other", 2)]
+    table = spark.createDataFrame(rows, "source string, base_at timestamp_ntz, code string, name string, quantity long")
+    all_ = [("a", "", "", 1, 1, False), ("a", "W1", "North", 2, 11, False), ("a", "W2", "South", 1, 11, False), ("b", "W1", "Other", 1, 2, False)]
+    assert sorted(tuple(r) for r in latest_values(table, "code", "name").collect()) == all_
+    assert sorted((r.source, r.value, r.more) for r in latest_values(table, "code", limit=1).collect()) == [("a", "W1", False), ("a", "W2", True), ("b", "W1", False)]
