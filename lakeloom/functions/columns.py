@@ -151,7 +151,8 @@ def title_words(c: Column) -> Column:
     particle = "|".join(PARTICLES)
     words = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^가-힣ㄱ-ㅎㅏ-ㅣa-z0-9]+")
     words = F.filter(words, lambda w: ~w.rlike("^[0-9]*$"))
-    words = F.transform(words, lambda w: F.regexp_replace(w, f"^(.{{2,}}?)({particle})$", "$1"))
+    # Particles are Hangul, so other words need no pattern tried on them.
+    words = F.transform(words, lambda w: F.when(F.right(w, F.lit(1)) >= "가", F.regexp_replace(w, f"^(.{{2,}}?)({particle})$", "$1")).otherwise(w))
     return F.filter(words, lambda w: F.length(w).between(2, 12))
 
 
