@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +18,8 @@ from lakeloom.session import shared_folder
 from lakeloom.sources.domain import with_views
 
 LATE = "10 minutes"
+#: Buckets that keys are dealt to (a checkpoint is of one number), and what pandas has for no time.
+BUCKETS, NO_TIME = 1024, -(2**63)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,21 +45,38 @@ def look_back(events: DataFrame, width: str = "7 days", step: str = "1 day", lat
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def suppress(events: DataFrame, key: str, hours: float) -> DataFrame:
-    """Events that are sent: those with no sent event of their key in the hours before. The state is the last time sent."""
+def _micros(times: pd.Series) -> list[int]:
+    """Whole microseconds; `NO_TIME` for none."""
+    return times.to_numpy("datetime64[us]").astype("int64").tolist()
+
+
+def bucket(key: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of a key. A call of Python for each key takes milliseconds, so keys share their state by bucket."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+
+
+def suppress(events: DataFrame, key: str, hours: float, buckets: int = BUCKETS) -> DataFrame:
+    """Events that are sent: those with no sent event of their key in the hours before. The state is each key's last time sent.
+
+    Keys are folded by bucket: a batch writes the state of the buckets that it has events of.
+    """
+    step = round(hours * 3_600_000_000)
 
     def fold(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = pd.Timestamp(state.get[0]) if state.exists else None
+        sent = dict(zip(*state.get, strict=True)) if state.exists else {}
         keep = []
-        for ts in rows["ts"]:
-            free = last is None or ts - last >= pd.Timedelta(hours=hours)
+        for k, ts in zip(rows["key"], _micros(rows["ts"]), strict=True):
+            last = sent.get(k)
+            free = last is None or (NO_TIME not in (ts, last) and ts - last >= step)
             keep.append(free)
-            last = ts if free else last
-        state.update((last,))
-        yield pd.DataFrame({"key": name[0], "id": rows["event_id"][keep]})
+            if free:
+                sent[k] = ts
+        state.update((list(sent), list(sent.values())))
+        yield pd.DataFrame({"key": rows["key"][keep], "id": rows["event_id"][keep]})
 
-    return events.groupBy(key).applyInPandasWithState(fold, "key string, id long", "last timestamp", "append", GroupStateTimeout.NoTimeout)
+    rows = events.select(F.col(key).cast("string").alias("key"), "ts", "event_id", bucket(F.col(key), buckets))
+    return rows.groupBy("bucket").applyInPandasWithState(fold, "key string, id long", "key array<string>, last array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "append", change: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

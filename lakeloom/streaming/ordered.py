@@ -1,14 +1,17 @@
 """Streams that need a key's events in order: held batches, suppression and incidents, with timers and state that ends.
 
-Events wait in their key's state until the watermark has passed them, and are then folded in order of time, so
+Events wait in the state of their key's bucket until the watermark has passed them, and are then folded in order of time, key by key, so
 that events which come out of order, or in other batches, give what the batch forms in `plans/ledger.py` give for the
 same rows. What waits is bounded by the watermark's delay (held batches: and by how long they are held),
-however many events a key has; what a fold keeps of a key ends by a timer when it can't matter any more.
+however many events a key has; what a fold keeps of a key ends when it can't matter any more: when its bucket is next
+looked at, or by a timer. State is read and written by bucket, as lists of columns, since a call of Python for each
+key would take longer than all of its events. Events without a time take no part, as in the batch forms.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,60 +21,85 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from lakeloom.plans import ledger
 from lakeloom.plans.ledger import after_quiet
-from lakeloom.streaming.alerts import drain, event_stream
+from lakeloom.streaming.alerts import BUCKETS, NO_TIME, _micros, bucket, drain, event_stream
 
 LATE = "10 minutes"
 #: The only kind of state store that keeps timers and lists.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _EPOCH = dt.datetime(1970, 1, 1)
+NEVER = 2**63 - 1
 Row = tuple[int, int, int]  # time in microseconds, id, and a number
 
 
-def _micros(times: pd.Series) -> list[int]:
-    return times.to_numpy("datetime64[us]").astype("int64").tolist()
-
-
 def _time(micros: int) -> dt.datetime:
     return _EPOCH + dt.timedelta(microseconds=micros)
 
 
+def _passed(rows: list[Row], micros: int) -> int:
+    """How many of sorted rows are not after a time."""
+    return bisect_right(rows, micros, key=lambda r: r[0])
+
+
 class InOrder(StatefulProcessor):
-    """Keeps a key's rows (ts, id, number) until the watermark has passed them; `fold` gets them in order."""
+    """Keeps a bucket's rows (key, ts, id, number) until the watermark has passed them; `fold` gets those of a key in order, with what it kept of it."""
 
-    #: Columns of the rows that come out.
+    #: Columns of the rows that come out, and of what is kept of a key.
     columns: tuple[str, ...]
+    kept_columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, id long, number long")
-        self.kept = handle.getValueState("kept", self.kept_schema)
+        self.waiting = handle.getListState("waiting", "key array<string>, ts array<long>, id array<long>, number array<long>")
+        self.kept = handle.getValueState("kept", ", ".join(["key array<string>", *[f"{c} array<long>" for c in self.kept_columns]]))
 
     def wake(self, micros: int) -> None:
         """Call again once the watermark has passed a time."""
         self.handle.registerTimer(micros // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            found = list(zip(_micros(frame["ts"]), frame["id"].tolist(), frame["number"].tolist(), strict=True))
+        found = [(frame["key"].tolist(), _micros(frame["ts"]), frame["id"].tolist(), frame["number"].tolist()) for frame in rows if len(frame)]
+        if found:
             self.waiting.appendList(found)
-            first = min([t for t, _, _ in found] + ([] if first is None else [first]))
-        if first is not None:
-            self.wake(self.due(first))
+            self.wake(self.due(min(min(times) for _, times, _, _ in found)))
         yield pd.DataFrame(columns=list(self.columns))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        out, rest = self.fold(key[0], rows, passed)
+        by_key: dict[str | None, list[Row]] = {}
+        for keys, *columns in self.waiting.get() if self.waiting.exists() else ():
+            for k, row in zip(keys, zip(*columns, strict=True), strict=True):
+                by_key.setdefault(k, []).append(row)
+        names, *values = self.kept.get() if self.kept.exists() else ([],)
+        kept = dict(zip(names, zip(*values, strict=True), strict=True)) if values else {}
+        out, rest = [], []
+        for k, rows in by_key.items():
+            done, left, now = self.fold(k, sorted(rows), passed, kept.get(k))
+            out += done
+            rest += [(k, *row) for row in left]
+            kept[k] = now
+        kept = {k: now for k, now in kept.items() if now is not None and self.ends(now) > passed}
         if rest:
-            self.waiting.put(rest)
-            self.wake(self.due(rest[0][0]))
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+            self.wake(self.due(min(r[1] for r in rest)))
         else:
             self.waiting.clear()
+        if kept:
+            self.kept.update((list(kept), *map(list, zip(*kept.values(), strict=True))))
+            if (last := max(map(self.ends, kept.values()))) < NEVER:
+                self.wake(last + 1000)
+        else:
+            self.kept.clear()
         yield pd.DataFrame(out, columns=list(self.columns)).astype(object)
 
+    def fold(self, key: str | None, rows: list[Row], passed: int, now: tuple | None) -> tuple[list[tuple], list[Row], tuple | None]:
+        """Rows that come out, rows that wait on, and what is kept."""
+        raise NotImplementedError
+
+    def ends(self, now: tuple) -> int:
+        """When what is kept does not matter any more."""
+        return NEVER
+
     def due(self, first: int) -> int:
         """When a row that waits can be folded, if none comes before it."""
         return first
@@ -84,7 +112,6 @@ class Held(InOrder):
     """One message for all events of a key, once the oldest has waited and it is not a quiet time."""
 
     columns = ("key", "oldest", "sent", "n", "cents")
-    kept_schema = "unused int"
 
     def __init__(self, minutes: int, quiet: tuple[int, int] | None) -> None:
         self.minutes, self.quiet = minutes, quiet
@@ -93,37 +120,34 @@ class Held(InOrder):
         sent = after_quiet(_time(first) + dt.timedelta(minutes=self.minutes), self.quiet)
         return (sent - _EPOCH) // dt.timedelta(microseconds=1)
 
-    def fold(self, key: object, rows: list[Row], passed: int) -> tuple[list[tuple], list[Row]]:
-        out = []
-        while rows and (sent := self.due(rows[0][0])) <= passed:
-            own = [r for r in rows if r[0] <= sent]
-            out.append((key, _time(rows[0][0]), _time(sent), len(own), sum(r[2] for r in own)))
-            rows = rows[len(own) :]
-        return out, rows
+    def fold(self, key: str | None, rows: list[Row], passed: int, now: tuple | None) -> tuple[list[tuple], list[Row], tuple | None]:
+        out, at = [], 0
+        while at < len(rows) and (sent := self.due(rows[at][0])) <= passed:
+            end = _passed(rows, sent)
+            out.append((key, _time(rows[at][0]), _time(sent), end - at, sum(r[2] for r in rows[at:end])))
+            at = end
+        return out, rows[at:], None
 
 
 class Suppressed(InOrder):
     """Events of a key with no sent one in the time before. The last time sent goes when it no longer suppresses anything."""
 
     columns = ("key", "id")
-    kept_schema = "last long"
+    kept_columns = ("last",)
 
     def __init__(self, hours: float) -> None:
         self.step = round(hours * 3_600_000_000)
 
-    def fold(self, key: object, rows: list[Row], passed: int) -> tuple[list[tuple], list[Row]]:
-        last, out = (self.kept.get()[0] if self.kept.exists() else None), []
-        ready = [r for r in rows if r[0] <= passed]
-        for ts, i, _ in ready:
-            if last is None or ts - last >= self.step:
+    def fold(self, key: str | None, rows: list[Row], passed: int, now: tuple | None) -> tuple[list[tuple], list[Row], tuple | None]:
+        ready, out = _passed(rows, passed), []
+        for ts, i, _ in rows[:ready]:
+            if now is None or ts - now[0] >= self.step:
                 out.append((key, i))
-                last = ts
-        if last is not None and last + self.step <= passed:
-            self.kept.clear()
-        elif last is not None:
-            self.kept.update((last,))
-            self.wake(last + self.step + 1000)
-        return out, rows[len(ready) :]
+                now = (ts,)
+        return out, rows[ready:], now
+
+    def ends(self, now: tuple) -> int:
+        return now[0] + self.step
 
 
 class Incidents(InOrder):
@@ -134,47 +158,43 @@ class Incidents(InOrder):
     """
 
     columns = ("key", "first_id", "occurrences", "resolved", "last_id", "at")
-    kept_schema = "first_id long, occurrences long, last_id long"
+    kept_columns = ("first_id", "occurrences", "last_id")
 
-    def fold(self, key: object, rows: list[Row], passed: int) -> tuple[list[tuple], list[Row]]:
-        now = self.kept.get() if self.kept.exists() else None
-        out, ready = [], [r for r in rows if r[0] <= passed]
-        for ts, i, resolves in ready:
+    def fold(self, key: str | None, rows: list[Row], passed: int, now: tuple | None) -> tuple[list[tuple], list[Row], tuple | None]:
+        ready, out = _passed(rows, passed), []
+        for ts, i, resolves in rows[:ready]:
             if now or not resolves:
                 first, many, last = now or (i, 0, i)
                 now = first, many + (not resolves), max(last, i)
                 out.append((key, now[0], now[1], bool(resolves), now[2], _time(ts)))
             if resolves:
                 now = None
-        if now:
-            self.kept.update(now)
-        else:
-            self.kept.clear()
-        return out, rows[len(ready) :]
+        return out, rows[ready:], now
 
 
-def _stateful(events: DataFrame, number, processor: StatefulProcessor, schema: str, late: str) -> DataFrame:
+def _stateful(events: DataFrame, number, processor: StatefulProcessor, schema: str, late: str, buckets: int) -> DataFrame:
+    """Rows of a processor. Keys are texts in its state, and ids that are null `NO_TIME`, as pandas has no null whole numbers."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = events.select("key", F.col("ts").cast("timestamp").alias("ts"), F.col("id").cast("long").alias("id"), number.cast("long").alias("number"))
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(processor, schema, "append", "eventtime")
+    timed = events.filter("ts is not null").select("key", F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("id").cast("long"), F.lit(NO_TIME)).alias("id"), F.coalesce(number.cast("long"), F.lit(0)).alias("number"))
+    rows = timed.withWatermark("ts", late).select(bucket(F.col("key"), buckets), F.col("key").cast("string").alias("key"), "ts", "id", "number")
+    found = rows.groupBy("bucket").transformWithStateInPandas(processor, f"key string, {schema}", "append", "eventtime")
+    ids = {c: F.nullif(F.col(c), F.lit(NO_TIME)) for c in found.columns if c in ("id", "first_id", "last_id")}
+    return found.withColumns({"key": F.col("key").cast(events.schema["key"].dataType)} | ids)
 
 
-def held(events: DataFrame, minutes: int, quiet: tuple[int, int] | None = None, late: str = LATE) -> DataFrame:
+def held(events: DataFrame, minutes: int, quiet: tuple[int, int] | None = None, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """Batches of a stream (key, id, ts, cents): key, oldest, sent, n, cents. Quiet hours are minutes of the local day."""
-    kind = events.schema["key"].dataType.simpleString()
-    return _stateful(events, F.col("cents"), Held(minutes, quiet), f"key {kind}, oldest timestamp, sent timestamp, n long, cents long", late)
+    return _stateful(events, F.col("cents"), Held(minutes, quiet), "oldest timestamp, sent timestamp, n long, cents long", late, buckets)
 
 
-def suppressed(events: DataFrame, hours: float, late: str = LATE) -> DataFrame:
+def suppressed(events: DataFrame, hours: float, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """Events of a stream (key, id, ts) that are sent: key, id."""
-    kind = events.schema["key"].dataType.simpleString()
-    return _stateful(events, F.lit(0), Suppressed(hours), f"key {kind}, id long", late)
+    return _stateful(events, F.lit(0), Suppressed(hours), "id long", late, buckets)
 
 
-def incidents(events: DataFrame, late: str = LATE) -> DataFrame:
+def incidents(events: DataFrame, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """Changes of incidents of a stream (key, id, ts, resolves): key, first_id, occurrences, resolved, last_id, at."""
-    kind = events.schema["key"].dataType.simpleString()
-    return _stateful(events, F.col("resolves").cast("int"), Incidents(), f"key {kind}, first_id long, occurrences long, resolved boolean, last_id long, at timestamp", late)
+    return _stateful(events, F.col("resolves").cast("int"), Incidents(), "first_id long, occurrences long, resolved boolean, last_id long, at timestamp", late, buckets)
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import title_words
 from lakeloom.plans.trends import growth, keyword_counts
+from lakeloom.streaming import ordered
+from lakeloom.streaming.alerts import drain, suppress
 
 
 def titles(spark, n=200):
@@ -37,3 +39,36 @@ def test_words_at_digits(spark):
     text = "12ab 345 a1 7ㅋ 1234567890123a 1234567890abc" + " " + "9" * 50_000 + " 가나다라마바사아자차카타에서부터 가나다라마바사아자차카타파에서"
     got = spark.createDataFrame([(text,)], "t string").select(title_words(F.col("t"))).first()[0]
     assert got == ["12ab", "a1", "7ㅋ", "가나다라마바사아자차카타"]
+
+
+def test_stream_state_is_by_bucket_not_by_key(spark, tmp_path):
+    """Many keys share few states; null keys, ids and times stay apart from them."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, i * 1000 + k, start + dt.timedelta(hours=i)) for k in range(300) for i in range(3)] + [(None, None, start), (7, None, None), (2**60 + 1, 2**60 + 3, start)]
+    place = str(tmp_path / "in")
+    spark.createDataFrame(rows, "key long, id long, ts timestamp").coalesce(1).write.parquet(place)
+    spark.createDataFrame([(-1, -1, start + dt.timedelta(days=9))], "key long, id long, ts timestamp").coalesce(1).write.mode("append").parquet(place)
+    stream = spark.readStream.schema("key long, id long, ts timestamp").parquet(place)
+    wanted = {(k, i * 1000 + k) for k in range(300) for i in (0, 2)} | {(None, None), (2**60 + 1, 2**60 + 3)}
+    seen = []
+
+    def put(batch, number):
+        batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+    query = ordered.suppressed(stream, 2, buckets=8).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    seen = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    got = {(r.key, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got - {(-1, -1)} == wanted
+    assert max(seen) < 100  # of 303 keys
+
+
+def test_plain_suppression_shares_state_over_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    place = str(tmp_path / "in")
+    schema = "key string, event_id long, ts timestamp"
+    for hour in (0, 1, 2):
+        spark.createDataFrame([(None if k == 50 else f"k{k}", hour * 100 + k, start + dt.timedelta(hours=hour)) for k in range(51)], schema).coalesce(1).write.mode("append").parquet(place)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+    got = {(r.key, r.id) for r in drain(suppress(stream, "key", 2, buckets=4)).collect()}
+    assert got == {(None if k == 50 else f"k{k}", hour * 100 + k) for k in range(51) for hour in (0, 2)}
