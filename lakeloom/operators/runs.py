@@ -11,7 +11,9 @@ import signal
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
@@ -25,6 +27,8 @@ from lakeloom.session import cut_lineage, shared_folder
 
 #: Rows that a script sees at once, and the seconds that it has for them.
 CHUNK, SECONDS = 500, 30.0
+#: Chunks that go to Python together; a script sees them one at a time.
+TOGETHER = 20
 HANDLE = "_row"
 
 
@@ -79,23 +83,26 @@ def scripted(rows: DataFrame, scripts: Sequence[Script], number: str = "row_numb
 
     def patched(table: pd.DataFrame, script: Script) -> pd.DataFrame:
         with _limit(script.seconds):
-            done = script.call(table.drop(columns=["chunk"]).rename(columns={number: HANDLE}).copy())
+            done = script.call(table.rename(columns={number: HANDLE}).copy())
         if done is None or not len(done):
             return table
         if HANDLE not in done.columns:
             raise ValueError(f"no column {HANDLE}")
-        done = done[done[HANDLE].notna()].drop_duplicates(HANDLE, keep="last").set_index(HANDLE)
-        out = table.set_index(number)
-        done = done.loc[done.index.intersection(out.index)]
-        for c in done.columns.intersection(out.columns):
+        places: dict = {}
+        for i, n in enumerate(table[number]):
+            places.setdefault(n, []).append(i)
+        last = {n: j for j, (n, there) in enumerate(zip(done[HANDLE], done[HANDLE].notna(), strict=True)) if there and n in places}
+        done = done.iloc[list(last.values())]
+        to = [i for n in last for i in places[n]]
+        of = [j for j, n in enumerate(last) for _ in places[n]]
+        changes = {}
+        for c in done.columns.intersection(table.columns.drop(number)):
             pa.array(done[c], types[c], from_pandas=True)  # raises if a value does not fit
-            column = out[c].astype(object)
-            column.loc[done.index] = done[c].astype(object)
-            out[c] = column
-        return out.reset_index()[table.columns]
+            changes[c] = table[c].to_numpy(copy=True)
+            changes[c][to] = done[c].astype(object).to_numpy()[of]
+        return table.assign(**changes)
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(number, kind="stable").astype(object)
         now, failed = table, None
         for script in active:
             try:
@@ -103,10 +110,17 @@ def scripted(rows: DataFrame, scripts: Sequence[Script], number: str = "row_numb
             except Exception as e:  # whatever a user's code raises belongs to its chunk
                 now, failed = table, f"SCRIPT:{script.name}: {type(e).__name__}: {e}"[:500]
                 break
-        return now[names].assign(script_error=failed)
+        return now.assign(script_error=failed)
+
+    def run_all(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(number, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(table["chunk"])) + 1).tolist(), len(table)]
+        objects = table[names].astype(object).reset_index(drop=True)
+        return pd.concat([run(objects.iloc[a:b].reset_index(drop=True)) for a, b in pairwise(cuts)], ignore_index=True)
 
     schema = rows.withColumn("script_error", error).schema
-    return chunked(rows, number, size).groupBy("chunk").applyInPandas(run, schema)
+    # A group costs as much as a chunk's scripts, so several chunks that follow one another are one.
+    return chunked(rows, number, size).groupBy(F.floor(F.col("chunk") / TOGETHER)).applyInPandas(run_all, schema)
 
 
 @dataclass(frozen=True)

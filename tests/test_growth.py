@@ -6,6 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import title_words
+from lakeloom.operators.runs import HANDLE, TOGETHER, Script, scripted
 from lakeloom.plans.trends import growth, keyword_counts
 from lakeloom.streaming import ordered
 from lakeloom.streaming.alerts import drain, suppress
@@ -72,3 +73,18 @@ def test_plain_suppression_shares_state_over_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
     got = {(r.key, r.id) for r in drain(suppress(stream, "key", 2, buckets=4)).collect()}
     assert got == {(None if k == 50 else f"k{k}", hour * 100 + k) for k in range(51) for hour in (0, 2)}
+
+
+def test_scripts_take_several_chunks_in_a_call_and_see_them_apart(spark):
+    sizes = lambda t: t.assign(size=len(t))[[HANDLE, "size"]]
+    rows = spark.range(2_300).select(F.col("id").alias("row_number"), F.lit(0).cast("long").alias("size"))
+    done = scripted(rows, [Script("sizes", sizes)])
+    assert [tuple(r) for r in done.groupBy("size").count().orderBy("size").collect()] == [(300, 300), (500, 2000)]
+    plan = done._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas" in plan and f"/ cast({TOGETHER} as " in plan
+
+
+def test_a_script_changes_all_rows_of_a_number(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "row_number long, name string")
+    done = scripted(rows, [Script("x", lambda t: t[t["name"] != "c"].assign(name="x")[[HANDLE, "name"]])])
+    assert sorted((r.row_number, r.name, r.script_error) for r in done.collect()) == [(1, "x", None), (1, "x", None), (2, "c", None)]
