@@ -155,7 +155,11 @@ def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with the compressed texts ta and tb. A centre `a` of very many pairs is dealt out in parts of `PART` pairs."""
+    """Pairs (a, b, ...) with the compressed texts ta and tb. A centre `a` of very many pairs is dealt out in parts of `PART` pairs.
+
+    Pairs are needed three times, so they are written: else the driver plans, and plans anew after each stage, all that they come from three times.
+    """
+    pairs = cut_lineage(pairs)
     side = lambda c: contents.select(F.col("node").alias(c), F.col("packed").alias(f"t{c}"))
     parts = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PART).alias("last"))
     centers = side("a").join(parts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
@@ -172,10 +176,11 @@ def _differences(stars: DataFrame, roots: DataFrame, contents: DataFrame) -> Dat
     """
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     named = stars.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", (~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).alias("out"), F.coalesce("rb", "b").alias("root"))
+    named = cut_lineage(named)
     sizes = stars.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     homes = stars.join(sizes, "a").groupBy(F.col("b").alias("c")).agg(F.max(F.struct("size", "a")).alias("best")).select(F.col("c").alias("a"), F.col("best.a").alias("at"))
     at_home = named.join(homes, "a").join(stars.select(F.col("a").alias("at"), "b"), ["at", "b"]).select("a", "b", F.lit(True).alias("home"))
-    named = named.join(at_home, ["a", "b"], "left").withColumn("home", F.coalesce("home", F.lit(False)))
+    named = cut_lineage(named.join(at_home, ["a", "b"], "left").withColumn("home", F.coalesce("home", F.lit(False))))
     several = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("home").alias("home")).filter("low <> high and not home").select("a")
     members = _with_contents(named.join(several, "a").select("a", "b", "out", "home", "root"), contents).select("a", "b", "out", "home", "root", "ta", "tb")
 

@@ -42,3 +42,12 @@ def test_links_beside_a_far_centre(spark, members):
     across = near_dedup._beside(spark.createDataFrame(stars, "a long, b long"), roots, contents, near_dedup.PERCENT)
     assert {tuple(r) for r in across.collect()} >= wanted
     assert {tuple(r) for r in near_dedup._linked(across, contents, near_dedup.PERCENT).select("a", "b").collect()} == wanted
+
+
+def test_pairs_are_planned_once(spark):
+    """What pairs come from is no part of the plans that follow, as each use of them would repeat it on the driver."""
+    pairs = spark.createDataFrame([(2, 1), (2, 3)], "a long, b long").join(spark.range(5).withColumnRenamed("id", "a"), "a")
+    roots = spark.createDataFrame([(1, 1)], "node long, root long")
+    contents = spark.createDataFrame([(1, 1, b"x")], "node long, n long, packed binary")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert max(joins(near_dedup._with_contents(pairs, contents)), joins(near_dedup._differences(pairs, roots, contents)), joins(near_dedup._linked(pairs, contents, 75))) <= 4
