@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.columns import dice, normalize_name, percent_difference
+from lakeloom.functions.columns import bigrams, dice, normalize_name, percent_difference
 from lakeloom.operators import names
 from lakeloom.operators.names import LEFT, RIGHT, greedy_pairs
 from lakeloom.operators.reconcile import AT
+from lakeloom.session import cut_lineage
 from lakeloom.sources.domain import view, with_views
 
 PAGE = 25
@@ -127,11 +128,15 @@ def lines(of: DataFrame, axis: str, left: str, right: str) -> DataFrame:
     """
     place = F.struct("item_ref", "axis")
     own = of.select("unit_id", "source", place.alias("part"), "name", "axis", "effective")
+    own = cut_lineage(own) if axis == "NAME" else own  # both sides are needed twice, before and after they are paired
     side = lambda s, c: own.filter(F.col("source") == s).select("unit_id", F.col("part").alias(f"{c}_part"), F.col("name").alias(f"{c}_name"), F.col("axis").alias(f"{c}_axis"), F.col("effective").alias(f"{c}_quantity"))
     a, b = side(left, "left"), side(right, "right")
     if axis == "NAME":
         bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-        scored = a.join(b, "unit_id").withColumn("score", dice(bare("left_name"), bare("right_name"))).select("unit_id", "left_part", "right_part", "score").toDF("unit_id", "left_name", "right_name", "score")
+        # Bigrams are made once for each part, not for each pair; the generator keeps them before the join.
+        grams = lambda df, c: df.select("unit_id", F.explode(F.array(F.struct(F.col(f"{c}_part").alias(f"{c}_name"), bare(f"{c}_name").alias(f"{c}_bare"), bigrams(bare(f"{c}_name")).alias(f"{c}_grams")))).alias("n")).select("unit_id", "n.*")
+        score = dice(F.col("left_bare"), F.col("right_bare"), (F.col("left_grams"), F.col("right_grams")))
+        scored = grams(a, "left").join(grams(b, "right"), "unit_id").select("unit_id", "left_name", "right_name", score.alias("score"))
         met = greedy_pairs(scored).select("unit_id", F.col("left_name").alias("left_part"), F.col("right_name").alias("right_part"))
     elif axis == "FIELD":
         numbered = lambda df, c: df.filter(~_blank(f"{c}_axis")).select("unit_id", F.col(f"{c}_axis").alias("axis"), f"{c}_part", F.row_number().over(Window.partitionBy("unit_id", f"{c}_axis").orderBy(f"{c}_part")).alias("n"))

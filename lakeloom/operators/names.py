@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,7 +89,7 @@ SMALL_UNIT = 20_000
 def greedy_pairs(scored: DataFrame, least: float | None = None) -> DataFrame:
     """One-to-one pairs within a unit: the best pair first, each name once; ties by left name, then right name.
 
-    There is no least score unless one is asked for. A unit of at most `SMALL_UNIT` pairs is one sorted group. In larger ones,
+    There is no least score unless one is asked for. A unit of at most `SMALL_UNIT` pairs is one sorted list, folded where it lies. In larger ones,
     in rounds, pairs that are the best of both of their names are taken, and all other pairs of these names go,
     until none is left.
     """
@@ -100,19 +99,13 @@ def greedy_pairs(scored: DataFrame, least: float | None = None) -> DataFrame:
     sizes = everything.groupBy("unit_id").agg((F.count(F.lit(1)) <= SMALL_UNIT).alias("small"))
     sized = everything.join(sizes.withColumnRenamed("unit_id", "of"), F.col("unit_id").eqNullSafe(F.col("of"))).drop("of")
 
-    def at_once(unit: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        key = lambda v: repr(sorted(v.items())) if isinstance(v, dict) else v
-        for a, b in zip(map(key, unit["left_name"]), map(key, unit["right_name"]), strict=True):
-            keep.append(a not in left and b not in right)
-            if keep[-1]:
-                left.add(a)
-                right.add(b)
-        return unit[keep]
-
-    place = F.row_number().over(Window.partitionBy("unit_id").orderBy(order)).alias("place")
-    placed = sized.filter("small").select(*scored.columns, place)
-    taken = placed.groupBy("unit_id").applyInPandas(lambda unit: at_once(unit.sort_values("place")), placed.schema).select(*scored.columns)
+    # One fold over a unit's sorted pairs.
+    others = [c for c in scored.columns if c not in ("unit_id", "left_name", "right_name")]
+    pair = F.struct((-F.col("score")).alias("s"), "left_name", "right_name", *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
+    units = sized.filter("small").groupBy("unit_id").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    used = lambda kept, x: F.exists(kept, lambda k: k["left_name"].eqNullSafe(x["left_name"]) | k["right_name"].eqNullSafe(x["right_name"]))
+    kept = F.aggregate("pairs", F.slice("pairs", 1, 0), lambda kept, x: F.when(used(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    taken = units.select("unit_id", F.explode(kept).alias("p")).select("unit_id", "p.left_name", "p.right_name", *[F.col(f"p.c{i}").alias(c) for i, c in enumerate(others)]).select(*scored.columns)
     now = cut_lineage(sized.filter("not small").select(*scored.columns))
     while not now.isEmpty():
         mine = cut_lineage(now.withColumns({"l": best("left_name"), "r": best("right_name")}).filter((order == F.col("l")) & (order == F.col("r"))).select(*scored.columns))

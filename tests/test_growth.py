@@ -6,6 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from lakeloom.functions.columns import title_words
+from lakeloom.operators.names import greedy_pairs
 from lakeloom.operators.runs import HANDLE, TOGETHER, Script, scripted
 from lakeloom.plans.trends import growth, keyword_counts
 from lakeloom.streaming import ordered
@@ -88,3 +89,11 @@ def test_a_script_changes_all_rows_of_a_number(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "row_number long, name string")
     done = scripted(rows, [Script("x", lambda t: t[t["name"] != "c"].assign(name="x")[[HANDLE, "name"]])])
     assert sorted((r.row_number, r.name, r.script_error) for r in done.collect()) == [(1, "x", None), (1, "x", None), (2, "c", None)]
+
+
+def test_small_units_are_paired_without_python_and_null_names_once(spark):
+    """A call of Python for each unit costs more than the unit's pairs; extra columns and null names stay as they are."""
+    rows = [(1, None, "x", 0.5, "a"), (1, None, "y", 0.9, "b"), (1, "p", None, 0.1, "c"), (1, "q", None, 0.2, "d"), (None, "l", "r", 0.0, "e"), (None, "l", "s", None, "f")]
+    paired = greedy_pairs(spark.createDataFrame(rows, "unit_id int, left_name string, right_name string, score double, note string"))
+    assert "InPandas" not in paired._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in paired.collect()} == {rows[1], rows[3], rows[5]}
