@@ -91,9 +91,12 @@ def latest_values(snapshots: DataFrame, field: str, label: str | None = None, li
 
 
 def unmatched_named(snapshots: DataFrame, members: DataFrame, name: str) -> DataFrame:
-    """Items of a source that belong to no unit, with their greatest name ('' for none) and quantity."""
-    items = snapshots.groupBy("source", "item_ref").agg(F.max(F.coalesce(name, F.lit(""))).alias("name"), F.sum("quantity").alias("quantity"))
-    return items.join(members.filter("confirmed").select("source", "item_ref"), ["source", "item_ref"], "left_anti")
+    """Items of a source that belong to no unit, with their greatest name ('' for none) and quantity.
+
+    A greatest text is found by sorting, so rows of units' items go first, by a hash table of the members' keys.
+    """
+    loose = snapshots.join(members.filter("confirmed").select("source", "item_ref").hint("shuffle_hash"), ["source", "item_ref"], "left_anti")
+    return loose.groupBy("source", "item_ref").agg(F.max(F.coalesce(name, F.lit(""))).alias("name"), F.sum("quantity").alias("quantity"))
 
 
 def breakdown(snapshots: DataFrame, members: DataFrame, axis: str, left: str, right: str) -> DataFrame:

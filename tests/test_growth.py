@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.columns import title_words
 from lakeloom.operators.names import greedy_pairs
 from lakeloom.operators.runs import HANDLE, TOGETHER, Script, scripted
+from lakeloom.operators.reconcile import unmatched_named
 from lakeloom.plans.trends import growth, keyword_counts
 from lakeloom.streaming import ordered
 from lakeloom.streaming.alerts import drain, suppress
@@ -97,3 +98,13 @@ def test_small_units_are_paired_without_python_and_null_names_once(spark):
     paired = greedy_pairs(spark.createDataFrame(rows, "unit_id int, left_name string, right_name string, score double, note string"))
     assert "InPandas" not in paired._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in paired.collect()} == {rows[1], rows[3], rows[5]}
+
+
+def test_only_loose_rows_are_sorted_for_their_names(spark):
+    """Rows of units' items are gone before the sort that a greatest name needs."""
+    rows = spark.createDataFrame([("a", 1, "x", 2), ("a", 2, "y", 3), ("a", 2, None, 4), ("b", 1, None, 5), (None, 1, "z", 6)], "source string, item_ref long, item string, quantity long")
+    members = spark.createDataFrame([("a", 1, True), ("b", 1, False)], "source string, item_ref long, confirmed boolean")
+    found = unmatched_named(rows, members, "item")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert 0 <= plan.find("Aggregate") < plan.find("ShuffledHashJoin")
+    assert {tuple(r) for r in found.collect()} == {("a", 2, "y", 7), ("b", 1, "", 5), (None, 1, "z", 6)}
