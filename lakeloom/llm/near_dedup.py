@@ -10,9 +10,8 @@ chance of about one in a million.
 
 Candidate edges are stars: every member of a bucket is paired with the bucket's centre alone,
 the node that meets most others in all its buckets, so that a bucket of m nodes brings m - 1
-pairs. They are confirmed on whole sets, the likeliest edge of each node first, and edges
-whose ends are already in one component are not looked at again, as they cannot change the
-result.
+pairs. Each is compared on whole sets once, which tells both whether its ends are linked and
+how a member differs from its centre.
 
 Stars alone could lose a link between two members that are in different components then.
 At least one of them, J, is not linked to the centre C, and this bounds from below how much both
@@ -118,8 +117,10 @@ def _described(docs: DataFrame) -> DataFrame:
 
 def _contents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (node, n, text compressed) of the nodes' first documents."""
-    wanted = nodes.select(F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), "node", "n")
-    rows = docs.join(wanted, docs["id"].eqNullSafe(wanted["__id"]) & (docs["hash"] == wanted["__hash"])).select("node", "n", "text")
+    wanted = nodes.select(F.xxhash64("first.id", "first.hash").alias("key"), F.col("first.id").alias("__id"), F.col("first.hash").alias("__hash"), "node", "n")
+    keyed = docs.withColumn("key", F.xxhash64("id", "hash"))
+    rows = keyed.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash")))
+    rows = rows.dropDuplicates(["key", "node"]).select("node", "n", "text")  # by the join's key, so that texts are shuffled once
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -127,80 +128,88 @@ def _contents(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             texts = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["node", "n", "packed"])
 
-    return cut_lineage(rows.mapInArrow(packed, "node long, n long, packed binary").dropDuplicates(["node"]))
+    return cut_lineage(rows.mapInArrow(packed, "node long, n long, packed binary"))
 
 
 def _linked(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole sets are similar enough."""
-    able = lambda x: x.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    sized = able(pairs.join(contents.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(contents.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")).select("a", "b")
-    both = _with_contents(sized, contents).select("a", "b", "ta", "tb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        known, cached = None, np.empty(0, np.uint64)  # a centre's pairs follow one another
         for batch in batches:
-            keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                ta, tb = ta.as_buffer().to_pybytes(), tb.as_buffer().to_pybytes()
-                if ta != known:
-                    known, cached = ta, shingles(unpack.decompress(ta).lower().split(), WORDS)
-                other = shingles(unpack.decompress(tb).lower().split(), WORDS)
-                shared = len(np.intersect1d(cached, other, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(cached) + len(other) - shared))
-            chosen = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield chosen
+            keep = [_alike(x, y, percent) for x, y in _sets(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(confirm, "a long, b long")
+    return _with_contents(pairs, contents).select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long")
 
 
-def _with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _sets(first: pa.Array, second: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of each pair of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    known, cached = None, np.empty(0, np.uint64)  # a centre's pairs follow one another
+    for ta, tb in zip(first, second, strict=True):
+        ta, tb = ta.as_buffer().to_pybytes(), tb.as_buffer().to_pybytes()
+        if ta != known:
+            known, cached = ta, shingles(unpack.decompress(ta).lower().split(), WORDS)
+        yield cached, shingles(unpack.decompress(tb).lower().split(), WORDS)
+
+
+def _with_contents(pairs: DataFrame, contents: DataFrame, stored: bool = False) -> DataFrame:
     """Pairs (a, b, ...) with the compressed texts ta and tb. A centre `a` of very many pairs is dealt out in parts of `PART` pairs.
 
-    Pairs are needed three times, so they are written: else the driver plans, and plans anew after each stage, all that they come from three times.
+    Pairs are needed three times, so they are written unless they are `stored`: else the driver plans, and plans anew after each stage, all that they come from three times.
     """
-    pairs = cut_lineage(pairs)
+    pairs = pairs if stored else cut_lineage(pairs)
     side = lambda c: contents.select(F.col("node").alias(c), F.col("packed").alias(f"t{c}"))
     parts = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PART).alias("last"))
     centers = side("a").join(parts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("last") + 1)).drop("last")
+    large = F.broadcast(parts.filter("last > 0"))  # a row for each `PART` pairs at most
+    dealt = pairs.join(large, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("last", F.lit(0).cast("long")) + 1)).drop("last")
     return dealt.join(side("b"), "b").join(centers, ["a", "part"])
 
 
+def _compared(stars: DataFrame, contents: DataFrame, percent: int, stored: bool = False) -> DataFrame:
+    """Pairs (a, b) of centre and member with the sizes of their sets (`nc`, `n`), whether they are `linked`, and what the member lacks of its centre (`lost`) and has besides (`new`)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for center, own in _sets(batch.column(2), batch.column(3)):
+                lost, new = (np.setdiff1d(x, y, assume_unique=True).astype(np.int64) for x, y in ((center, own), (own, center)))
+                rows.append((len(center), len(own), 100 * (len(own) - len(new)) >= percent * (len(center) + len(new)), lost, new))
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            kinds = pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["a", "b", "nc", "n", "linked", "lost", "new"])
+
+    pairs = _with_contents(stars.select("a", "b"), contents, stored).select("a", "b", "ta", "tb")
+    return cut_lineage(pairs.mapInArrow(compare, "a long, b long, nc long, n long, linked boolean, lost array<long>, new array<long>"))
+
+
 def _differences(stars: DataFrame, roots: DataFrame, contents: DataFrame) -> DataFrame:
-    """Members of the stars whose members are in several components: what they lack of their centre (`lost`) and have besides (`new`).
+    """Members of the stars whose members are in several components, with their differences from their centre. Stars (a, b) that weren't compared are compared here.
 
     `out` says that a member is in another component than its centre, `home` that it also is in the
     largest star which its centre is a member of: pairs of such members are looked at there. (A centre outweighs
     its members, so that homes don't go round in circles.)
     """
+    compared = stars if "lost" in stars.columns else _compared(stars, contents, PERCENT)
+    stars = compared.select("a", "b")
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    named = stars.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", (~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).alias("out"), F.coalesce("rb", "b").alias("root"))
+    named = stars.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", (~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).alias("out"), F.coalesce("rb", "b").alias("root"))
     named = cut_lineage(named)
     sizes = stars.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     homes = stars.join(sizes, "a").groupBy(F.col("b").alias("c")).agg(F.max(F.struct("size", "a")).alias("best")).select(F.col("c").alias("a"), F.col("best.a").alias("at"))
     at_home = named.join(homes, "a").join(stars.select(F.col("a").alias("at"), "b"), ["at", "b"]).select("a", "b", F.lit(True).alias("home"))
     named = cut_lineage(named.join(at_home, ["a", "b"], "left").withColumn("home", F.coalesce("home", F.lit(False))))
     several = named.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("home").alias("home")).filter("low <> high and not home").select("a")
-    members = _with_contents(named.join(several, "a").select("a", "b", "out", "home", "root"), contents).select("a", "b", "out", "home", "root", "ta", "tb")
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        known, center = None, np.empty(0, np.uint64)
-        for batch in batches:
-            rows = []
-            for ta, tb in zip(batch.column(5), batch.column(6), strict=True):
-                ta, tb = ta.as_buffer().to_pybytes(), tb.as_buffer().to_pybytes()
-                if ta != known:
-                    known, center = ta, shingles(unpack.decompress(ta).lower().split(), WORDS)
-                own = shingles(unpack.decompress(tb).lower().split(), WORDS)
-                lost, new = (np.setdiff1d(x, y, assume_unique=True).astype(np.int64) for x, y in ((center, own), (own, center)))
-                rows.append((len(center), len(own), lost, new))
-            nc, n, lost, new = zip(*rows, strict=True) if rows else ((),) * 4
-            kinds = pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, t) for c, t in zip((nc, n, lost, new), kinds, strict=True))], names=["center", "node", "out", "home", "root", "nc", "n", "lost", "new"])
-
-    return members.mapInArrow(differ, "center long, node long, out boolean, home boolean, root long, nc long, n long, lost array<long>, new array<long>")
+    members = named.join(several, "a").join(compared, ["a", "b"])
+    return members.select(F.col("a").alias("center"), F.col("b").alias("node"), "out", "home", "root", "nc", "n", "lost", "new")
 
 
 def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
@@ -222,68 +231,56 @@ def _beside(stars: DataFrame, roots: DataFrame, contents: DataFrame, percent: in
         "j": F.greatest(F.lit(1), near, F.ceil((more * d - less * (F.col("nc") + F.col("n"))) / 200)),
     }
 
-    def side(x: str, new: bool) -> DataFrame:
+    def side(x: str) -> DataFrame:
         """Elements near the beginning: all but the last `needed - 1` of a member's new or lost ones."""
-        needed, size = (F.greatest(F.lit(1), least[x] - F.col("lost")), F.col("new")) if new else (least[x], F.col("lost"))
-        mine = ordered.filter(F.col("is_new") == new)
-        mine = mine.filter("out") if x == "j" else mine
+        needed = F.when(F.col("is_new"), F.greatest(F.lit(1), least[x] - F.col("lost"))).otherwise(least[x])
+        size = F.when(F.col("is_new"), F.col("new")).otherwise(F.col("lost"))
+        mine = ordered.filter("out") if x == "j" else ordered
         alone = size - F.size("shared")
         front = F.slice("shared", F.lit(1), F.greatest(size - needed + 1 - alone, F.lit(0)).cast("int"))
         named = [F.col(c).alias(f"{c}_{x}") for c in ("node", "home", "root", "n", "lost", "new")]
-        mine = mine.select("center", *named, (needed - 1).alias(f"later_{x}"), (size - alone).alias(f"left_{x}"), F.posexplode(front).alias("at", "token"))
+        mine = mine.select("center", "is_new", *named, (needed - 1).alias(f"later_{x}"), (size - alone).alias(f"left_{x}"), F.posexplode(front).alias("at", "token"))
         return mine.withColumn(f"left_{x}", F.col(f"left_{x}") - F.col("at")).drop("at")
 
     both = lambda f, c: f(*[F.col(f"{c}_{x}") for x in "ij"])
     total = F.col("n_i") + F.col("n_j")
     able = (F.col("root_i") != F.col("root_j")) & ~(F.col("home_i") & F.col("home_j")) & (100 * both(F.least, "n") >= percent * both(F.greatest, "n"))
     wanted = more * (F.col("lost_i") + F.col("new_i") + F.col("lost_j") + F.col("new_j")) - less * total  # 2 * more * t
-    pairs = []
-    for new in (True, False):
-        # Members that share nothing new have no more in common than what either keeps of the centre.
-        kept = F.least(F.col("n_i") - F.col("new_i"), F.col("n_j") - F.col("new_j"))
-        may = able if new else able & (more * kept >= percent * total)
-        met = side("i", new).join(side("j", new), ["center", "token"]).filter(may)
-        # Most is left in both at a pair's first shared element; elements after it count however little is left there.
-        counted = met.groupBy("center", "node_i", "node_j", wanted.alias("wanted"), (both(F.least, "lost") if new else F.lit(0)).alias("besides"), both(F.greatest, "later").alias("later"))
-        counted = counted.agg(F.count(F.lit(1)).alias("both"), F.max(both(F.least, "left")).alias("left"))
-        pairs.append(counted.filter(F.col("wanted") <= 2 * more * (F.col("besides") + F.least(F.col("left"), F.col("both") + F.col("later")))))
-    met = pairs[0].unionByName(pairs[1])
-    return met.select(both(F.least, "node").alias("a"), both(F.greatest, "node").alias("b")).distinct()
+    # Members that share nothing new have no more in common than what either keeps of the centre.
+    kept = F.least(F.col("n_i") - F.col("new_i"), F.col("n_j") - F.col("new_j"))
+    met = side("i").join(side("j"), ["center", "is_new", "token"]).filter(able & (F.col("is_new") | (more * kept >= percent * total)))
+    # Most is left in both at a pair's first shared element; elements after it count however little is left there.
+    besides = F.when(F.col("is_new"), both(F.least, "lost")).otherwise(0)
+    counted = met.groupBy("center", "is_new", "node_i", "node_j", wanted.alias("wanted"), besides.alias("besides"), both(F.greatest, "later").alias("later"))
+    counted = counted.agg(F.count(F.lit(1)).alias("both"), F.max(both(F.least, "left")).alias("left"))
+    pairs = counted.filter(F.col("wanted") <= 2 * more * (F.col("besides") + F.least(F.col("left"), F.col("both") + F.col("later"))))
+    return pairs.select(both(F.least, "node").alias("a"), both(F.greatest, "node").alias("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of all nodes in `edges` (a, b), root being the least node reachable.
 
-    Large-star and small-star steps in turn until no edge changes; each step is written.
+    Large-star and small-star steps in turn until the edges are stars around least nodes; each step is written.
     """
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = None
+    ends = lambda df, c, down: df.select(F.col(c).alias("node"), F.lit(down).alias("down"), F.lit(1 - down).alias("up"))
     while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        # All edges go down. Where no node has two of them, or one besides one from above, nothing is left to change.
+        met = ends(now, "a", 1).union(ends(now, "b", 0)).groupBy("node").agg((F.sum("down") + F.max("up")).alias("edges"))
+        if (met.agg(F.max("edges")).first()[0] or 0) <= 1:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = tuple(state)
-        around = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = around.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        down = now.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        least = down.union(now.select(F.col("a").alias("u"), F.col("b").alias("v"))).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()  # one exchange for both uses
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
         now = cut_lineage(small.filter("a <> b").distinct())
 
 
-def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots after more links (a, b): a node's root stands for all links so far, so only new ones can change anything."""
     more = cut_lineage(links)
-    if roots is None:
-        return cut_lineage(connected(more))
-    return roots if more.isEmpty() else cut_lineage(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) whose ends are in different components."""
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return named.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(*pairs.columns)
+    return roots if more.isEmpty() else connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,14 +300,12 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     weighed = cut_lineage(buckets.join(weights, "node").select("band", "node", "weight"))
     centers = weighed.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("best")).select("band", F.col("best.node").alias("center"))
     met = weighed.join(centers, "band").filter("node <> center")
-    stars = cut_lineage(met.groupBy(F.col("center").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("times")))
+    stars = cut_lineage(met.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct())
     wanted = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     contents = _contents(rows, nodes.select("node", "n", "first").join(wanted, "node", "left_semi"))
-    best = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    roots = joined(None, _linked(best, contents, percent))
-    rest = _apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
-    roots = joined(roots, _linked(rest, contents, percent))
-    roots = joined(roots, _linked(_beside(stars, roots, contents, percent), contents, percent))
+    compared = _compared(stars, contents, percent, stored=True)
+    roots = connected(compared.filter("linked").select("a", "b"))
+    roots = joined(roots, _linked(_beside(compared, roots, contents, percent), contents, percent))
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = cut_lineage(named.join(lowest, "root").select("node", "component_id"))

@@ -51,3 +51,19 @@ def test_pairs_are_planned_once(spark):
     contents = spark.createDataFrame([(1, 1, b"x")], "node long, n long, packed binary")
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
     assert max(joins(near_dedup._with_contents(pairs, contents)), joins(near_dedup._differences(pairs, roots, contents)), joins(near_dedup._linked(pairs, contents, 75))) <= 4
+
+
+def test_texts_of_stars_meet_once(spark, monkeypatch):
+    """Each step deals all rows out anew, however small they are: stars are compared once, links beside them once more, and edges that are stars already are written once."""
+    calls = []
+    for name in ("_with_contents", "cut_lineage"):
+        monkeypatch.setattr(near_dedup, name, lambda *a, f=getattr(near_dedup, name), n=name, **k: calls.append(n) or f(*a, **k))
+    edges = spark.createDataFrame([(5, 1), (1, 7), (9, 2), (3, 3), (7, 1)], "a long, b long")
+    assert {tuple(r) for r in near_dedup.connected(edges).collect()} == {(5, 1), (7, 1), (9, 2)}
+    assert calls == ["cut_lineage"]
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:at], f"x{at}", *words[at + 1 :]]) for at in (0, 1, 59)]
+    rows = [(4, " ".join(words)), (3, near[0]), (8, near[1]), (8, near[1]), (6, near[2]), (1, "quite another text of some words"), (None, " ".join(words)), (2, None)]
+    got = sorted(((r.id, r.component_id) for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(4, 3), (3, 3), (8, 3), (8, 3), (6, 3), (1, 1), (None, 3), (2, 2)], key=str)
+    assert calls.count("_with_contents") <= 2 and calls.count("cut_lineage") <= 19
